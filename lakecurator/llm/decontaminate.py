@@ -1,10 +1,14 @@
 """Benchmark decontamination by winnowing, in DataFrame operations only.
 
 Of the k-word grams of a text, winnowing keeps each that is the least of some
-window of consecutive grams. A span of k + window - 1 words that a document
+window of consecutive grams. A span of k + width - 1 words that a document
 shares with a benchmark item holds the same least gram on both sides, so
-joining kept grams finds every shared span of that length. Hits are extended
-word by word to both sides and compared as words, not as hashes.
+joining kept grams finds every shared span of that length. Documents with a
+joined gram are read again; there each gram that an item kept is extended word
+by word to both sides, comparing words and not hashes.
+
+Arrays are exploded with the outer forms: for the others the optimizer adds a
+filter on the array's size and repeats the whole expression below it.
 """
 
 from __future__ import annotations
@@ -14,64 +18,86 @@ from pyspark.sql import functions as F
 
 from .common import prepare
 
-#: k, and how many grams a winnowing window has; their sum less one is the span that is always found.
+#: Words of a gram; a window of w words takes w - GRAM + 1 grams to choose from.
 GRAM = 8
-#: Benchmark fingerprints that may be broadcast, at about 1 kB each with their words; more are joined by a shuffle.
-BROADCAST_ROWS = 50_000
+#: Benchmark grams, at under 1 kB each with their words, or document keys that may be broadcast; more are joined by a shuffle.
+BROADCAST_ROWS = 20_000
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: A word's characters, after lower-casing.
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: What separates words, after lower-casing: all ASCII but digits and a-z.
+SEPARATOR = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
 def words_of(text: Column) -> Column:
-    return F.regexp_extract_all(F.translate(F.coalesce(text, F.lit("")), _UPPER, _LOWER), F.lit(WORD), F.lit(0))
+    return F.array_remove(F.split(F.translate(F.coalesce(text, F.lit("")), _UPPER, _LOWER), SEPARATOR), "")
+
 
+def _with_grams(df: DataFrame, k: int) -> DataFrame:
+    """Add grams: the hash of the k words from each position on."""
+    hashed = df.withColumn("hashes", F.transform("words", lambda w: F.xxhash64(w)))
+    each = F.transform(F.sequence(F.lit(1), F.size("hashes") - (k - 1)), lambda i: F.xxhash64(F.slice(F.col("hashes"), i, F.lit(k))))
+    return hashed.withColumn("grams", F.when(F.size("hashes") >= k, each).otherwise(F.array().cast("array<bigint>"))).drop("hashes")
 
-def _grams(words: str, k: int) -> Column:
-    """Hash of the k words from each position on."""
-    return F.when(F.size(words) >= k, F.transform(F.sequence(F.lit(1), F.size(words) - (k - 1)), lambda i: F.xxhash64(F.slice(F.col(words), i, F.lit(k))))).otherwise(F.array().cast("array<bigint>"))
 
+def _with_least(df: DataFrame, width: int) -> DataFrame:
+    """Add least: the least of the `width` grams from each position on."""
+    df, span = df.withColumn("least", F.col("grams")), 1
+    while span < width:
+        step = min(span, width - span)
+        later = F.slice("least", step + 1, F.greatest(F.lit(0), F.size("least") - step))
+        df, span = df.withColumn("least", F.zip_with("least", later, lambda a, b: F.least(a, b))), span + step
+    return df.withColumn("least", F.slice("least", 1, F.greatest(F.lit(0), F.size("least") - (width - 1))))
 
-def _least_of_a_window(grams: str, at: Column, width: int) -> Column:
-    """Whether the gram at a position is the least of some `width` consecutive grams."""
-    own = F.get(F.col(grams), at)
-    reach = lambda step: _run([F.coalesce(F.get(F.col(grams), at + F.lit(step * j)) >= own, F.lit(False)) for j in range(1, width)])
-    return reach(-1) + reach(1) >= width - 1
+
+def _around(p: Column, gram: Column, k: int, reach: int) -> Column:
+    """A gram with the words before it and from it on."""
+    words = F.col("words")
+    left = F.when(p > 0, F.slice(words, F.greatest(F.lit(1), p + 1 - reach), F.least(p, F.lit(reach)))).otherwise(F.array().cast("array<string>"))
+    return F.struct(p.alias("p"), gram.alias("gram"), left.alias("left"), F.slice(words, p + 1, F.lit(k + reach)).alias("right"))
 
 
 def _run(tests: list[Column]) -> Column:
     """How many of the tests hold before the first that doesn't."""
     out = F.lit(len(tests))
     for j in reversed(range(len(tests))):
-        out = F.when(~tests[j], F.lit(j)).otherwise(out)
+        out = F.when(~F.coalesce(tests[j], F.lit(False)), F.lit(j)).otherwise(out)
     return out
 
 
-def _positions(df: DataFrame, k: int, width: int, *columns: str) -> DataFrame:
-    """A row for each kept gram: columns, p (from 0) and gram."""
-    grams = df.withColumn("grams", _grams("words", k))
-    spread = grams.select(*columns, "grams", F.posexplode("grams").alias("p", "gram"))
-    return (spread.where(_least_of_a_window("grams", F.col("p"), width)) if width > 1 else spread).drop("grams")
+def _if_small(df: DataFrame) -> DataFrame:
+    """df for the small side of a join: broadcast behind a check of its rows, else shuffled."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def _matches(docs: DataFrame, items: DataFrame, window: int, k: int, width: int) -> DataFrame:
-    """doc, low, high (words hit, high excluded), class: item windows found in documents.
+def _spans(source: DataFrame, items: DataFrame, k: int, width: int, reach: int) -> DataFrame:
+    """doc, class, low, high: words [low, high) of a document that an item's windows match.
 
-    `window` is the number of words of a window, at most; items shorter than
-    it are windows as a whole.
+    Windows have k + width - 1 words; with width 1 they are whole items, found by their first k words.
     """
-    marks = _positions(items, k, width, "class", "words").withColumnsRenamed({"words": "item", "p": "q"})
-    marks = marks.checkpoint()
-    small = marks.count() <= BROADCAST_ROWS
-    found = _positions(docs, k, width, "doc", "words").join(F.broadcast(marks) if small else marks, "gram")
-    same = lambda step: F.coalesce(F.get("words", F.col("p") + step) == F.get("item", F.col("q") + step), F.lit(False))
-    exact = F.slice("words", F.col("p") + 1, F.lit(k)) == F.slice("item", F.col("q") + 1, F.lit(k))
-    left = _run([same(-j) for j in range(1, window - k + 1)]) if window > k else F.lit(0)
-    right = _run([same(k - 1 + j) for j in range(1, window - k + 1)]) if window > k else F.lit(0)
-    size = F.least(F.lit(window), F.size("item"))
-    spans = found.where(exact).select("doc", "class", (F.col("p") - left).alias("low"), (F.col("p") + k + right).alias("high"), size.alias("size"))
-    return spans.where("high - low >= size").drop("size")
+    marked = _with_least(_with_grams(items, k), width)
+    if width > 1:
+        chosen = lambda g, p: F.array_contains(F.slice(F.col("least"), F.greatest(F.lit(1), p + 2 - width), F.least(p, F.lit(width - 1)) + 1), g)
+    else:
+        chosen = lambda g, p: p == 0
+    each = F.transform("grams", lambda g, p: F.when(chosen(g, p), _around(p, g, k, reach)))
+    marks = marked.select("class", F.size("words").alias("size"), F.explode_outer(each).alias("m")).where("m is not null")
+    marks = marks.select("class", "size", F.col("m.gram").alias("gram"), F.col("m.left").alias("ileft"), F.col("m.right").alias("iright")).checkpoint()
+    keys = marks.select("gram").distinct()
+
+    kept = _with_least(_with_grams(source.select("doc", words_of(F.col("text")).alias("words")), k).drop("words"), width)
+    prints = kept.select("doc", F.array_distinct("least").alias("prints")).select("doc", F.explode_outer("prints").alias("gram"))
+    touched = prints.join(_if_small(keys), "gram", "left_semi").select("doc").distinct().checkpoint()
+
+    again = _with_grams(source.join(_if_small(touched), "doc", "left_semi").select("doc", words_of(F.col("text")).alias("words")), k)
+    places = again.select("doc", F.transform("grams", lambda g, p: _around(p, g, k, reach)).alias("places")).select("doc", F.inline_outer("places"))
+    found = places.join(_if_small(marks), "gram").where(F.slice("right", 1, k) == F.slice("iright", 1, k))
+    if width == 1:
+        whole = F.slice(F.col("right"), F.lit(1), F.col("size")) == F.slice(F.col("iright"), F.lit(1), F.col("size"))
+        return found.where(whole).select("doc", "class", F.col("p").alias("low"), (F.col("p") + F.col("size")).alias("high"))
+    before = _run([F.get("left", F.size("left") - j) == F.get("ileft", F.size("ileft") - j) for j in range(1, reach + 1)])
+    after = _run([F.get("right", F.lit(k - 1 + j)) == F.get("iright", F.lit(k - 1 + j)) for j in range(1, reach + 1)])
+    spans = found.select("doc", "class", (F.col("p") - before).alias("low"), (F.col("p") + k + after).alias("high"))
+    return spans.where(F.col("high") - F.col("low") >= k + width - 1)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13) -> DataFrame:
@@ -84,24 +110,23 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13) -> Da
     20 * n_hit >= n_words. Null texts have no words. Rows are told apart by
     a hash of doc_id and text, so repeated rows get equal results and doc_id
     may be null. Items of equal words are looked up once, and each is reported.
+    `window` is at least 2.
     """
     prepare(docs.sparkSession)
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("doc", F.xxhash64("doc_id", "text"))
-    split = source.select("doc", words_of(F.col("text")).alias("words"))
     listed = benchmark.select(F.col("item_id").cast("string").alias("item_id"), words_of(F.col("text")).alias("words")).where("size(words) > 0 and item_id is not null")
     listed = listed.withColumn("class", F.sha2(F.concat_ws(" ", "words"), 256)).checkpoint()
     items = listed.groupBy("class").agg(F.first("words").alias("words")).checkpoint()
 
     hits = None
-    lengths = [r[0] for r in items.select(F.least(F.size("words"), F.lit(window)).alias("n")).distinct().collect()]  # `window` values at most
-    k = min(GRAM, window)
-    tiers = [(items.where(F.size("words") >= window), window, k, window - k + 1)] if window in lengths else []
-    for lead in sorted({min(3, n) for n in lengths if n < window}):  # short items: every gram of their first words, compared whole
-        within = (F.size("words") < window) & (F.least(F.size("words"), F.lit(3)) == lead)
-        tiers.append((items.where(within), window, lead, 1))
-    for part, size, gram, width in tiers:
-        found = _matches(split, part, size, gram, width).select("doc", "class", "low", "high")
-        hits = found if hits is None else hits.union(found)
+    lengths = {r[0] for r in items.select(F.least(F.size("words"), F.lit(window)).alias("n")).distinct().collect()}  # `window` values at most
+    k = min(GRAM, (window + 1) // 2)
+    parts = [_spans(source, items.where(F.size("words") >= window), k, window - k + 1, window - k)] if window in lengths else []
+    for lead in sorted({min(3, n) for n in lengths if n < window}):  # short items are compared whole
+        short = items.where(F.least(F.size("words"), F.lit(3)) == lead)
+        parts.append(_spans(source, short.where(F.size("words") < window), lead, 1, window - lead))
+    for part in parts:
+        hits = part if hits is None else hits.union(part)
     counts = source.select("doc_id", "doc", F.size(words_of(F.col("text"))).cast("long").alias("n_words"))
     if hits is None:
         summary = counts.select("doc", F.lit(0).cast("long").alias("n_hit"), F.array().cast("array<string>").alias("items")).limit(0)

@@ -5,9 +5,17 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import prepare, table
+from .decontaminate import decontaminate
 from .near_duplicates import near_duplicates
+from .repeats import remove_repeats
+
+
+def op3_winnowing_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=13)
+    return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), "contaminated")
 
 
 def op5_hyperminhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,6 +23,11 @@ def op5_hyperminhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFr
     return near_duplicates(table(spark, sf_dir, "documents"), n=2, part=80, whole=100)
 
 
+def op9_suffix_tree_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = remove_repeats(table(spark, sf_dir, "documents"), window=35, as_text=False)
+    return found.withColumnRenamed("kept", "kept_sha256")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
