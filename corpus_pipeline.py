@@ -5,13 +5,67 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = []
+from lakecurator.llm import classifier
+from lakecurator.llm.common import table
+from lakecurator.llm.decontaminate import decontaminate
+from lakecurator.llm.near_duplicates import near_duplicates
+from lakecurator.llm.packing import pack
+from lakecurator.llm.queries import tokenizer_file
+from lakecurator.llm.repeats import remove_repeats
+from lakecurator.llm.storage import new_folder
+from lakecurator.llm.token_counts import token_counts
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose calibrated quality score reaches the threshold."""
+    model = classifier.fit(docs, table(spark, sf_dir, "labels"))
+    return classifier.classify(docs.select(*COLUMNS), model).where("predicted = 1").select(*COLUMNS)
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest doc_id of each group of near duplicates (five-word shingles, 0.8 or more)."""
+    kept = near_duplicates(docs, n=5, part=80, whole=100).where("kept").select("doc_id")
+    return docs.select(*COLUMNS).join(kept, "doc_id", "left_semi").select(*COLUMNS)
+
+
+def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the words of windows that occur twice; texts that lose nothing stay as they are."""
+    found = remove_repeats(docs, window=35, keep=["lang", "source", "n_chars"], original=True)
+    return found.select("doc_id", F.col("kept").alias("text"), "lang", "source", F.when(F.col("n_removed") > 0, F.length("kept").cast("long")).otherwise(F.col("n_chars")).alias("n_chars"))
+
+
+def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that don't hold a twentieth or more of benchmark windows."""
+    found = decontaminate(docs, table(spark, sf_dir, "benchmark")).where("contaminated").select("doc_id")
+    return docs.select(*COLUMNS).join(found, "doc_id", "left_anti").select(*COLUMNS)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Length buckets and token-budget batches of what is left."""
+    return pack(token_counts(docs, tokenizer_file("byte_bpe_50k.tiktoken")))
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality classifier", quality),
+    ("near duplicates", one_of_each),
+    ("repeated passages", without_repeats),
+    ("benchmark decontamination", uncontaminated),
+    ("packing", packed),
+]
 
 #: A trained network decides in the first stage, which SQL can't express.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of sf_dir."""
-    raise NotImplementedError
+    """All stages over the documents of sf_dir, each written to the shared folder and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        folder = new_folder(spark, f"stage-{name.replace(' ', '-')}")
+        stage(spark, docs, sf_dir).write.parquet(folder)
+        docs = spark.read.parquet(folder)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -215,7 +215,8 @@ def near_duplicates(docs: DataFrame, n: int = 5, part: int = 80, whole: int = 10
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sketch = with_arrow(source, _sketch(n), "doc_id long, n_shingles long, d1 long, d2 long, regs binary")
     equal = sketch.where("n_shingles > 0 and doc_id is not null").groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")).where("copies > 1").drop("copies").checkpoint()
-    known = sketch.join(equal, ["d1", "d2", "n_shingles"], "left").select("doc_id", "n_shingles", F.coalesce("first", "doc_id").alias("first"), F.when(F.coalesce("first", "doc_id") == F.col("doc_id"), F.col("regs")).alias("regs")).checkpoint()
+    first = F.when(F.col("doc_id").isNotNull(), F.coalesce("first", "doc_id"))
+    known = sketch.join(equal, ["d1", "d2", "n_shingles"], "left").select("doc_id", "n_shingles", first.alias("first"), F.when(first == F.col("doc_id"), F.col("regs")).alias("regs")).checkpoint()
     single = known.where("n_shingles > 0 and regs is not null")
 
     bands = with_arrow(single.select("doc_id", "regs"), _bands, "key long, doc long, brief long")

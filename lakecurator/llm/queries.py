@@ -2,15 +2,40 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import prepare, table
+from . import classifier, rules
+from .common import table
 from .decontaminate import decontaminate
 from .near_duplicates import near_duplicates
+from .packing import pack
 from .repeats import remove_repeats
+from .shards import shard_rows
+from .token_counts import token_counts
+from .token_files import read_token_files, write_token_files
+from .warc import read_archives, write_archives
+
+
+def tokenizer_file(name: str) -> str:
+    """A public tokenizer's file: in the folder that TOKENIZERS_DIR names, or where its package has it."""
+    if folder := os.environ.get("TOKENIZERS_DIR"):
+        return os.path.join(folder, name)
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_longest_match_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.tiktoken"))
+
+
+def op2_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = write_archives(table(spark, sf_dir, "pages"))
+    return read_archives(spark, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op3_winnowing_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,18 +43,43 @@ def op3_winnowing_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), "contaminated")
 
 
+def op4_random_indexing_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = classifier.classify(docs.select("doc_id", "text"), classifier.fit(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", (~rules.learnable("doc_id")).alias("held_out"), "score", "predicted")
+
+
 def op5_hyperminhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    prepare(spark)
     return near_duplicates(table(spark, sf_dir, "documents"), n=2, part=80, whole=100)
 
 
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with open(tokenizer_file("byte_bpe_50k.json"), encoding="utf-8") as source:
+        folder = write_token_files(table(spark, sf_dir, "documents"), source.read(), end_id=2)
+    found = read_token_files(spark, folder)
+    return found.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+def op7_optimal_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(token_counts(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.tiktoken")))
+
+
+def op8_ngram_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = rules.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
+
+
 def op9_suffix_tree_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = remove_repeats(table(spark, sf_dir, "documents"), window=35, as_text=False)
     return found.withColumnRenamed("kept", "kept_sha256")
 
 
+def op10_virtual_slot_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_rows(table(spark, sf_dir, "documents"), shards=16)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
+    return {name: f for name, f in globals().items() if name.startswith("op") and callable(f) and name[2].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:

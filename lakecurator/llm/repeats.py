@@ -84,6 +84,9 @@ def _firsts(same: np.ndarray) -> np.ndarray:
     return first
 
 
+_SUFFIX = "gram long, _rid long, pos int, heavy boolean, windows binary"
+
+
 def _suffixes(window: int):
     """Rows of the subtrees: an anchor with the hashes of the windows that chose it, each window once a text."""
 
@@ -178,7 +181,7 @@ def _long_prefixes(batch: pa.RecordBatch) -> Iterator[dict]:
         yield {"gram": np.full(len(starts), gram), "label": hashes, "_rid": np.full(len(starts), rid), "start": starts.astype(np.int32)}
 
 
-def _rest(window: int, as_text: bool, extra: list[str]):
+def _rest(window: int, as_text: bool, original: bool, extra: list[str]):
     """What is left of each text, from the runs of repeated windows."""
 
     def run(batch: pa.RecordBatch) -> Iterator[dict]:
@@ -204,14 +207,14 @@ def _rest(window: int, as_text: bool, extra: list[str]):
             n_words.append(len(starts))
             n_removed.append(int(gone.sum()))
             raw = data.tobytes()
-            left = b" ".join(raw[s:e] for s, e in zip(starts[~gone].tolist(), ends[~gone].tolist()))
+            left = raw if original and not gone.any() else b" ".join(raw[s:e] for s, e in zip(starts[~gone].tolist(), ends[~gone].tolist()))
             kept.append(left.decode() if as_text else hashlib.sha256(left).hexdigest())
         yield {c: batch[c] for c in ["doc_id", *extra]} | {"n_words": n_words, "n_removed": n_removed, "kept": kept}
 
     return run
 
 
-def _pack(window: int, as_text: bool, extra: list[str]):
+def _pack(as_text: bool, original: bool, extra: list[str]):
     """Texts without a repeated anchor lose nothing: their result is made here, the others' texts go on."""
 
     def run(batch: pa.RecordBatch) -> Iterator[dict]:
@@ -222,8 +225,9 @@ def _pack(window: int, as_text: bool, extra: list[str]):
                 done.append(None)
                 count.append(None)
                 continue
-            words = zstandard.ZstdDecompressor().decompress(text).split()  # bytes split at ASCII white space
-            left = b" ".join(words)
+            raw = zstandard.ZstdDecompressor().decompress(text)
+            words = raw.split()  # bytes split at ASCII white space
+            left = raw if original else b" ".join(words)
             z.append(None)
             done.append(left.decode() if as_text else hashlib.sha256(left).hexdigest())
             count.append(len(words))
@@ -240,14 +244,15 @@ def _squeeze(extra: list[str]):
     return run
 
 
-def remove_repeats(docs: DataFrame, window: int = 35, as_text: bool = True, keep: list[str] | None = None) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = 35, as_text: bool = True, original: bool = False, keep: list[str] | None = None) -> DataFrame:
     """doc_id, the columns named in keep, n_words, n_removed and kept, for each row of docs.
 
     Words are split at ASCII white space and compared unchanged. Every word is
     removed that lies in a window of `window` words whose word sequence also
     starts anywhere else, in the same text or another; windows are judged on
     the input. kept is the rest joined by single spaces, or its SHA-256 in
-    lower-case hex if as_text is false. Null and empty texts have no words and
+    lower-case hex if as_text is false; with original, a text that loses
+    nothing is kept as it was, white space and all. Null and empty texts have no words and
     keep nothing. Repeated rows are repeats of each other. Rows are told apart
     by a 64-bit hash of doc_id and text, so doc_id may be null or repeated.
     `window` is at most 255.
@@ -265,16 +270,18 @@ def remove_repeats(docs: DataFrame, window: int = 35, as_text: bool = True, keep
     folder = f"{shared_dir(spark)}/repeats-{uuid.uuid4().hex}"
     squeezed = with_arrow(source, _squeeze(extra), f"{ddl}, _rid long, _z binary")
     joined = squeezed.join(places, "_rid", "left").select("doc_id", *extra, "_rid", "_z", "_places")
-    with_arrow(joined, _pack(window, as_text, extra), f"{ddl}, _rid long, _places array<int>, _z binary, _done string, _n long").write.option("compression", "zstd").parquet(folder)
+    with_arrow(joined, _pack(as_text, original, extra), f"{ddl}, _rid long, _places array<int>, _z binary, _done string, _n long").write.option("compression", "zstd").parquet(folder)
     texts = spark.read.parquet(folder)
 
-    rows = with_arrow(texts.where("_places is not null").select("_rid", "_z", "_places"), _suffixes(window), "gram long, _rid long, pos int, heavy boolean, windows binary")
-    light = rows.where("not heavy").drop("heavy").repartition(F.col("gram")).sortWithinPartitions("gram")
+    plain = texts.select("_rid", "_z", F.filter("_places", lambda p: p.bitwiseAND(F.lit(1)) == 0).alias("_places"))
+    light = with_arrow(plain.where("_places is not null"), _suffixes(window), _SUFFIX).drop("heavy").repartition(F.col("gram")).sortWithinPartitions("gram")
     runs = light.mapInArrow(_deep_nodes, "_rid long, start int, count int")
     if not twice.where("heavy = 1").isEmpty():
-        longer = with_arrow(rows.where("heavy").select("gram", "_rid", "windows"), _long_prefixes, "gram long, label long, _rid long, start int")
+        touched = texts.where(F.exists("_places", lambda p: p.bitwiseAND(F.lit(1)) == 1))
+        heavy = with_arrow(touched.select("_rid", "_z", F.filter("_places", lambda p: p.bitwiseAND(F.lit(1)) == 1).alias("_places")), _suffixes(window), _SUFFIX)
+        longer = with_arrow(heavy.select("gram", "_rid", "windows"), _long_prefixes, "gram long, label long, _rid long, start int")
         again = longer.groupBy("gram", "label").agg(F.count("*").alias("n")).where("n > 1").select("gram", "label").checkpoint()
         runs = runs.union(longer.join(again, ["gram", "label"]).select("_rid", "start", F.lit(1).alias("count")))
     found = runs.groupBy("_rid").agg(F.collect_list(F.struct("start", "count")).alias("_runs"))
     left = texts.drop("_places").join(found, "_rid", "left")
-    return with_arrow(left, _rest(window, as_text, extra), f"{ddl}, n_words long, n_removed long, kept string")
+    return with_arrow(left, _rest(window, as_text, original, extra), f"{ddl}, n_words long, n_removed long, kept string")
