@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -35,6 +36,18 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """df as a table written to the shared folder, so that nothing before it is run or planned again.
+
+    checkpoint() would keep the constraints of the plan before it, which
+    multiply from round to round of an iteration until planning takes longer
+    than the work.
+    """
+    folder = f"{shared_dir(df.sparkSession)}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -78,13 +91,15 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     label's own label, so chains shorten by doubling. Labels are aggregated
     before every shuffle and no round gathers a node's neighbours.
     """
-    both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct().checkpoint()
-    labels = both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("component")).checkpoint()
+    both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct()
+    both = cut(both)
+    labels = both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("component"))
+    labels = cut(labels)
     for _ in range(max_rounds):
         near = both.join(labels.select(F.col("node").alias("b"), "component"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("least"))
         lower = labels.join(near, "node").select("node", F.least("component", "least").alias("component"), F.col("component").alias("was"))
         jump = labels.select(F.col("node").alias("component"), F.col("component").alias("further"))
-        stepped = lower.join(jump, "component", "left").select("node", F.least("component", "further").alias("component"), "was").checkpoint()
+        stepped = cut(lower.join(jump, "component", "left").select("node", F.least("component", "further").alias("component"), "was"))
         labels = stepped.select("node", "component")
         if stepped.where("component <> was").isEmpty():
             break
@@ -103,6 +118,6 @@ def ranks(df: DataFrame, group: str, order: list[str], slots: int = 4096) -> Dat
     dealt = df.withColumn("_slot", F.pmod(F.xxhash64(*[F.col(c) for c in order]), F.lit(slots)))
     sizes = dealt.groupBy(group, "_slot").agg(F.count("*").alias("_size"))
     before = Window.partitionBy(group).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
-    bases = sizes.withColumn("_base", F.coalesce(F.sum("_size").over(before), F.lit(0))).drop("_size").checkpoint()
+    bases = cut(sizes.withColumn("_base", F.coalesce(F.sum("_size").over(before), F.lit(0))).drop("_size"))
     numbered = dealt.withColumn("_in", F.row_number().over(Window.partitionBy(group, "_slot").orderBy(*order)) - 1)
     return numbered.join(bases, [group, "_slot"]).withColumn("rank", (F.col("_base") + F.col("_in")).cast("long")).drop("_slot", "_in", "_base")

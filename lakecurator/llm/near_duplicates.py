@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, packed_texts, prepare, unpacked, with_arrow
+from .common import components, cut, packed_texts, prepare, unpacked, with_arrow
 from .wordhash import LOWER, U64, mix, ngram_hashes, span_hashes, text_slices, word_bounds
 
 REGISTERS = 256
@@ -199,7 +199,7 @@ def _agree(x, y):
     return _BRIEF - F.bit_count(low)
 
 
-def near_duplicates(docs: DataFrame, n: int = 5, part: int = 80, whole: int = 100, sampled_rounds: int = 3, partners: int = 3) -> DataFrame:
+def near_duplicates(docs: DataFrame, n: int = 5, part: int = 80, whole: int = 100, sampled_rounds: int = 2, partners: int = 3) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of docs (doc_id, text; other columns are ignored).
 
     Words are split at ASCII white space after lower-casing A-Z; a set holds the
@@ -214,20 +214,20 @@ def near_duplicates(docs: DataFrame, n: int = 5, part: int = 80, whole: int = 10
     prepare(spark)
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sketch = with_arrow(source, _sketch(n), "doc_id long, n_shingles long, d1 long, d2 long, regs binary")
-    equal = sketch.where("n_shingles > 0 and doc_id is not null").groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")).where("copies > 1").drop("copies").checkpoint()
+    equal = cut(sketch.where("n_shingles > 0 and doc_id is not null").groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")).where("copies > 1").drop("copies"))
     first = F.when(F.col("doc_id").isNotNull(), F.coalesce("first", "doc_id"))
-    known = sketch.join(equal, ["d1", "d2", "n_shingles"], "left").select("doc_id", "n_shingles", first.alias("first"), F.when(first == F.col("doc_id"), F.col("regs")).alias("regs")).checkpoint()
+    known = cut(sketch.join(equal, ["d1", "d2", "n_shingles"], "left").select("doc_id", "n_shingles", first.alias("first"), F.when(first == F.col("doc_id"), F.col("regs")).alias("regs")))
     single = known.where("n_shingles > 0 and regs is not null")
 
     bands = with_arrow(single.select("doc_id", "regs"), _bands, "key long, doc long, brief long")
-    shared = bands.groupBy("key").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high").select("key").checkpoint()
-    members = bands.join(shared, "key").checkpoint()
-    wanted = members.select(F.col("doc").alias("doc_id")).distinct().checkpoint()
-    facts = packed_texts(source).join(wanted, "doc_id").join(single.select("doc_id", F.col("n_shingles").alias("n"), "regs"), "doc_id").checkpoint()
+    shared = cut(bands.groupBy("key").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high").select("key"))
+    members = cut(bands.join(shared, "key"))
+    wanted = cut(members.select(F.col("doc").alias("doc_id")).distinct())
+    facts = cut(packed_texts(source).join(wanted, "doc_id").join(single.select("doc_id", F.col("n_shingles").alias("n"), "regs"), "doc_id"))
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         side = lambda s: facts.select(F.col("doc_id").alias(s), F.col("z").alias(f"z_{s}"), F.col("n").alias(f"n_{s}"), F.col("regs").alias(f"regs_{s}"))
-        return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_confirm(n, part, whole), "a long, b long").distinct().checkpoint()
+        return cut(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_confirm(n, part, whole), "a long, b long").distinct())
 
     labels = wanted.select(F.col("doc_id").alias("doc"), F.col("doc_id").alias("component"))
 
@@ -235,27 +235,27 @@ def near_duplicates(docs: DataFrame, n: int = 5, part: int = 80, whole: int = 10
         """labels after links between their documents."""
         ends = links.join(labels.select(F.col("doc").alias("a"), F.col("component").alias("ca")), "a").join(labels.select(F.col("doc").alias("b"), F.col("component").alias("cb")), "b")
         new = components(ends.select(F.col("ca").alias("a"), F.col("cb").alias("b")).where("a <> b").distinct())
-        return labels.join(new.select(F.col("node").alias("component"), F.col("component").alias("lower")), "component", "left").select("doc", F.coalesce("lower", "component").alias("component")).checkpoint()
+        return cut(labels.join(new.select(F.col("node").alias("component"), F.col("component").alias("lower")), "component", "left").select("doc", F.coalesce("lower", "component").alias("component")))
 
     mixed = None
     for turn in range(sampled_rounds + 1):
         placed = members.join(labels, "doc")
         if turn:
-            uneven = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key").checkpoint()
-            placed = placed.join(uneven, "key").checkpoint()
+            uneven = cut(placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key"))
+            placed = cut(placed.join(uneven, "key"))
             members = placed.select("key", "doc", "brief")
             if uneven.isEmpty():
                 break
         if turn < sampled_rounds:
-            hubs = placed.groupBy("key").agg(F.min_by(F.struct("doc", "brief", "component"), F.struct(F.xxhash64("doc", F.lit(turn)), "doc")).alias("hub")).checkpoint()
+            hubs = cut(placed.groupBy("key").agg(F.min_by(F.struct("doc", "brief", "component"), F.struct(F.xxhash64("doc", F.lit(turn)), "doc")).alias("hub")))
             near = placed.join(hubs, "key").where((F.col("component") != F.col("hub.component")) & (_agree(F.col("brief"), F.col("hub.brief")) >= _BRIEF_LEAST))
             near = near.groupBy("doc", F.col("hub.doc").alias("with")).agg(F.count("*").alias("keys"))
             best = near.withColumn("place", F.row_number().over(Window.partitionBy("doc").orderBy(F.desc("keys"), "with"))).where(F.col("place") <= partners)
             pairs = best.select(F.least("doc", "with").alias("a"), F.greatest("doc", "with").alias("b")).distinct()
         else:
             sizes = placed.groupBy("key", "component").agg(F.count("*").alias("size"))
-            largest = sizes.groupBy("key").agg(F.max_by("component", F.struct("size", "component")).alias("main")).checkpoint()
-            whole_keys = placed.join(largest, "key").checkpoint()
+            largest = cut(sizes.groupBy("key").agg(F.max_by("component", F.struct("size", "component")).alias("main")))
+            whole_keys = cut(placed.join(largest, "key"))
             strays = whole_keys.where("component <> main").select("key", F.col("doc").alias("s"), F.col("brief").alias("sb"), F.col("component").alias("sc"))
             near = strays.join(whole_keys, "key").where((F.col("component") != F.col("sc")) & ((F.col("component") == F.col("main")) | (F.col("doc") < F.col("s"))) & (_agree(F.col("brief"), F.col("sb")) >= _BRIEF_LEAST))
             pairs = near.select(F.least("doc", "s").alias("a"), F.greatest("doc", "s").alias("b")).distinct()
