@@ -9,9 +9,11 @@ rest are confirmed on the full sets, so every reported link is exact.
 
 Groups of copies never meet in one task. Equal sets collapse to one
 representative first. Within a key, members are compared with a hub drawn anew
-each round and leave once they are in its component; what is left then meets
-every member outside its component. No pair that could join two components is
-skipped, and pairs inside a component are not made.
+each round and leave once they are in its component. Strays, which are outside
+their key's largest component after that, then meet every member outside their
+own: as pairs where a key has few, and else in blocks of texts that are
+compared inside a task, once for all keys of a cluster. No pair that could
+join two components is skipped, and pairs inside a component are not made.
 """
 
 from __future__ import annotations
@@ -34,6 +36,8 @@ _VALUE_BITS = 52  # a register's hash value, exact as a double
 _EMPTY = U64(1 << _VALUE_BITS)
 #: Registers of which two bits each travel with a band key, and how many must agree; a pair at 0.8 fails with probability under 1e-7.
 _BRIEF, _BRIEF_LEAST = 32, 15
+#: Strays times members up to which a key's pairs are made singly, and texts in a block of members or of strays beyond that.
+_FEW, _MEMBERS, _STRAYS = 128, 128, 512
 #: Standard deviations below the threshold at which an estimate drops a pair.
 MARGIN = 5.0
 
@@ -192,6 +196,53 @@ def _confirm(n: int, part: int, whole: int):
     return run
 
 
+def _in_blocks(many: DataFrame, facts: DataFrame, n: int, part: int, whole: int) -> DataFrame:
+    """Links (a, b) between strays and members of keys that have many of both.
+
+    Keys that share documents form a cluster; its strays and its members are
+    dealt into blocks by hash, and a task compares one block of each.
+    """
+    hubs = cut(many.groupBy("key").agg(F.min("doc").alias("hub")))
+    joined = components(many.join(hubs, "key").where("doc <> hub").select(F.col("doc").alias("a"), F.col("hub").alias("b")))
+    docs = many.groupBy("doc", "component").agg(F.max("stray").alias("stray"))
+    docs = cut(docs.join(joined.select(F.col("node").alias("doc"), F.col("component").alias("cluster")), "doc"))
+    sizes = docs.groupBy("cluster").agg(F.ceil(F.count("*") / _MEMBERS).alias("mbs"), F.ceil(F.count_if("stray") / _STRAYS).alias("sbs"))
+    sizes = cut(sizes.where("sbs > 0"))
+    deal = lambda df, count: df.join(sizes, "cluster").withColumn("block", F.pmod(F.xxhash64("doc"), F.col(count)))
+    texts = facts.select(F.col("doc_id").alias("doc"), "z", "n", "regs")
+    listed = lambda df: cut(df.join(texts, "doc").groupBy("cluster", "block").agg(F.collect_list(F.struct("doc", "component", "stray", "z", "n", "regs")).alias("texts")))
+    m, s = listed(deal(docs, "mbs")), listed(deal(docs.where("stray"), "sbs"))
+    met = cut(m.select("cluster", F.col("block").alias("mb")).join(s.select("cluster", F.col("block").alias("sb")), "cluster"))
+    met = met.join(m.select("cluster", F.col("block").alias("mb"), F.col("texts").alias("m")), ["cluster", "mb"])
+    met = met.repartition("cluster", "sb", "mb").join(s.select("cluster", F.col("block").alias("sb"), F.col("texts").alias("s")), ["cluster", "sb"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                found = []
+                one, other = (pa.RecordBatch.from_struct_array(batch[c][i].values) for c in ("m", "s"))
+                sets = [[next((g for _, _, _, g in shingle_sets(unpacked(x["z"].slice(k, 1)), n)), np.zeros(0, U64)) for k in range(x.num_rows)] for x in (one, other)]
+                owner = np.repeat(np.arange(one.num_rows), [len(x) for x in sets[0]])
+                grams = np.concatenate(sets[0])
+                order = np.argsort(grams, kind="stable")
+                grams, owner = grams[order], owner[order]
+                n_m, doc_m, comp_m, stray_m = (one[c].to_numpy(zero_copy_only=False) for c in ("n", "doc", "component", "stray"))
+                doc_s, comp_s = (other[c].to_numpy() for c in ("doc", "component"))
+                for k, own in enumerate(sets[1]):
+                    may = (comp_m != comp_s[k]) & (~stray_m | (doc_m < doc_s[k])) & (whole * np.minimum(n_m, len(own)) >= part * np.maximum(n_m, len(own)))
+                    if not may.any():
+                        continue
+                    low, high = np.searchsorted(grams, own, "left"), np.searchsorted(grams, own, "right")
+                    count = high - low
+                    at = np.repeat(low - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
+                    both = np.bincount(owner[at], minlength=len(n_m))
+                    hit = may & (whole * both >= part * (n_m + len(own) - both))
+                    found += [(min(int(doc_s[k]), int(d)), max(int(doc_s[k]), int(d))) for d in doc_m[hit]]
+                yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in found], pa.int64()) for j in (0, 1)], ["a", "b"])
+
+    return cut(met.select("m", "s").mapInArrow(run, "a long, b long").distinct())
+
+
 def _agree(x, y):
     """How many of the two-bit entries of two briefs agree."""
     differ = x.bitwiseXOR(y)
@@ -251,15 +302,19 @@ def near_duplicates(docs: DataFrame, n: int = 5, part: int = 80, whole: int = 10
             near = placed.join(hubs, "key").where((F.col("component") != F.col("hub.component")) & (_agree(F.col("brief"), F.col("hub.brief")) >= _BRIEF_LEAST))
             near = near.groupBy("doc", F.col("hub.doc").alias("with")).agg(F.count("*").alias("keys"))
             best = near.withColumn("place", F.row_number().over(Window.partitionBy("doc").orderBy(F.desc("keys"), "with"))).where(F.col("place") <= partners)
-            pairs = best.select(F.least("doc", "with").alias("a"), F.greatest("doc", "with").alias("b")).distinct()
+            links = confirmed(best.select(F.least("doc", "with").alias("a"), F.greatest("doc", "with").alias("b")).distinct())
         else:
             sizes = placed.groupBy("key", "component").agg(F.count("*").alias("size"))
-            largest = cut(sizes.groupBy("key").agg(F.max_by("component", F.struct("size", "component")).alias("main")))
-            whole_keys = cut(placed.join(largest, "key"))
-            strays = whole_keys.where("component <> main").select("key", F.col("doc").alias("s"), F.col("brief").alias("sb"), F.col("component").alias("sc"))
-            near = strays.join(whole_keys, "key").where((F.col("component") != F.col("sc")) & ((F.col("component") == F.col("main")) | (F.col("doc") < F.col("s"))) & (_agree(F.col("brief"), F.col("sb")) >= _BRIEF_LEAST))
-            pairs = near.select(F.least("doc", "s").alias("a"), F.greatest("doc", "s").alias("b")).distinct()
-        links = confirmed(pairs)
+            largest = sizes.groupBy("key").agg(F.max_by("component", F.struct("size", "component")).alias("main"), F.sum("size").alias("all"), F.max("size").alias("most"))
+            largest = cut(largest.select("key", "main", ((F.col("all") - F.col("most")) * F.col("all") > _FEW).alias("many")))
+            split = cut(placed.join(largest, "key").withColumn("stray", F.col("component") != F.col("main")))
+            few = split.where("not many")
+            strays = few.where("stray").select("key", F.col("doc").alias("s"), F.col("brief").alias("sb"), F.col("component").alias("sc"))
+            near = strays.join(few, "key").where((F.col("component") != F.col("sc")) & (~F.col("stray") | (F.col("doc") < F.col("s"))) & (_agree(F.col("brief"), F.col("sb")) >= _BRIEF_LEAST))
+            links = confirmed(near.select(F.least("doc", "s").alias("a"), F.greatest("doc", "s").alias("b")).distinct())
+            many = split.where("many")
+            if not many.isEmpty():
+                links = links.union(_in_blocks(many, facts, n, part, whole)).distinct()
         if not links.isEmpty():
             labels = merged(links)
 

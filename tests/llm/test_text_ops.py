@@ -50,6 +50,27 @@ def test_near_duplicates_equal_brute_force(spark, n):
     assert len(found) == len(rows)
 
 
+@pytest.mark.parametrize("members,strays", [(128, 512), (4, 3)])
+def test_strays_in_blocks_equal_brute_force(spark, monkeypatch, members, strays):
+    import random
+
+    monkeypatch.setattr(nd, "_FEW", 0)
+    monkeypatch.setattr(nd, "_MEMBERS", members)
+    monkeypatch.setattr(nd, "_STRAYS", strays)
+    rng = random.Random(8)
+    base = sentences(rng, 100).split(" ")
+    rows = []
+    for i in range(60):  # edits of one text, some near the base or each other and some near none
+        words = list(base)
+        for k in rng.sample(range(100), rng.choice([1, 3, 5, 7, 9, 12])):
+            words[k] = f"w{rng.randrange(30)}"
+        rows.append((i, " ".join(words), "en", "s", 0))
+    found = nd.near_duplicates(frame(spark, rows), n=2, sampled_rounds=1, partners=1).collect()
+    expected = linked(rows, 2)
+    assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in found} == expected
+    assert 2 < sum(kept for *_, kept in expected.values()) < 60
+
+
 def test_near_duplicates_of_odd_tables(spark):
     found = nd.near_duplicates(odd(spark), n=2).collect()
     assert collections.Counter((r.doc_id, r.component_id, r.kept) for r in found) == {(None, None, True): 2, (7, 7, True): 3, (8, 8, True): 1, (9, 9, True): 1}
