@@ -365,9 +365,9 @@ def recent_items(spark, sf_dir):
     return table(spark, sf_dir, "events").where(times.recent(uploaded, 10, now)).select("event_id")
 
 
-@query("SELECT p_partkey, p_name FROM part WHERE lower(p_name) GLOB 'part?*1?' OR lower(p_name) GLOB '*[24][!0-4]'")
+@query("SELECT p_partkey, p_name FROM part WHERE lower(p_name) GLOB 'h?t *' OR lower(p_name) GLOB '*[rb]in[!a-f]'")
 def glob_filter(spark, sf_dir):
-    return table(spark, sf_dir, "part").where(names.glob_any([F.col("p_name")], ["Part?*1?", "*[24][!0-4]"])).select("p_partkey", "p_name")
+    return table(spark, sf_dir, "part").where(names.glob_any([F.col("p_name")], ["H?t *", "*[rb]in[!a-f]"])).select("p_partkey", "p_name")
 
 
 @query("""
