@@ -41,7 +41,7 @@ class SlotMap:
     def rebalanced(self, sizes: dict[int, int], shards: int | None = None) -> SlotMap:
         """The next version: slots first move from the fullest shard to the emptiest while that narrows the two.
 
-        Shards may be added; then the new ones start empty.
+        Shards may be added; then the new ones start empty and slots move only into them.
         """
         count = max(self.shards, shards or 0)
         place, loads = list(self.assignment), SlotMap(0, count, self.assignment).loads(sizes)
@@ -49,8 +49,9 @@ class SlotMap:
         for slot, size in sizes.items():
             if size:
                 held[place[slot]].add(slot)
+        targets = range(self.shards, count) if count > self.shards else range(count)
         for _ in range(8 * len(place)):
-            full, empty = (f(range(count), key=lambda s: (loads[s], s)) for f in (max, min))
+            full, empty = max(range(count), key=lambda s: (loads[s], s)), min(targets, key=lambda s: (loads[s], s))
             gap = loads[full] - loads[empty]
             movable = [s for s in held[full] if sizes[s] < gap]
             if not movable:
@@ -61,7 +62,7 @@ class SlotMap:
             place[slot] = empty
             loads[full] -= sizes[slot]
             loads[empty] += sizes[slot]
-        for _ in range(64 * count):  # then single slots are exchanged, which narrows by less than a slot
+        for _ in range(64 * count if count == self.shards else 0):  # then single slots are exchanged, which narrows by less than a slot
             full, empty = (f(range(count), key=lambda s: (loads[s], s)) for f in (max, min))
             gap, other = loads[full] - loads[empty], sorted((sizes[s], s) for s in held[empty])
             best = (gap, -1, -1)

@@ -10,6 +10,7 @@ ids. Readers map the files, so a document is found without reading others.
 
 from __future__ import annotations
 
+import hashlib
 import os
 import re
 import uuid
@@ -27,45 +28,104 @@ from .common import prepare, with_arrow
 from .storage import commit, dealt, new_folder, opened, range_bounds, shard_of, write_json
 
 #: Words whose ids a task remembers.
-MEMO = 200_000
-_UNEVEN = re.compile(r"\s |^ | \s| $")
+MEMO = 500_000
+_OTHER_SPACE = re.compile(r"[^\S \n]")
 
 
 def encoder(description: str, end_id: int) -> Callable[[list[str]], Iterator[np.ndarray]]:
     """A function from texts to their ids followed by end_id, by the tokenizers library.
 
-    Under byte-level pre-tokenization no token crosses from a non-space
-    character to a single space before another, so a text is cut there and the
-    library's ids of the parts are remembered. Texts with other white space
-    around a space, or with the text of a special token, are encoded whole.
+    Under byte-level pre-tokenization a single space goes with the characters
+    after it and a single line break stands alone, so texts are cut there, and
+    the library encodes each distinct part once: parts that aren't remembered
+    are given to it together, a line apart, and its ids are cut at the line
+    breaks again. Texts with other white space, or with the text of a special
+    token, are encoded whole.
     """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_str(description)
     special = [x.content for x in tokenizer.get_added_tokens_decoder().values()]
-    parts_add_up = '"pre_tokenizer":{"type":"ByteLevel","add_prefix_space":false' in re.sub(r"\s", "", description) and '"normalizer":null' in re.sub(r"\s", "", description)
-    memo: dict[str, bytes] = {}
+    flat = re.sub(r"\s", "", description)
+    break_ids = tokenizer.encode("\n", add_special_tokens=False).ids
+    parts_add_up = '"pre_tokenizer":{"type":"ByteLevel","add_prefix_space":false' in flat and '"normalizer":null' in flat and len(break_ids) == 1
+    memo: dict[str, bytes] = {"\n": np.array(break_ids, np.uint32).tobytes()}
+
+    def learn(parts: list[str]) -> dict[str, bytes]:
+        ids = np.array(tokenizer.encode_batch_fast(["\n".join(parts)], add_special_tokens=False)[0].ids, np.uint32)
+        cuts = np.flatnonzero(ids == break_ids[0])
+        raw, edges = ids.tobytes(), [-1, *cuts.tolist(), len(ids)]
+        return {x: raw[4 * a + 4 : 4 * b] for x, a, b in zip(parts, edges, edges[1:])}
 
     def run(texts: list[str]) -> Iterator[np.ndarray]:
+        known: list[list[bytes | None] | None] = []
+        gaps: list[list[tuple[int, str]]] = []
         for text in texts:
-            if not parts_add_up or _UNEVEN.search(text) or any(x in text for x in special):
-                found = np.array(tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+            if not parts_add_up or not text or "\0" in text or not _even(text) or any(x in text for x in special):
+                known.append(None)
+                gaps.append([])
+                continue
+            parts = text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
+            found = list(map(memo.get, parts))
+            known.append(found)
+            gaps.append([(i, parts[i]) for i in _places(found)])
+        new = {x for gap in gaps for _, x in gap}
+        learnt = learn(list(new)) if new else {}
+        if len(memo) + len(learnt) <= MEMO:
+            memo.update(learnt)
+        for text, found, gap in zip(texts, known, gaps):
+            if found is None:
+                ids = np.array(tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
             else:
-                head, *rest = text.split(" ")
-                parts = [head, *[f" {x}" for x in rest]]
-                new = list({x for x in parts if x not in memo})
-                if len(memo) + len(new) > MEMO:
-                    memo.clear()
-                    new = list(set(parts))
-                for x, ids in zip(new, tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-                    memo[x] = np.array(ids.ids, np.uint32).tobytes()
-                found = np.frombuffer(b"".join([memo[x] for x in parts]), np.uint32)
-            yield np.append(found, np.uint32(end_id))
+                for i, x in gap:
+                    found[i] = learnt[x]
+                ids = np.frombuffer(b"".join(found), np.uint32)
+            yield np.append(ids, np.uint32(end_id))
 
     return run
 
 
+def _even(text: str) -> bool:
+    """Whether all white space is single spaces and line breaks between other characters."""
+    return not (text[0].isspace() or text[-1].isspace() or any(x in text for x in ("  ", "\n\n", " \n", "\n ")) or _OTHER_SPACE.search(text))
+
+
+def _places(found: list) -> Iterator[int]:
+    """Where a list holds None."""
+    at = -1
+    while True:
+        try:
+            at = found.index(None, at + 1)
+        except ValueError:
+            return
+        yield at
+
+
+_encoders: dict[tuple[str, int], Callable[[list[str]], Iterator[np.ndarray]]] = {}
+
+
+def kept_encoder(description: str, end_id: int) -> Callable[[list[str]], Iterator[np.ndarray]]:
+    """The encoder that this Python process made before, with what it remembers."""
+    key = (hashlib.sha256(description.encode()).hexdigest(), end_id)
+    if key not in _encoders:
+        _encoders.clear()
+        _encoders[key] = encoder(description, end_id)
+    return _encoders[key]
+
+
+def _in_groups(encode: Callable[[list[str]], Iterator[np.ndarray]], texts: Iterator[str]) -> Iterator[np.ndarray]:
+    """Encode texts in groups of about a million characters."""
+    held, size = [], 0
+    for text in texts:
+        held.append(text)
+        size += len(text)
+        if size > 1_000_000:
+            yield from encode(held)
+            held, size = [], 0
+    yield from encode(held)
+
+
 def write_token_files(docs: DataFrame, description: str, end_id: int, folder: str | None = None, shard_bytes: int = 16 << 20) -> str:
     """Write the ids of all rows in ascending doc_id order; returns the folder.
 
@@ -106,15 +166,15 @@ def write_token_files(docs: DataFrame, description: str, end_id: int, folder: st
 
         for batch in batches:
             if encode is None:
-                encode = encoder(shared.value, end_id)
+                encode = kept_encoder(shared.value, end_id)
                 width = np.uint16 if max(end_id, _vocabulary_size(shared.value)) < 1 << 16 else np.uint32
-            for doc_id, own, z in zip(batch["doc_id"].to_pylist(), batch["shard"].to_pylist(), batch["z"].to_pylist()):
+            texts = (expand(z).decode() for z in batch["z"].to_pylist())
+            for doc_id, own, found in zip(batch["doc_id"].to_pylist(), batch["shard"].to_pylist(), _in_groups(encode, texts)):
                 if own != shard:
                     if shard is not None:
                         yield close()
                     shard, ids, sizes = own, [], []
                     out = system.open_output_stream(f"{path}/.{shard:06d}.bin.{attempt}")
-                (found,) = encode([expand(z).decode()])
                 out.write(found.astype(np.dtype(width).newbyteorder("<")).tobytes())
                 ids.append(doc_id)
                 sizes.append(len(found))

@@ -20,6 +20,7 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -70,26 +71,25 @@ def write_archives(pages: DataFrame, folder: str | None = None, range_bytes: int
     prepare(spark)
     folder = folder or new_folder(spark, "warc")
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
-    source = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"), F.sha2(payload, 256).alias("digest"), F.octet_length(payload).cast("long").alias("size"))
-    light = source.select("page_id", "digest", "size").where(F.col("page_id").isNotNull() & (F.col("size") >= REVISIT_BYTES))
+    light = pages.select(F.col("page_id").cast("long").alias("page_id"), F.sha2(payload, 256).alias("digest"), F.octet_length(payload).cast("long").alias("size")).where(F.col("page_id").isNotNull() & (F.col("size") >= REVISIT_BYTES))
     firsts = light.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first").checkpoint()
     bounds = range_bounds(pages.select(F.col("page_id").cast("long").alias("page_id"), (F.coalesce(F.octet_length("html"), F.lit(0)) + 512).alias("w")).where("page_id is not null"), "page_id", "w", range_bytes)
 
-    revisit = F.col("first").isNotNull() & (F.coalesce(F.col("page_id"), F.lit(NO_ID)) != F.col("first"))
-    marked = source.join(firsts, "digest", "left")
-    marked = marked.select(F.coalesce("page_id", F.lit(NO_ID)).alias("page_id"), "url", "digest", "size", F.when(revisit, F.col("first")).alias("first"), F.when(~revisit, F.col("payload")).alias("payload"))
+    def pack(batch: pa.RecordBatch) -> Iterator[dict]:
+        squeeze = zstandard.ZstdCompressor(level=6).compress
+        payloads = [(x or "").encode() for x in batch["html"].to_pylist()]
+        yield {"page_id": batch["page_id"], "url": batch["url"], "digest": [hashlib.sha256(x).hexdigest() for x in payloads], "size": [len(x) for x in payloads], "z": [squeeze(x) for x in payloads], "shard": shard_of(batch["page_id"].to_numpy(), bounds)}
 
-    def place(batch: pa.RecordBatch) -> Iterator[dict]:
-        yield {c: batch[c] for c in ("page_id", "url", "digest", "size", "first", "payload")} | {"shard": shard_of(batch["page_id"].to_numpy(), bounds)}
-
-    placed = with_arrow(marked, place, "page_id long, url string, digest string, size long, first long, payload binary, shard int")
+    packed = with_arrow(pages.select(F.coalesce(F.col("page_id").cast("long"), F.lit(NO_ID)).alias("page_id"), F.col("url").cast("string").alias("url"), "html"), pack, "page_id long, url string, digest string, size long, z binary, shard int")
+    revisit = F.col("first").isNotNull() & (F.col("page_id") != F.col("first"))
+    placed = packed.join(firsts, "digest", "left").select("page_id", "url", "digest", "size", "shard", F.when(revisit, F.col("first")).alias("first"), F.when(~revisit, F.col("z")).alias("z"))
     system, path = opened(folder)
     system.create_dir(path, recursive=True)
     kinds = pa.schema([("shard", pa.int32()), ("part", pa.int32()), ("records", pa.int64()), ("bytes", pa.int64()), ("sha256", pa.string())])
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, path = opened(folder)
-        attempt = uuid.uuid4().hex
+        attempt, expand = uuid.uuid4().hex, zstandard.ZstdDecompressor().decompress
         shard = out = hashed = None
         part = records = size = 0
 
@@ -121,7 +121,7 @@ def write_archives(pages: DataFrame, folder: str | None = None, range_bytes: int
                     part = part + 1 if row["shard"] == shard else 0
                     shard = row["shard"]
                     begin()
-                put(page_record(row["page_id"], row["url"], row["payload"], row["size"], row["digest"], row["first"], date))
+                put(page_record(row["page_id"], row["url"], expand(row["z"]) if row["z"] else None, row["size"], row["digest"], row["first"], date))
                 records += 1
         if out is not None:
             yield close()
