@@ -11,7 +11,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare, ranks
+from .common import cut, prepare, ranks
 
 EXACT, STEPS = 2048, 256
 
@@ -62,6 +62,7 @@ def pack(counted: DataFrame, buckets: int = 16, budget: int = 16_384) -> DataFra
     spark = counted.sparkSession
     prepare(spark)
     rows = counted.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("n_tokens").cast("long"), F.lit(0).cast("long")).alias("n_tokens")).withColumn("level", level(F.col("n_tokens")))
+    rows = cut(rows)  # lengths are dear and small: counted once, then read for the histogram, the ranks and the result
     histogram = sorted((r.level, r["n"]) for r in rows.groupBy("level").agg(F.count("*").alias("n")).collect())  # bounded by the levels
     bounds = boundaries([x for x, _ in histogram], [n for _, n in histogram], buckets) or [0]
     lengths = F.array(*[F.lit(x).cast("long") for x in bounds])
