@@ -132,7 +132,7 @@ def claim_names(items: DataFrame, taken: DataFrame, converts: dict[str, str] | N
             used |= {final.lower(), landed(final)}
             following[name.lower()] = k
             out.append(final)
-        return new[names].assign(final=out)
+        return new[names].astype(object).assign(final=pd.Series(out, index=new.index, dtype=object))
 
     grouped = items.withColumn("_root", root("name")).groupBy("target", "_root")
     return grouped.cogroup(taken.select("target", "name").withColumn("_root", root("name")).groupBy("target", "_root")).applyInPandas(claim, f"{kinds}, final string")
