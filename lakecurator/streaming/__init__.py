@@ -1,0 +1 @@
+"""Streams beyond what batches offer: new index rows are decided as they arrive."""
