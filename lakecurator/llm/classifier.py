@@ -123,19 +123,23 @@ def word_vectors(contexts: np.ndarray) -> np.ndarray:
 
 
 def pooled(data: np.ndarray, offsets: np.ndarray, vectors: np.ndarray) -> np.ndarray:
-    """Mean and spread of a text's word vectors, and the damped number of words."""
+    """Mean and spread of a text's word vectors, how alike neighbours are, and the damped number of words."""
     n, width = len(offsets) - 1, vectors.shape[1]
     slot, doc = tokens(data, offsets)
     edges = np.searchsorted(doc, np.arange(n + 1))
     count = np.diff(edges)
     full = np.flatnonzero(count)
-    means, spreads = np.zeros((n, width), np.float32), np.zeros((n, width), np.float32)
+    means, spreads, alike = np.zeros((n, width), np.float32), np.zeros((n, width), np.float32), np.zeros(n)
     if len(full):
         total = np.maximum(1, count[full])[:, None]
         rows = vectors[slot]
         means[full] = np.add.reduceat(rows, edges[full], axis=0) / total
-        spreads[full] = np.sqrt(np.maximum(0, np.add.reduceat(rows * rows, edges[full], axis=0) / total - means[full] ** 2))
-    return np.concatenate([means, spreads, np.log1p(count)[:, None].astype(np.float32) / 10], 1)
+        squares = np.add.reduceat(rows * rows, edges[full], axis=0) / total - means[full] ** 2
+        spreads[full] = np.sqrt(np.maximum(0, squares) * total / np.maximum(1, total - 1))  # as of a sample, so that short texts don't look narrow
+        near = doc[1:] == doc[:-1]
+        pairs = np.einsum("ij,ij->i", rows[1:, :DIMENSIONS], rows[:-1, :DIMENSIONS])[near]
+        alike = np.bincount(doc[1:][near], pairs, n) / np.maximum(1, count - 1)
+    return np.concatenate([means, spreads, np.stack([alike, np.log1p(count) / 10], 1).astype(np.float32)], 1)
 
 
 def train(X: np.ndarray, y: np.ndarray, passes: int = 40, batch: int = 128, rate: float = 3e-3, decay: float = 1e-4, seed: int = 7) -> dict:
@@ -196,7 +200,7 @@ def fit(docs: DataFrame, labels: DataFrame, target: str = "quality", rows: int =
 
     sample = with_arrow(labelled_sample(docs, labels, target, rows), pool, "doc_id long, y int, x binary").collect()  # at most `rows` rows
     sample.sort(key=lambda r: (r.doc_id, r.y, bytes(r.x)))
-    width = 2 * vectors.shape[1] + 1
+    width = 2 * vectors.shape[1] + 2
     X = np.frombuffer(b"".join(bytes(r.x) for r in sample), np.float32).reshape(len(sample), width)
     return train(X, np.array([r.y for r in sample], np.float32)) | {"vectors": vectors}
 
