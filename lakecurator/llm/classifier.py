@@ -31,6 +31,8 @@ _FIRST = np.concatenate([[0], np.cumsum(KIND_SLOTS)[:-1]])
 SAMPLE_ROWS = 12_000
 THRESHOLD = 0.7
 HIDDEN = 24
+#: Bytes of text that are pooled at once; a word's vector takes many times its bytes.
+_POOL_BYTES = 1 << 18
 #: Partial tables that one task adds up at once, of 64 slots each.
 _FAN_IN, _BLOCK = 64, 64
 
@@ -195,7 +197,7 @@ def fit(docs: DataFrame, labels: DataFrame, target: str = "quality", rows: int =
     shared = spark.sparkContext.broadcast(vectors)
 
     def pool(batch: pa.RecordBatch) -> Iterator[dict]:
-        for first, end, data, offsets in text_slices(batch["text"]):
+        for first, end, data, offsets in text_slices(batch["text"], _POOL_BYTES):
             yield {"doc_id": batch["doc_id"].slice(first, end - first), "y": batch["y"].slice(first, end - first), "x": [r.tobytes() for r in pooled(data, offsets, shared.value)]}
 
     sample = with_arrow(labelled_sample(docs, labels, target, rows), pool, "doc_id long, y int, x binary").collect()  # at most `rows` rows
@@ -220,7 +222,7 @@ def classify(docs: DataFrame, model: dict, threshold: float = THRESHOLD) -> Data
 
     def run(batch: pa.RecordBatch) -> Iterator[dict]:
         m = shared.value
-        for first, end, data, offsets in text_slices(batch["text"]):
+        for first, end, data, offsets in text_slices(batch["text"], _POOL_BYTES):
             score = 1 / (1 + np.exp(-np.clip(logits(m, pooled(data, offsets, m["vectors"])) / m["temperature"], -30, 30)))
             part = batch.slice(first, end - first)
             yield {c: part[c] for c in kept} | {"score": score, "predicted": (score >= threshold).astype(np.int32)}
