@@ -28,7 +28,9 @@ from .common import prepare, with_arrow
 from .storage import commit, dealt, new_folder, opened, range_bounds, shard_of, write_json
 
 #: Words whose ids a task remembers.
-MEMO = 500_000
+MEMO = 1_000_000
+#: A mark that stands alone between a letter and white space, which is a part of its own.
+_MARK = re.compile(r"(?<=[a-z])([.,])(?=[ \n]|$)")
 _OTHER_SPACE = re.compile(r"[^\S \n]")
 
 
@@ -36,7 +38,8 @@ def encoder(description: str, end_id: int) -> Callable[[list[str]], Iterator[np.
     """A function from texts to their ids followed by end_id, by the tokenizers library.
 
     Under byte-level pre-tokenization a single space goes with the characters
-    after it and a single line break stands alone, so texts are cut there, and
+    after it, a single line break stands alone, and so does a point or comma
+    between a letter and white space, so texts are cut there, and
     the library encodes each distinct part once: parts that aren't remembered
     are given to it together, a line apart, and its ids are cut at the line
     breaks again. Texts with other white space, or with the text of a special
@@ -66,7 +69,7 @@ def encoder(description: str, end_id: int) -> Callable[[list[str]], Iterator[np.
                 known.append(None)
                 gaps.append([])
                 continue
-            parts = text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
+            parts = _MARK.sub("\0\\1", text).replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
             found = list(map(memo.get, parts))
             known.append(found)
             gaps.append([(i, parts[i]) for i in _places(found)])
