@@ -54,11 +54,11 @@ def review_pairs(matches: DataFrame, numbered: DataFrame) -> DataFrame:
     matches: ref, decision, reviewed; numbered: number, ref.
     """
     todo = matches.where("decision = 'review' and reviewed is null").select("ref")
-    last = numbered.agg(F.coalesce(F.max("number"), F.lit(0)).alias("last"))
+    last = numbered.agg(F.max("number")).first()[0] or 0
     new = todo.join(numbered, "ref", "left_anti")
     # the numbers of a person's review queue: one task is enough for what someone looks through
-    ranked = new.withColumn("_n", F.row_number().over(Window.orderBy("ref"))).join(F.broadcast(last), how="cross")
-    return numbered.select("number", "ref").unionByName(ranked.select((F.col("last") + F.col("_n")).cast(numbered.schema["number"].dataType).alias("number"), "ref"))
+    ranked = new.withColumn("number", (F.row_number().over(Window.orderBy("ref")) + last).cast(numbered.schema["number"].dataType))
+    return numbered.select("number", "ref").unionByName(ranked.select("number", "ref"))
 
 
 def read_answers(files: DataFrame, numbered: DataFrame) -> tuple[DataFrame, DataFrame]:
