@@ -145,7 +145,7 @@ def write_token_files(docs: DataFrame, description: str, end_id: int, folder: st
     system.create_dir(path, recursive=True)
 
     def pack(batch: pa.RecordBatch) -> Iterator[dict]:
-        squeeze = zstandard.ZstdCompressor(level=3).compress
+        squeeze = zstandard.ZstdCompressor(level=1).compress
         z = [squeeze((x or "").encode()) for x in batch["text"].to_pylist()]
         yield {"doc_id": batch["doc_id"], "shard": shard_of(batch["doc_id"].to_numpy(), bounds), "tie": [zlib.crc32(x) for x in z], "z": z}
 
