@@ -34,6 +34,22 @@ def test_greedy_equals_a_sorted_pass(spark, seed):
     assert found == greedy([(g, a, b) for (a, b), g in pairs.items()])
 
 
+@pytest.mark.parametrize("rounds", [0, 1])
+def test_the_pass_over_components_equals_a_sorted_pass(spark, rounds):
+    rng = random.Random(rounds)
+    pairs = {(f"l{a}", f"r{b}"): rng.randrange(3) for block in range(6) for a in range(10 * block, 10 * block + 10) for b in range(10 * block, 10 * block + 10) if rng.random() < 0.3}
+    df = spark.createDataFrame([(g, a, b) for (a, b), g in pairs.items()], "gap int, l string, r string")
+    found = {tuple(r) for r in matching.greedy_one_to_one(df, "l", "r", ["gap"], rounds=rounds).select("gap", "l", "r").collect()}
+    assert found == greedy([(g, a, b) for (a, b), g in pairs.items()])
+
+
+def test_long_ties_and_chains_are_matched_whole(spark):
+    ties = spark.range(1_000).select(F.col("id").alias("l")).crossJoin(spark.range(1_000).select(F.col("id").alias("r"))).select(F.lit(5).alias("gap"), "l", "r")
+    chain = spark.range(1_200).select((F.col("id") + 10_000).cast("int").alias("gap"), (F.floor((F.col("id") + 1) / 2) + 5_000).alias("l"), (F.floor(F.col("id") / 2) + 5_000).alias("r"))
+    found = {tuple(r) for r in matching.greedy_one_to_one(ties.unionByName(chain), "l", "r", ["gap"]).select("gap", "l", "r").collect()}
+    assert found == {(5, i, i) for i in range(1_000)} | greedy([tuple(r) for r in chain.collect()])
+
+
 def test_clip_pairs_equal_a_sorted_pass(spark):
     rng = random.Random(7)
     clips = [(f"c{i}", rng.randrange(500), rng.choice([1.5, 1.78]), i) for i in range(40)]
