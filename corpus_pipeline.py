@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakecurator.llm import classifier
-from lakecurator.llm.common import table
+from lakecurator.llm.common import cut, table
 from lakecurator.llm.decontaminate import decontaminate
 from lakecurator.llm.near_duplicates import near_duplicates
 from lakecurator.llm.packing import pack
@@ -27,9 +27,19 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group of near duplicates (five-word shingles, 0.8 or more)."""
-    kept = near_duplicates(docs, n=5, part=80, whole=100).where("kept").select("doc_id")
-    return docs.select(*COLUMNS).join(kept, "doc_id", "left_semi").select(*COLUMNS)
+    """The row with the smallest doc_id of each group of near duplicates (five-word shingles, 0.8 or more).
+
+    Rows are told apart by a hash of doc_id and text. Rows equal in both stay
+    once, and a null doc_id comes after all others in its group. Both are
+    elected by aggregates, so a large group of copies is never gathered.
+    """
+    row = F.struct(*[c for c in COLUMNS if c not in ("doc_id", "text")], "doc_id", "text")
+    unique = cut(docs.select(*COLUMNS).groupBy(F.xxhash64("doc_id", "text").alias("_key")).agg(F.min(row).alias("_row")).select("_key", "_row.*"))
+    found = near_duplicates(unique.select(F.col("_key").alias("doc_id"), "text"), n=5, part=80, whole=100)
+    placed = found.select(F.col("doc_id").alias("_key"), "component_id").join(unique.select("_key", "doc_id"), "_key")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("_none"), "doc_id", "_key"))["_key"]
+    kept = placed.groupBy("component_id").agg(first.alias("_key")).select("_key")
+    return unique.join(kept, "_key", "left_semi").select(*COLUMNS)
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

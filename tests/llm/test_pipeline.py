@@ -1,9 +1,10 @@
+import collections
 import random
 
 import corpus_pipeline
 import pytest
 
-from .corpora import DOCS, sentences
+from .corpora import DOCS, frame, odd, sentences
 from .test_text_ops import hits, linked, removed
 
 
@@ -63,3 +64,32 @@ def test_run_returns_the_last_stage(spark, tables):
     folder, rows, _ = tables
     found = corpus_pipeline.run(spark, folder).toPandas()
     assert {"doc_id", "n_tokens", "bucket", "batch", "place"} <= set(found.columns) and 100 < len(found) < len(rows)
+
+
+def test_one_row_of_each_group_is_kept(spark):
+    rng = random.Random(6)
+    alone, near, pair = (sentences(rng, 80) for _ in range(3))
+    rows = [(None, alone, "en", "s", 1), (None, near, "en", "s", 2), (4, near + " more", "en", "s", 3), (3, near, "en", "s", 4), (None, pair, "en", "s", 5), (None, pair + " more", "en", "s", 6), (5, sentences(rng, 80), "en", "b", 7)]
+    rows += [(5, rows[-1][1], "en", "a", 7)] * 2 + [(5, sentences(rng, 80), "en", "c", 8)]
+    found = corpus_pipeline.one_of_each(spark, frame(spark, rows), "").collect()
+    ends = collections.Counter(r.n_chars for r in found)
+    assert ends.pop(5, 0) + ends.pop(6, 0) == 1 and ends == {1: 1, 4: 1, 7: 1, 8: 1}
+    assert [r.source for r in found if r.n_chars == 7] == ["a"]
+
+
+def stages_on_odd(spark, folder, item):
+    """What the stages after the classifier, which drops by quality, leave of odd()."""
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    docs = odd(spark)
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES[1:]):
+        stage(spark, docs, folder).write.parquet(f"{folder}/{k}")
+        docs = spark.read.parquet(f"{folder}/{k}")
+        yield docs
+
+
+def test_stages_of_odd_tables(spark, tmp_path):
+    text = odd(spark).where("doc_id = 7 and n_chars = 3").first().text
+    stages = list(stages_on_odd(spark, str(tmp_path), "words of no row"))
+    for docs in stages[:3]:
+        assert collections.Counter((r.doc_id, r.text or "") for r in docs.collect()) == {(7, text): 1, (7, "another text"): 1, (None, ""): 1, (8, ""): 1, (9, ""): 1}
+    assert collections.Counter(r.doc_id for r in stages[3].collect()) == {7: 2, None: 1, 8: 1, 9: 1}
