@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lakecurator.llm import classifier
 from lakecurator.llm.common import cut, table
-from lakecurator.llm.decontaminate import decontaminate
+from lakecurator.llm.decontaminate import decontaminate, row_key
 from lakecurator.llm.near_duplicates import near_duplicates
 from lakecurator.llm.packing import pack
 from lakecurator.llm.queries import tokenizer_file
@@ -49,9 +49,9 @@ def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that don't hold a twentieth or more of benchmark windows."""
-    found = decontaminate(docs, table(spark, sf_dir, "benchmark")).where("contaminated").select("doc_id")
-    return docs.select(*COLUMNS).join(found, "doc_id", "left_anti").select(*COLUMNS)
+    """Documents that don't hold a twentieth or more of benchmark windows, each row judged by itself."""
+    found = decontaminate(docs, table(spark, sf_dir, "benchmark"), key="_key").where("contaminated").select("_key")
+    return docs.select(*COLUMNS).withColumn("_key", row_key()).join(found, "_key", "left_anti").select(*COLUMNS)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

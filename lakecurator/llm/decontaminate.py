@@ -100,7 +100,12 @@ def _spans(source: DataFrame, items: DataFrame, k: int, width: int, reach: int)
     return spans.where(F.col("high") - F.col("low") >= k + width - 1)
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13) -> DataFrame:
+def row_key() -> Column:
+    """What tells rows of documents apart, whatever their doc_id; never null."""
+    return F.xxhash64(F.col("doc_id").cast("long"), F.col("text"))
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, key: str | None = None) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items (sorted array of strings) and contaminated for each row of docs.
 
     Words are maximal runs of digits, lower-cased letters and non-ASCII
@@ -109,11 +114,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13) -> Da
     inside any occurrence of a window is hit; contaminated means n_hit > 0 and
     20 * n_hit >= n_words. Null texts have no words. Rows are told apart by
     a hash of doc_id and text, so repeated rows get equal results and doc_id
-    may be null. Items of equal words are looked up once, and each is reported.
+    may be null; `key` names a column that returns it: see row_key(). Items of equal words are looked up once, and each is reported.
     `window` is at least 2.
     """
     prepare(docs.sparkSession)
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("doc", F.xxhash64("doc_id", "text"))
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("doc", row_key())
     listed = benchmark.select(F.col("item_id").cast("string").alias("item_id"), words_of(F.col("text")).alias("words")).where("size(words) > 0 and item_id is not null")
     listed = listed.withColumn("class", F.sha2(F.concat_ws(" ", "words"), 256)).checkpoint()
     items = listed.groupBy("class").agg(F.first("words").alias("words")).checkpoint()
@@ -139,5 +144,5 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13) -> Da
         named = hits.select("doc", "class").distinct().join(listed.select("class", "item_id"), "class").groupBy("doc").agg(F.sort_array(F.collect_set("item_id")).alias("items"))
         summary = covered.join(named, "doc")
     out = counts.join(summary, "doc", "left")
-    out = out.select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+    out = out.select("doc_id", *([F.col("doc").alias(key)] if key else []), "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))

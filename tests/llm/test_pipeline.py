@@ -93,3 +93,14 @@ def test_stages_of_odd_tables(spark, tmp_path):
     for docs in stages[:3]:
         assert collections.Counter((r.doc_id, r.text or "") for r in docs.collect()) == {(7, text): 1, (7, "another text"): 1, (None, ""): 1, (8, ""): 1, (9, ""): 1}
     assert collections.Counter(r.doc_id for r in stages[3].collect()) == {7: 2, None: 1, 8: 1, 9: 1}
+
+
+def test_contaminated_rows_are_dropped_singly(spark, tmp_path):
+    rng = random.Random(9)
+    item = sentences(rng, 40)
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    texts = [item + " tail", "a clean text", item + " end", "another clean text", item + " last"]
+    rows = [(i, t, "en", "s", k) for k, (i, t) in enumerate(zip([None, None, 7, 7, 8], texts))] + [(7, texts[2], "en", "s", 5)]
+    found = corpus_pipeline.uncontaminated(spark, frame(spark, rows), str(tmp_path))
+    assert found.columns == corpus_pipeline.COLUMNS
+    assert sorted((r.n_chars, r.doc_id) for r in found.collect()) == [(1, None), (3, 7)]
