@@ -56,7 +56,7 @@ def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Length buckets and token-budget batches of what is left."""
-    return pack(token_counts(docs, tokenizer_file("byte_bpe_50k.tiktoken")))
+    return pack(token_counts(docs, tokenizer_file("byte_bpe_50k.tiktoken"), whole=True))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

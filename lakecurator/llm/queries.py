@@ -61,7 +61,7 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_optimal_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(token_counts(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.tiktoken")))
+    return pack(token_counts(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.tiktoken"), whole=True))
 
 
 def op8_ngram_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

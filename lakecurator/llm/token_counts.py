@@ -34,10 +34,13 @@ class Automaton:
 
     Pieces that start with a space begin words, others continue them; pieces
     with further white space take no part. A word that can't be matched whole
-    counts as one unknown piece.
+    counts as one unknown piece. With whole it is matched all the same: where
+    no piece begins it, a lone space is a token of its own and continuing
+    pieces follow, and a byte that no piece fits is a token.
     """
 
-    def __init__(self, pieces: Iterable[bytes]):
+    def __init__(self, pieces: Iterable[bytes], whole: bool = False):
+        self.whole = whole
         self.step: list[dict[int, int]] = [{}, {}]
         final = {0, 1}
         for piece in pieces:
@@ -51,6 +54,8 @@ class Automaton:
             final.add(node)
         self.fail: list[int] = [-1] * len(self.step)
         self.popped = [0] * len(self.step)
+        if whole:
+            self.fail[0], self.popped[0] = 1, 1
         waiting = deque((root, byte, child) for root in (0, 1) for byte, child in self.step[root].items())
         while waiting:
             parent, byte, node = waiting.popleft()
@@ -63,6 +68,8 @@ class Automaton:
                     link = self.fail[link]
                 if link >= 0:
                     self.fail[node], self.popped[node] = self.step[link][byte], popped
+                elif whole:  # from the continuing root, and no piece is this byte
+                    self.fail[node], self.popped[node] = 1, popped + 1
             waiting.extend((node, b, child) for b, child in self.step[node].items())
 
     def count(self, word: bytes) -> int:
@@ -71,10 +78,14 @@ class Automaton:
         for byte in word:
             while byte not in step[node]:
                 if fail[node] < 0:
-                    return 1
+                    if not self.whole:
+                        return 1
+                    total += 1
+                    break
                 total += popped[node]
                 node = fail[node]
-            node = step[node][byte]
+            else:
+                node = step[node][byte]
         while node != 1:
             if fail[node] < 0:
                 return 1
@@ -95,15 +106,16 @@ class _Memo(dict):
         return found
 
 
-_made: dict[int, _Memo] = {}
+_made: dict[tuple[int, bool], _Memo] = {}
 
 
-def token_counts(docs: DataFrame, path: str, keep: list[str] | None = None) -> DataFrame:
+def token_counts(docs: DataFrame, path: str, keep: list[str] | None = None, whole: bool = False) -> DataFrame:
     """doc_id, the columns named in keep, n_words and n_tokens for each row of docs.
 
     Words are split at ASCII white space in the whole text and counted by
-    greedy longest match with the vocabulary file at path. Null and empty texts
-    have no words. Rows are independent, so repeated rows and null ids come back as they are.
+    greedy longest match with the vocabulary file at path; a word that can't be
+    matched counts as one unknown piece, or with whole as all its tokens, so
+    that counts are lengths. Null and empty texts have no words. Rows are independent, so repeated rows and null ids come back as they are.
     """
     prepare(docs.sparkSession)
     extra = keep or []
@@ -111,10 +123,10 @@ def token_counts(docs: DataFrame, path: str, keep: list[str] | None = None) -> D
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary(path))
 
     def run(batch: pa.RecordBatch) -> Iterator[dict]:
-        key = id(shared.value)
+        key = (id(shared.value), whole)
         if key not in _made:
             _made.clear()
-            _made[key] = _Memo(Automaton(shared.value))
+            _made[key] = _Memo(Automaton(shared.value, whole))
         memo = _made[key].__getitem__
         words = [(x or "").encode().split() for x in batch["text"].to_pylist()]
         yield {c: batch[c] for c in ["doc_id", *extra]} | {"n_words": [len(x) for x in words], "n_tokens": [sum(map(memo, x)) for x in words]}

@@ -56,6 +56,49 @@ def test_counts_equal_brute_force(spark):
     assert token_counts(odd(spark), PIECES, ["n_words"] if False else ["label"]).count() == 7
 
 
+def whole_match(word, first, later):
+    at = next((e for e in range(len(word), 0, -1) if word[:e] in first), 0)
+    count = 1
+    while at < len(word):
+        count, at = count + 1, next((e for e in range(len(word), at, -1) if word[at:e] in later), at + 1)
+    return count
+
+
+def test_whole_counts_equal_longest_match_on_random_vocabularies():
+    rng = random.Random(23)
+    for _ in range(200):
+        pieces = {bytes(rng.choices(b"abc", k=rng.randint(1, 4))) for _ in range(rng.randint(1, 12))}
+        pieces |= {b" " + bytes(rng.choices(b"abc", k=rng.randint(1, 4))) for _ in range(rng.randint(0, 6))}
+        automaton, (first, later) = Automaton(pieces, whole=True), split_vocabulary(pieces)
+        for _ in range(40):
+            word = bytes(rng.choices(b"abcd", weights=[5, 5, 5, 1], k=rng.randint(1, 9)))
+            assert automaton.count(word) == whole_match(word, first, later), (pieces, word)
+
+
+def test_lengths_of_words_that_no_piece_begins(spark):
+    texts = ["中文沒有空格所以很長" * 100, "한국어 문장 입니다", "этот юг яркий щит рядом чай", "plain words", "\U0001f600\U0001f680", None]
+    first, later = split_vocabulary(vocabulary(PIECES))
+    rows = [(i, t, "xx", "s", 0) for i, t in enumerate(texts)]
+    found = {r.doc_id: (r.n_words, r.n_tokens) for r in token_counts(frame(spark, rows), PIECES, whole=True).collect()}
+    assert found == {i: (len(w), sum(whole_match(x, first, later) for x in w)) for i, w in enumerate((t or "").encode().split() for t in texts)}
+    assert found[0][1] >= 500 and found[1][1] > 3 and found[2][1] > 6
+
+
+def test_packing_counts_such_words_whole(spark, tmp_path):
+    import corpus_pipeline
+    from lakecurator.llm import queries
+
+    spark.createDataFrame([(i, "中文沒有空格所以很長" * 300, "zh", "s", 3000) for i in range(20)] + [(99, "short", "en", "s", 5)], DOCS).write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for found in (queries.op7_optimal_length_buckets(spark, str(tmp_path)), corpus_pipeline.packed(spark, docs, str(tmp_path))):
+        rows = found.collect()
+        sizes = {}
+        for r in rows:
+            sizes.setdefault((r.bucket, r.batch), []).append(r.bucket_len)
+        assert len(rows) == 21 and all(sum(x) <= 16_384 or len(x) == 1 for x in sizes.values())
+        assert all(r.n_tokens > 1_000 for r in rows if r.doc_id != 99)
+
+
 def test_boundaries_are_optimal():
     rng = random.Random(4)
     for _ in range(60):
