@@ -26,11 +26,16 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share, as spark.checkpoint.dir names it.
 
     Where that is unset, as in local tests, a temporary folder is made and set.
+    On a cluster executors wouldn't share it, so there the setting must be given.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
     if not folder:
-        folder = context.getCheckpointDir() or tempfile.mkdtemp(prefix="lakecurator-")
+        folder = context.getCheckpointDir()
+    if not folder:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="lakecurator-")
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(folder)
     return folder
@@ -68,14 +73,15 @@ def with_arrow(df: DataFrame, function: Callable[[pa.RecordBatch], Iterator[dict
     return df.mapInArrow(run, schema)
 
 
-def packed_texts(docs: DataFrame) -> DataFrame:
-    """(doc_id, z): texts compressed before a shuffle that must move them; null is an empty text."""
+def packed_texts(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """(doc_id, z) and long columns to keep: texts compressed before a shuffle that must move them; null is an empty text."""
+    keep = keep or []
 
     def pack(batch: pa.RecordBatch) -> Iterator[dict]:
         squeeze = zstandard.ZstdCompressor(level=3).compress
-        yield {"doc_id": batch["doc_id"], "z": [squeeze((x or "").encode()) for x in batch["text"].to_pylist()]}
+        yield {c: batch[c] for c in ["doc_id", *keep]} | {"z": [squeeze((x or "").encode()) for x in batch["text"].to_pylist()]}
 
-    return with_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), pack, "doc_id long, z binary")
+    return with_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *keep), pack, ", ".join([f"{c} long" for c in ["doc_id", *keep]]) + ", z binary")
 
 
 def unpacked(column: pa.Array) -> pa.Array:
@@ -84,28 +90,23 @@ def unpacked(column: pa.Array) -> pa.Array:
     return pa.array([expand(x) if x else b"" for x in column.to_pylist()], pa.large_binary()).cast(pa.large_string())
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, component) for the nodes of edges (a, b); component is the smallest node reachable.
 
-    Each round takes the least label among the neighbours, then follows the
-    label's own label, so chains shorten by doubling. Labels are aggregated
-    before every shuffle and no round gathers a node's neighbours.
+    Each round the nodes whose label fell tell their neighbours, then every
+    label follows its own label, so chains shorten by doubling. What didn't
+    change isn't sent again. Labels are aggregated before every shuffle and no
+    round gathers a node's neighbours.
     """
-    both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct()
-    both = cut(both)
-    labels = both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("component"))
-    labels = cut(labels)
-    for _ in range(max_rounds):
-        near = both.join(labels.select(F.col("node").alias("b"), "component"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("least"))
-        lower = labels.join(near, "node").select("node", F.least("component", "least").alias("component"), F.col("component").alias("was"))
+    both = cut(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
+    labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("least")).select("node", F.least("node", "least").alias("component"), F.col("node").alias("was")))
+    while not labels.where("component <> was").isEmpty():
+        fell = labels.where("component <> was").select(F.col("node").alias("b"), "component")
+        near = both.join(fell, "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("least"))
+        lower = labels.join(near, "node", "left").select("node", F.least("component", "least").alias("component"), F.col("component").alias("was"))
         jump = labels.select(F.col("node").alias("component"), F.col("component").alias("further"))
-        stepped = cut(lower.join(jump, "component", "left").select("node", F.least("component", "further").alias("component"), "was"))
-        labels = stepped.select("node", "component")
-        if stepped.where("component <> was").isEmpty():
-            break
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    return labels
+        labels = cut(lower.join(jump, "component", "left").select("node", F.least("component", "further").alias("component"), "was"))
+    return labels.select("node", "component")
 
 
 def ranks(df: DataFrame, group: str, order: list[str], slots: int = 4096) -> DataFrame:

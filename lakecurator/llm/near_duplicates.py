@@ -116,18 +116,25 @@ def band_keys(regs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return keys, brief
 
 
+def _shares() -> np.ndarray:
+    """For two set sizes, in quarters of a doubling: the share of buckets in which registers of disjoint sets agree."""
+    level, steps = np.arange(0, 40), np.arange(1 << MANTISSA)
+    low = ((1 + steps[None, :] / (1 << MANTISSA)) * 2.0 ** -(level[:, None] + 1)).reshape(-1)
+    width = np.repeat(2.0 ** -(level + 1.0 + MANTISSA), len(steps))
+    within = np.stack([np.exp(-n * low) - np.exp(-n * (low + width)) for n in 2.0 ** (np.arange(4 * _SIZES) / 4) / REGISTERS])  # the least value lies in the interval
+    return within @ within.T
+
+
+_SIZES = 26  # doublings of a set's size
+_tables: list[np.ndarray] = []
+
+
 def chance_collision(n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
-    """Expected share of buckets in which registers of disjoint sets agree, over the register's intervals."""
-    level = np.arange(0, 40)
-    steps = np.arange(1 << MANTISSA)
-    low = (1 + steps[None, :] / (1 << MANTISSA)) * 2.0 ** -(level[:, None] + 1)
-    high = low + 2.0 ** -(level[:, None] + 1 + MANTISSA)
-    keys, index = np.unique(np.round(np.log2(np.maximum(1, np.stack([n_a, n_b], 1))) * 4), axis=0, return_inverse=True)
-    found = []
-    for a, b in 2.0 ** (keys / 4) / REGISTERS:
-        within = lambda n: np.exp(-n * low) - np.exp(-n * high)  # noqa: E731  the least value lies in the interval
-        found.append(float((within(a) * within(b)).sum()))
-    return np.array(found)[index.reshape(-1)] if len(found) else np.zeros(0)
+    """Expected share of buckets in which registers of disjoint sets of these sizes agree."""
+    if not _tables:
+        _tables.append(_shares())
+    at = [np.clip(np.round(np.log2(np.maximum(1, n)) * 4).astype(np.int64), 0, 4 * _SIZES - 1) for n in (n_a, n_b)]
+    return _tables[0][at[0], at[1]]
 
 
 def estimates(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -152,7 +159,7 @@ def _sketch(n: int):
                     edge = np.concatenate([[0], np.cumsum(counts)])
                     digests.append((sums[edge[1:]] - sums[edge[:-1]]).view(np.int64))
             regs = registers(owner, grams, size)
-            yield {"doc_id": ids.slice(first, size), "n_shingles": counts, "d1": digests[0], "d2": digests[1], "regs": [x.tobytes() for x in regs]}
+            yield {"doc_id": ids.slice(first, size), "row": batch["row"].slice(first, size), "n_shingles": counts, "d1": digests[0], "d2": digests[1], "regs": [x.tobytes() for x in regs]}
 
     return run
 
@@ -200,7 +207,9 @@ def _in_blocks(many: DataFrame, facts: DataFrame, n: int, part: int, whole: int)
     """Links (a, b) between strays and members of keys that have many of both.
 
     Keys that share documents form a cluster; its strays and its members are
-    dealt into blocks by hash, and a task compares one block of each.
+    dealt into blocks by hash, and a task compares one block of each. Of the
+    links that it finds it gives a spanning forest over components, so their
+    number doesn't grow with the pairs.
     """
     hubs = cut(many.groupBy("key").agg(F.min("doc").alias("hub")))
     joined = components(many.join(hubs, "key").where("doc <> hub").select(F.col("doc").alias("a"), F.col("hub").alias("b")))
@@ -209,8 +218,8 @@ def _in_blocks(many: DataFrame, facts: DataFrame, n: int, part: int, whole: int)
     sizes = docs.groupBy("cluster").agg(F.ceil(F.count("*") / _MEMBERS).alias("mbs"), F.ceil(F.count_if("stray") / _STRAYS).alias("sbs"))
     sizes = cut(sizes.where("sbs > 0"))
     deal = lambda df, count: df.join(sizes, "cluster").withColumn("block", F.pmod(F.xxhash64("doc"), F.col(count)))
-    texts = facts.select(F.col("doc_id").alias("doc"), "z", "n", "regs")
-    listed = lambda df: cut(df.join(texts, "doc").groupBy("cluster", "block").agg(F.collect_list(F.struct("doc", "component", "stray", "z", "n", "regs")).alias("texts")))
+    texts = facts.select(F.col("doc_id").alias("doc"), "z", "n")
+    listed = lambda df: cut(df.join(texts, "doc").groupBy("cluster", "block").agg(F.collect_list(F.struct("doc", "component", "stray", "z", "n")).alias("texts")))
     m, s = listed(deal(docs, "mbs")), listed(deal(docs.where("stray"), "sbs"))
     met = cut(m.select("cluster", F.col("block").alias("mb")).join(s.select("cluster", F.col("block").alias("sb")), "cluster"))
     met = met.join(m.select("cluster", F.col("block").alias("mb"), F.col("texts").alias("m")), ["cluster", "mb"])
@@ -226,18 +235,21 @@ def _in_blocks(many: DataFrame, facts: DataFrame, n: int, part: int, whole: int)
                 grams = np.concatenate(sets[0])
                 order = np.argsort(grams, kind="stable")
                 grams, owner = grams[order], owner[order]
-                n_m, doc_m, comp_m, stray_m = (one[c].to_numpy(zero_copy_only=False) for c in ("n", "doc", "component", "stray"))
-                doc_s, comp_s = (other[c].to_numpy() for c in ("doc", "component"))
+                n_m, doc_m, root_m, stray_m = (one[c].to_numpy(zero_copy_only=False).copy() for c in ("n", "doc", "component", "stray"))
+                doc_s, root_s = (other[c].to_numpy().copy() for c in ("doc", "component"))
                 for k, own in enumerate(sets[1]):
-                    may = (comp_m != comp_s[k]) & (~stray_m | (doc_m < doc_s[k])) & (whole * np.minimum(n_m, len(own)) >= part * np.maximum(n_m, len(own)))
+                    may = (root_m != root_s[k]) & (~stray_m | (doc_m < doc_s[k])) & (whole * np.minimum(n_m, len(own)) >= part * np.maximum(n_m, len(own)))
                     if not may.any():
                         continue
                     low, high = np.searchsorted(grams, own, "left"), np.searchsorted(grams, own, "right")
                     count = high - low
                     at = np.repeat(low - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
                     both = np.bincount(owner[at], minlength=len(n_m))
-                    hit = may & (whole * both >= part * (n_m + len(own) - both))
-                    found += [(min(int(doc_s[k]), int(d)), max(int(doc_s[k]), int(d))) for d in doc_m[hit]]
+                    hit = np.flatnonzero(may & (whole * both >= part * (n_m + len(own) - both)))
+                    joined, first = np.unique(root_m[hit], return_index=True)  # one link for each component that this text joins
+                    found += [(min(int(doc_s[k]), int(d)), max(int(doc_s[k]), int(d))) for d in doc_m[hit[first]]]
+                    for roots in (root_m, root_s):
+                        roots[np.isin(roots, joined)] = root_s[k]
                 yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in found], pa.int64()) for j in (0, 1)], ["a", "b"])
 
     return cut(met.select("m", "s").mapInArrow(run, "a long, b long").distinct())
@@ -259,26 +271,29 @@ def near_duplicates(docs: DataFrame, n: int = 5, part: int = 80, whole: int = 10
     smallest doc_id reachable. Null and empty texts have an empty set and no
     link. Rows with a null doc_id are returned as kept with a null component.
     Rows that repeat a doc_id are each returned, linked by any of their texts.
-    An empty table gives an empty result.
+    An empty table gives an empty result. Very long texts are hashed whole.
     """
     spark = docs.sparkSession
     prepare(spark)
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sketch = with_arrow(source, _sketch(n), "doc_id long, n_shingles long, d1 long, d2 long, regs binary")
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("row", F.xxhash64("text"))
+    sketch = cut(with_arrow(source, _sketch(n), "doc_id long, row long, n_shingles long, d1 long, d2 long, regs binary"))
     equal = cut(sketch.where("n_shingles > 0 and doc_id is not null").groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")).where("copies > 1").drop("copies"))
     first = F.when(F.col("doc_id").isNotNull(), F.coalesce("first", "doc_id"))
-    known = cut(sketch.join(equal, ["d1", "d2", "n_shingles"], "left").select("doc_id", "n_shingles", first.alias("first"), F.when(first == F.col("doc_id"), F.col("regs")).alias("regs")))
+    known = cut(sketch.join(equal, ["d1", "d2", "n_shingles"], "left").select("doc_id", "row", "n_shingles", first.alias("first"), F.when(first == F.col("doc_id"), F.col("regs")).alias("regs")))
     single = known.where("n_shingles > 0 and regs is not null")
 
     bands = with_arrow(single.select("doc_id", "regs"), _bands, "key long, doc long, brief long")
     shared = cut(bands.groupBy("key").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high").select("key"))
     members = cut(bands.join(shared, "key"))
     wanted = cut(members.select(F.col("doc").alias("doc_id")).distinct())
-    facts = cut(packed_texts(source).join(wanted, "doc_id").join(single.select("doc_id", F.col("n_shingles").alias("n"), "regs"), "doc_id"))
+    texts = packed_texts(source, ["row"]).join(wanted, "doc_id").dropDuplicates(["doc_id", "row"])  # a repeated id has its own texts' registers
+    facts = cut(texts.join(single.select("doc_id", "row", F.col("n_shingles").alias("n"), "regs").join(wanted, "doc_id").dropDuplicates(["doc_id", "row"]), ["doc_id", "row"]).drop("row"))
 
     def confirmed(pairs: DataFrame) -> DataFrame:
+        """Links among pairs (doc, with). Many share a hub, `with`, so it is joined first, to bare ids, and the work is dealt by doc."""
+        pairs = pairs.select(F.col("doc").alias("a"), F.col("with").alias("b"))
         side = lambda s: facts.select(F.col("doc_id").alias(s), F.col("z").alias(f"z_{s}"), F.col("n").alias(f"n_{s}"), F.col("regs").alias(f"regs_{s}"))
-        return cut(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_confirm(n, part, whole), "a long, b long").distinct())
+        return cut(pairs.join(side("b"), "b").join(side("a"), "a").mapInArrow(_confirm(n, part, whole), "a long, b long").distinct())
 
     labels = wanted.select(F.col("doc_id").alias("doc"), F.col("doc_id").alias("component"))
 
@@ -302,7 +317,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, part: int = 80, whole: int = 10
             near = placed.join(hubs, "key").where((F.col("component") != F.col("hub.component")) & (_agree(F.col("brief"), F.col("hub.brief")) >= _BRIEF_LEAST))
             near = near.groupBy("doc", F.col("hub.doc").alias("with")).agg(F.count("*").alias("keys"))
             best = near.withColumn("place", F.row_number().over(Window.partitionBy("doc").orderBy(F.desc("keys"), "with"))).where(F.col("place") <= partners)
-            links = confirmed(best.select(F.least("doc", "with").alias("a"), F.greatest("doc", "with").alias("b")).distinct())
+            links = confirmed(best)
         else:
             sizes = placed.groupBy("key", "component").agg(F.count("*").alias("size"))
             largest = sizes.groupBy("key").agg(F.max_by("component", F.struct("size", "component")).alias("main"), F.sum("size").alias("all"), F.max("size").alias("most"))
@@ -311,7 +326,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, part: int = 80, whole: int = 10
             few = split.where("not many")
             strays = few.where("stray").select("key", F.col("doc").alias("s"), F.col("brief").alias("sb"), F.col("component").alias("sc"))
             near = strays.join(few, "key").where((F.col("component") != F.col("sc")) & (~F.col("stray") | (F.col("doc") < F.col("s"))) & (_agree(F.col("brief"), F.col("sb")) >= _BRIEF_LEAST))
-            links = confirmed(near.select(F.least("doc", "s").alias("a"), F.greatest("doc", "s").alias("b")).distinct())
+            links = confirmed(near.select(F.col("s").alias("doc"), F.col("doc").alias("with")).distinct())
             many = split.where("many")
             if not many.isEmpty():
                 links = links.union(_in_blocks(many, facts, n, part, whole)).distinct()

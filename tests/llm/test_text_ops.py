@@ -1,5 +1,6 @@
 import collections
 import hashlib
+import random
 import re
 
 import numpy as np
@@ -71,6 +72,27 @@ def test_strays_in_blocks_equal_brute_force(spark, monkeypatch, members, strays)
     assert 2 < sum(kept for *_, kept in expected.values()) < 60
 
 
+def test_links_grow_with_the_members_of_a_group(spark, monkeypatch):
+    monkeypatch.setattr(nd, "_FEW", 16)
+    monkeypatch.setattr(nd, "_MEMBERS", 64)
+    made, count = [], nd.components
+    monkeypatch.setattr(nd, "components", lambda edges: made.append(edges.count()) or count(edges))
+    most = []
+    for size in (150, 300):
+        rng, made[:] = random.Random(9), []
+        words = sentences(rng, 200).split()
+        rows = []
+        for i in range(size):  # some pairs reach 0.8, many just miss it
+            own = list(words)
+            for j in rng.sample(range(200), rng.randrange(4, 14)):
+                own[j] = f"w{rng.randrange(10**6)}"
+            rows.append((i, " ".join(own), "en", "s", 1))
+        found = nd.near_duplicates(frame(spark, rows), n=2).collect()
+        assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in found} == linked(rows, 2)
+        most.append(max(made))
+    assert most[1] <= 12 * 300 and most[1] <= 3 * most[0] + 100
+
+
 def test_near_duplicates_of_odd_tables(spark):
     found = nd.near_duplicates(odd(spark), n=2).collect()
     assert collections.Counter((r.doc_id, r.component_id, r.kept) for r in found) == {(None, None, True): 2, (7, 7, True): 3, (8, 8, True): 1, (9, 9, True): 1}
