@@ -73,6 +73,20 @@ def with_arrow(df: DataFrame, function: Callable[[pa.RecordBatch], Iterator[dict
     return df.mapInArrow(run, schema)
 
 
+class Carried:
+    """Columns that a task hands on: under neutral names inside, so that no name clashes, and restored after."""
+
+    def __init__(self, df: DataFrame, keep: list[str], own: list[str]):
+        kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+        self.names = [f"_x{i}" for i in range(len(keep))]
+        self.columns = [F.col(f"`{c}`").alias(x) for c, x in zip(keep, self.names)]
+        self.ddl = [f"{x} {kinds[c]}" for c, x in zip(keep, self.names)]
+        self._after = {x: f"{c}_in" if c in own else c for c, x in zip(keep, self.names)}
+
+    def restored(self, df: DataFrame) -> DataFrame:
+        return df.select(*[F.col(c).alias(self._after.get(c, c)) for c in df.columns])
+
+
 def packed_texts(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """(doc_id, z) and long columns to keep: texts compressed before a shuffle that must move them; null is an empty text."""
     keep = keep or []

@@ -1,40 +1,46 @@
-"""Removal of long passages that repeat, by prefix-partitioned suffix subtrees.
+"""Removal of long passages that repeat, by prefix-partitioned suffix trees.
 
 A passage repeats if some window of consecutive words starts at two places of
-the corpus. Only suffixes that can take part are put into trees:
-
-1. Every window selects its least k-word gram, the anchor; equal windows select
-   equal anchors at the same offset. Anchors that occur once are dropped, and
-   with them all windows that chose them.
-2. A remaining anchor is the prefix of its suffix, and the suffixes of one
-   prefix form a subtree. Branches are labelled with hashes of the whole
-   window that leads through the anchor, so a node as deep as the window with
-   two leaves is a repeat; deeper branching can't change what is removed.
-3. Prefixes vary in length: one with more suffixes than a task should hold is
-   extended to the whole window, and those longer prefixes are counted by
-   Spark's own aggregation, whatever their number of occurrences.
-
-A window is identified by two 64-bit hashes, its anchor's and its own.
+the corpus. Not every suffix needs a tree: every window selects its least
+k-word gram, so the suffixes that begin at selected grams, the anchors, meet
+every window, and equal windows meet theirs at the same offset.
+
+1. Suffixes are grouped by their prefix, at first the anchor. Prefixes that
+   occur once are dropped. One with more suffixes than a task should hold is
+   lengthened: the offsets at which windows meet the anchor are split, and the
+   words that all windows of a part share, before the anchor and after it, are
+   the longer prefix. It grows in steps up to the whole window, where nothing
+   is left to sort and a count of its occurrences decides.
+2. A task sorts the suffixes of its prefixes word by word. Neighbours' common
+   lengths give the internal nodes of the subtree: suffixes between two shorter
+   common lengths share a node of that depth. The words before the anchors,
+   read backwards, give a second tree in the same way.
+3. A window that meets its anchor at offset d is a path of d words in the second
+   tree and of window - d words in the first. Two leaves that share both nodes
+   are two occurrences, which is a maximal repeat at least as deep as the window.
 """
 
 from __future__ import annotations
 
 import hashlib
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare, shared_dir, unpacked, with_arrow
+from .common import Carried, cut, prepare, unpacked, with_arrow
+from .storage import new_folder
 from .wordhash import U64, ngram_hashes, span_hashes, text_slices, word_bounds
 
 ANCHOR_WORDS = 10
-#: Suffixes of one prefix that a task may hold together; a longer prefix is taken beyond it.
-GROUP_LIMIT = 50_000
+#: Suffixes of one prefix that a task may hold together; the prefix is lengthened beyond it.
+GROUP_LIMIT = 4096
+#: Halvings of the offsets at each lengthening of a prefix.
+_STEP = 2
 
 
 def _windows(words: np.ndarray, doc: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -54,131 +60,202 @@ def _windows(words: np.ndarray, doc: np.ndarray, window: int) -> tuple[np.ndarra
     return starts, anchors, grams
 
 
+def _anchored(data: np.ndarray, offsets: np.ndarray, window: int):
+    """Words' bounds, texts and hashes; anchors with the least and largest offset of the windows that chose them; gram hashes."""
+    starts, ends, doc = word_bounds(data, offsets)
+    words = span_hashes(data, starts, ends)
+    begins, chosen, grams = _windows(words, doc, window)
+    head = np.flatnonzero(np.diff(chosen, prepend=-1))
+    tail = np.append(head, len(chosen))[1:] - 1
+    at = chosen[head]
+    return starts, ends, doc, words, at, at - begins[tail], at - begins[head], grams
+
+
 def _anchors(window: int):
     def run(batch: pa.RecordBatch) -> Iterator[dict]:
-        rids = batch["_rid"].to_numpy()
+        rids, own = batch["_rid"].to_numpy(), batch["_own"].to_numpy()
         for first, _, data, offsets in text_slices(batch["text"]):
-            starts, ends, doc = word_bounds(data, offsets)
-            _, at, grams = _windows(span_hashes(data, starts, ends), doc, window)
-            at = np.unique(at)
-            base = np.searchsorted(doc, doc[at])
-            yield {"gram": grams[at].view(np.int64), "_rid": rids[first + doc[at]], "pos": (at - base).astype(np.int32)}
+            _, _, doc, _, at, _, _, grams = _anchored(data, offsets, window)
+            row = first + doc[at]
+            yield {"key": grams[at].view(np.int64), "_rid": rids[row], "_own": own[row], "pos": (at - np.searchsorted(doc, doc[at])).astype(np.int32)}
 
     return run
 
 
-def _one(text: pa.Array, window: int):
-    """Of one text: words' bounds, bytes, window hashes, anchors and the first window of each equal set."""
-    data, offsets = next(((d, o) for _, _, d, o in text_slices(text)), (np.zeros(0, np.uint8), np.zeros(2, np.int64)))
-    starts, ends, doc = word_bounds(data, offsets)
-    words = span_hashes(data, starts, ends)
-    _, at, grams = _windows(words, doc, window)
-    hashes = ngram_hashes(words, window, 3)
-    _, same = np.unique(hashes, return_inverse=True) if len(hashes) else (None, np.zeros(0, np.int64))
-    return data, starts, ends, hashes, at, grams, same
+_SUFFIX = "key long, _rid long, _own long, pos int, lo int, hi int, words binary"
 
 
-def _firsts(same: np.ndarray) -> np.ndarray:
-    first = np.zeros(len(same), bool)
-    first[np.unique(same, return_index=True)[1]] = True
-    return first
+def _between(raw: bytes, low: np.ndarray, high: np.ndarray) -> list[bytes]:
+    return [raw[i:j] for i, j in zip(low.tolist(), high.tolist())]
 
 
-_SUFFIX = "gram long, _rid long, pos int, heavy boolean, windows binary"
+def _suffixes(window: int):
+    """Leaves of the subtrees: an anchor with the words of all windows that chose it, from the first one's start to the last one's end."""
 
+    def run(batch: pa.RecordBatch) -> Iterator[dict]:
+        batch = batch.filter(batch["_places"].is_valid())
+        rids, own = batch["_rid"].to_numpy(), batch["_own"].to_numpy()
+        for first, end, data, offsets in text_slices(unpacked(batch["_z"])):
+            starts, ends, doc, _, at, lo, hi, grams = _anchored(data, offsets, window)
+            places = batch["_places"].slice(first, end - first)
+            listed = (np.repeat(np.arange(end - first), places.value_lengths().to_numpy()) << 32) | places.flatten().to_numpy()
+            pos = at - np.searchsorted(doc, doc[at])
+            use = np.isin((doc[at] << 32) | pos, listed)
+            at, lo, hi, pos = at[use], lo[use], hi[use], pos[use]
+            row = first + doc[at]
+            yield {"key": grams[at].view(np.int64), "_rid": rids[row], "_own": own[row], "pos": pos.astype(np.int32), "lo": lo.astype(np.int32), "hi": hi.astype(np.int32), "words": _between(data.tobytes(), starts[at - hi], ends[at - lo + window - 1])}
 
-def _suffixes(window: int):
-    """Rows of the subtrees: an anchor with the hashes of the windows that chose it, each window once a text."""
+    return run
+
+
+def _leaves(batch: pa.RecordBatch | pa.Table) -> Iterator[tuple]:
+    """(first row, end row, bytes, words' starts, ends and rows, hashes) of suffixes' words."""
+    for first, end, data, offsets in text_slices(batch["words"]):
+        starts, ends, row = word_bounds(data, offsets)
+        yield first, end, data, starts, ends, row, span_hashes(data, starts, ends)
+
+
+def _offsets(window: int) -> int:
+    return window - min(ANCHOR_WORDS, window) + 1
+
+
+def _longer(window: int, level: int):
+    """Suffixes by longer prefixes: offsets are cut into 2**level parts, and a suffix goes to each part that it has windows in."""
 
     def run(batch: pa.RecordBatch) -> Iterator[dict]:
-        out: dict[str, list] = {"gram": [], "_rid": [], "pos": [], "heavy": [], "windows": []}
-        size = 0
-        for rid, z, places in zip(batch["_rid"].to_pylist(), batch["_z"], batch["_places"]):
-            if not places.is_valid:
-                continue
-            _, _, _, hashes, at, grams, same = _one(unpacked(pa.array([z.as_py()])), window)
-            listed = places.values.to_numpy()
-            heavy = dict(zip((listed >> 1).tolist(), (listed & 1).tolist()))
-            chosen = np.flatnonzero(_firsts(same) & np.isin(at, listed >> 1))
-            cut = np.flatnonzero(np.diff(at[chosen], prepend=-1))
-            for i, j in zip(cut, [*cut[1:], len(chosen)]):
-                p = int(at[chosen[i]])
-                out["gram"].append(int(grams[p].view(np.int64)))
-                out["_rid"].append(rid)
-                out["pos"].append(p)
-                out["heavy"].append(bool(heavy[p]))
-                out["windows"].append(np.stack([chosen[i:j].view(U64), hashes[chosen[i:j]]]).tobytes() if heavy[p] else _labels(p, chosen[i:j], hashes))
-            size += len(chosen)
-            if size > 1 << 18:
-                yield out
-                out, size = {k: [] for k in out}, 0
-        yield out
+        n = _offsets(window)
+        for first, end, data, starts, ends, row, words in _leaves(batch):
+            part = batch.slice(first, end - first)
+            lo, hi = (part[c].to_numpy() for c in ("lo", "hi"))
+            at = np.searchsorted(row, np.arange(end - first)) + hi
+            raw, hashed = data.tobytes(), {}
+            for b in range(1 << level):
+                low, high = -(-b * n >> level), -(-(b + 1) * n >> level) - 1
+                use = np.flatnonzero((lo <= high) & (hi >= low)) if high >= low else np.zeros(0, np.int64)
+                if not len(use):
+                    continue
+                size = window - (high - low)
+                if size not in hashed:
+                    hashed[size] = ngram_hashes(words, size, 3)
+                least, most = np.maximum(lo[use], low), np.minimum(hi[use], high)
+                took = part.take(pa.array(use))
+                yield {c: took[c] for c in ("_rid", "_own", "pos")} | {"key": hashed[size][at[use] - low].view(np.int64), "lo": least, "hi": most, "words": _between(raw, starts[at[use] - most], ends[at[use] - least + window - 1])}
+
+    return run
+
+
+def _whole(window: int):
+    """The windows of suffixes: start, the hash of all words, and the key of the prefix that they were found by."""
+
+    def run(batch: pa.RecordBatch) -> Iterator[dict]:
+        for first, end, _, _, _, row, words in _leaves(batch):
+            part = batch.slice(first, end - first)
+            lo, hi, pos = (part[c].to_numpy() for c in ("lo", "hi", "pos"))
+            count = hi - lo + 1
+            leaf = np.repeat(np.arange(end - first), count)
+            nth = np.arange(len(leaf)) - np.repeat(np.cumsum(count) - count, count)  # the window with the largest offset starts the words
+            hashes = ngram_hashes(words, window, 3)[np.searchsorted(row, leaf) + nth]
+            took = part.take(pa.array(leaf))
+            yield {"key": hashes.view(np.int64), "prefix": took["key"], "_rid": took["_rid"], "_own": took["_own"], "start": (pos[leaf] - hi[leaf] + nth).astype(np.int32)}
 
     return run
 
 
-def _labels(p: int, starts: np.ndarray, hashes: np.ndarray) -> bytes:
-    """One byte for each window's distance to its anchor, then the window hashes."""
-    return (p - starts).astype(np.uint8).tobytes() + hashes[starts].tobytes()
+def _sorted(paths: np.ndarray, values: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order of paths word by word, and how many words each shares with the one before it."""
+    bits = max(1, values.bit_length())
+    step = 63 // bits
+    keys = []
+    for i in range(0, paths.shape[1], step):
+        key = np.zeros(len(paths), np.int64)
+        for j in range(i, min(i + step, paths.shape[1])):
+            key = (key << bits) | paths[:, j]
+        keys.append(key)
+    order = np.lexsort(keys[::-1]) if keys else np.arange(len(paths))
+    same = np.ones((max(0, len(paths) - 1), paths.shape[1] + 1), bool)
+    same[:, :-1] = paths[order[1:]] == paths[order[:-1]]
+    same[:, -1] = False
+    return order, np.concatenate([[0], same.argmin(1)])
 
 
-def _read_labels(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, distance, hash) of all windows of the rows."""
-    sizes = np.array([len(x) // 9 for x in blobs], np.int64)
-    back = np.frombuffer(b"".join(x[: len(x) // 9] for x in blobs), np.uint8)
-    hashes = np.frombuffer(b"".join(x[len(x) // 9 :] for x in blobs), U64)
-    return np.repeat(np.arange(len(blobs)), sizes), back, hashes
+def _nodes(order: np.ndarray, common: np.ndarray, depth: int) -> np.ndarray:
+    """For each leaf the number of its node at a depth: neighbours share it if they have that many words in common."""
+    out = np.empty(len(order), np.int64)
+    out[order] = np.cumsum(common < depth)
+    return out
 
 
-def _deep_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Subtrees, which arrive whole and in order of their prefix: the windows at nodes with two leaves."""
+def deep_repeats(words: np.ndarray, row: np.ndarray, lo: np.ndarray, hi: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """(leaf, offset) of windows that two leaves share.
 
-    def found(table: pa.Table) -> pa.RecordBatch:
-        row, back, hashes = _read_labels(table["windows"].to_pylist())
-        gram = table["gram"].to_numpy()[row]
-        order = np.lexsort((hashes, gram))
-        equal = (gram[order][1:] == gram[order][:-1]) & (hashes[order][1:] == hashes[order][:-1])
-        twice = np.zeros(len(order), bool)
-        twice[order[1:][equal]] = True
-        twice[order[:-1][equal]] = True
-        rids, pos = table["_rid"].to_numpy()[row[twice]], table["pos"].to_numpy()[row[twice]] - back[twice]
-        return pa.RecordBatch.from_arrays([pa.array(rids, pa.int64()), pa.array(pos, pa.int32())], ["_rid", "start"])
-
-    held: list[pa.RecordBatch] = []
-    rows = 0
-    for batch in batches:
-        if not batch.num_rows:
+    words are numbered, row is each word's leaf; a leaf's words go from hi
+    words before its anchor to the end of the window at offset lo.
+    """
+    n, base, values = len(lo), np.searchsorted(row, np.arange(len(lo))), int(words.max(initial=0)) + 1
+    at = base + hi
+    own = values + np.arange(n)  # a word that no other leaf has, where a path is over
+    ahead, back = np.arange(window)[None, :], np.arange(_offsets(window) - 1)[None, :]
+    forward = np.where(ahead < (window - lo)[:, None], words[np.minimum(at[:, None] + ahead, len(words) - 1)], own[:, None])
+    backward = np.where(back < hi[:, None], words[np.maximum(at[:, None] - 1 - back, 0)], own[:, None])
+    trees = _sorted(forward, values + n), _sorted(backward, values + n)
+    found = []
+    for d in range(_offsets(window)):
+        use = np.flatnonzero((lo <= d) & (d <= hi))
+        if len(use) < 2:
             continue
-        held.append(batch)
-        rows += batch.num_rows
-        if rows >= 1 << 14:
-            table = pa.Table.from_batches(held)
-            gram = table["gram"].to_numpy()
-            cut = int(np.searchsorted(gram, gram[-1]))  # the last subtree may go on
-            if cut:
-                yield _runs(found(table.slice(0, cut)))
-                held = table.slice(cut).combine_chunks().to_batches()
-                rows -= cut
-    if held:
-        yield _runs(found(pa.Table.from_batches(held)))
-
-
-def _runs(found: pa.RecordBatch) -> pa.RecordBatch:
+        pair = _nodes(*trees[0], window - d)[use] * (n + 1) + _nodes(*trees[1], d)[use]
+        _, same, count = np.unique(pair, return_inverse=True, return_counts=True)
+        use = use[count[same] > 1]
+        found.append((use, np.full(len(use), d)))
+    return tuple(np.concatenate([x[i] for x in found]) if found else np.zeros(0, np.int64) for i in (0, 1))
+
+
+def _subtrees(window: int):
+    """Suffixes, which arrive with their prefixes whole and in order: the windows at shared nodes."""
+
+    def found(table: pa.Table) -> pa.RecordBatch:
+        words, rows = [], []
+        for first, _, _, _, _, row, hashes in _leaves(table):
+            words.append(hashes)
+            rows.append(row + first)
+        lo, hi = (table[c].to_numpy() for c in ("lo", "hi"))
+        leaf, offset = deep_repeats(pd.factorize(np.concatenate(words))[0], np.concatenate(rows), lo, hi, window)
+        return _runs(table["_rid"].to_numpy()[leaf], table["_own"].to_numpy()[leaf], table["pos"].to_numpy()[leaf] - offset)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        rows = 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            rows += batch.num_rows
+            if rows >= 1 << 14:
+                table = pa.Table.from_batches(held)
+                key = table["key"].to_numpy()
+                cut = int(np.searchsorted(key, key[-1]))  # the last prefix may go on
+                if cut:
+                    yield found(table.slice(0, cut))
+                    held = table.slice(cut).combine_chunks().to_batches()
+                    rows -= cut
+        if held:
+            yield found(pa.Table.from_batches(held))
+
+    return run
+
+
+_RUN = "_rid long, _own long, start int, count int"
+
+
+def _runs(rid: np.ndarray, own: np.ndarray, start: np.ndarray) -> pa.RecordBatch:
     """Window starts as (text, start, count) runs."""
-    rid, start = found[0].to_numpy(), found[1].to_numpy()
-    order = np.lexsort((start, rid))
-    rid, start = rid[order], start[order]
+    order = np.lexsort((start, own, rid))
+    rid, own, start = rid[order], own[order], start[order]
     head = np.ones(len(rid), bool)
-    head[1:] = (rid[1:] != rid[:-1]) | (start[1:] != start[:-1] + 1)
+    head[1:] = (rid[1:] != rid[:-1]) | (own[1:] != own[:-1]) | (start[1:] > start[:-1] + 1)
     cut = np.flatnonzero(head)
-    count = np.diff(np.append(cut, len(rid)))
-    return pa.RecordBatch.from_arrays([pa.array(rid[cut], pa.int64()), pa.array(start[cut], pa.int32()), pa.array(count, pa.int32())], ["_rid", "start", "count"])
-
-
-def _long_prefixes(batch: pa.RecordBatch) -> Iterator[dict]:
-    for gram, rid, blob in zip(batch["gram"].to_pylist(), batch["_rid"].to_pylist(), batch["windows"].to_pylist()):
-        starts, hashes = np.frombuffer(blob, np.int64).reshape(2, -1)
-        yield {"gram": np.full(len(starts), gram), "label": hashes, "_rid": np.full(len(starts), rid), "start": starts.astype(np.int32)}
+    last = start[np.append(cut, len(rid))[1:] - 1]
+    return pa.RecordBatch.from_arrays([pa.array(rid[cut], pa.int64()), pa.array(own[cut], pa.int64()), pa.array(start[cut], pa.int32()), pa.array(last - start[cut] + 1, pa.int32())], ["_rid", "_own", "start", "count"])
 
 
 def _rest(window: int, as_text: bool, original: bool, extra: list[str]):
@@ -188,26 +265,22 @@ def _rest(window: int, as_text: bool, original: bool, extra: list[str]):
         squeeze = zstandard.ZstdDecompressor().decompress
         n_words, n_removed, kept = [], [], []
         for i in range(batch.num_rows):
-            runs = batch["_runs"][i]
-            if not runs.is_valid and batch["_done"][i].is_valid:
+            if batch["_done"][i].is_valid:
                 n_words.append(batch["_n"][i].as_py())
                 n_removed.append(0)
                 kept.append(batch["_done"][i].as_py())
                 continue
-            z = batch["_z"][i].as_py()
-            data, starts, ends, hashes, _, _, same = _one(pa.array([squeeze(z)], pa.binary()).cast(pa.large_string()), window)
-            hit = np.bincount(same, minlength=1) > 1 if len(same) else np.zeros(1, bool)
-            for r in runs.as_py() or []:
-                hit[same[r["start"] : r["start"] + r["count"]]] = True
-            cover = np.zeros(len(starts) + 1, np.int64)
-            begins = np.flatnonzero(hit[same]) if len(same) else np.zeros(0, np.int64)
-            cover[begins] += 1
-            np.subtract.at(cover, np.minimum(begins + window, len(starts)), 1)
-            gone = np.cumsum(cover)[:-1] > 0
+            raw = squeeze(batch["_z"][i].as_py())
+            data = np.frombuffer(raw, np.uint8)
+            starts, ends, _ = word_bounds(data, np.array([0, len(data)]))
+            cover = np.zeros(len(starts) + window + 1, np.int64)
+            for r in batch["_runs"][i].as_py() or []:
+                cover[r["start"]] += 1
+                cover[r["start"] + r["count"] - 1 + window] -= 1
+            gone = np.cumsum(cover)[: len(starts)] > 0
             n_words.append(len(starts))
             n_removed.append(int(gone.sum()))
-            raw = data.tobytes()
-            left = raw if original and not gone.any() else b" ".join(raw[s:e] for s, e in zip(starts[~gone].tolist(), ends[~gone].tolist()))
+            left = raw if original and not gone.any() else b" ".join(_between(raw, starts[~gone], ends[~gone]))
             kept.append(left.decode() if as_text else hashlib.sha256(left).hexdigest())
         yield {c: batch[c] for c in ["doc_id", *extra]} | {"n_words": n_words, "n_removed": n_removed, "kept": kept}
 
@@ -231,7 +304,7 @@ def _pack(as_text: bool, original: bool, extra: list[str]):
             z.append(None)
             done.append(left.decode() if as_text else hashlib.sha256(left).hexdigest())
             count.append(len(words))
-        yield {c: batch[c] for c in ["doc_id", *extra, "_rid", "_places"]} | {"_z": z, "_done": done, "_n": count}
+        yield {c: batch[c] for c in ["doc_id", *extra, "_rid", "_own", "_places"]} | {"_z": z, "_done": done, "_n": count}
 
     return run
 
@@ -239,7 +312,7 @@ def _pack(as_text: bool, original: bool, extra: list[str]):
 def _squeeze(extra: list[str]):
     def run(batch: pa.RecordBatch) -> Iterator[dict]:
         squeeze = zstandard.ZstdCompressor(level=3).compress
-        yield {c: batch[c] for c in ["doc_id", *extra, "_rid"]} | {"_z": [squeeze((x or "").encode()) for x in batch["text"].to_pylist()]}
+        yield {c: batch[c] for c in ["doc_id", *extra, "_rid", "_own"]} | {"_z": [squeeze((x or "").encode()) for x in batch["text"].to_pylist()]}
 
     return run
 
@@ -252,36 +325,54 @@ def remove_repeats(docs: DataFrame, window: int = 35, as_text: bool = True, orig
     starts anywhere else, in the same text or another; windows are judged on
     the input. kept is the rest joined by single spaces, or its SHA-256 in
     lower-case hex if as_text is false; with original, a text that loses
-    nothing is kept as it was, white space and all. Null and empty texts have no words and
-    keep nothing. Repeated rows are repeats of each other. Rows are told apart
-    by a 64-bit hash of doc_id and text, so doc_id may be null or repeated.
-    `window` is at most 255.
+    nothing is kept as it was, white space and all. Null and empty texts have
+    no words and keep nothing; very long texts are read whole; an empty table
+    gives an empty result. Repeated rows are repeats of each other. Rows are
+    told apart by doc_id and a 64-bit hash of doc_id and text, so doc_id may be
+    null or repeated. A column in keep that is named like a result's comes back
+    as <name>_in.
     """
     spark = docs.sparkSession
     prepare(spark)
-    extra = keep or []
-    kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
-    ddl = ", ".join(["doc_id long", *(f"`{c}` {kinds[c]}" for c in extra)])
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *[F.col(f"`{c}`") for c in extra]).withColumn("_rid", F.xxhash64("doc_id", "text"))
-
-    anchors = with_arrow(source.select("text", "_rid"), _anchors(window), "gram long, _rid long, pos int")
-    twice = anchors.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram", (F.col("n") > GROUP_LIMIT).cast("int").alias("heavy")).checkpoint()
-    places = anchors.join(twice, "gram").groupBy("_rid").agg(F.array_distinct(F.collect_list(F.col("pos") * 2 + F.col("heavy"))).alias("_places"))
-    folder = f"{shared_dir(spark)}/repeats-{uuid.uuid4().hex}"
-    squeezed = with_arrow(source, _squeeze(extra), f"{ddl}, _rid long, _z binary")
-    joined = squeezed.join(places, "_rid", "left").select("doc_id", *extra, "_rid", "_z", "_places")
-    with_arrow(joined, _pack(as_text, original, extra), f"{ddl}, _rid long, _places array<int>, _z binary, _done string, _n long").write.option("compression", "zstd").parquet(folder)
+    carried = Carried(docs, keep or [], ["doc_id", "n_words", "n_removed", "kept"])
+    extra, ddl = carried.names, ", ".join(["doc_id long", *carried.ddl])
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *carried.columns).withColumn("_rid", F.xxhash64("doc_id", "text")).withColumn("_own", F.coalesce("doc_id", F.lit(0).cast("long")))
+    key = ["_rid", "_own"]
+
+    def counted(suffixes: DataFrame) -> DataFrame:
+        return cut(suffixes.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key", (F.col("n") > GROUP_LIMIT).alias("heavy")))
+
+    anchors = cut(with_arrow(source.select("text", *key), _anchors(window), "key long, _rid long, _own long, pos int"))
+    twice = counted(anchors)
+    places = anchors.join(twice, "key").groupBy(*key).agg(F.collect_set(F.col("pos") * 2 + F.col("heavy").cast("int")).alias("_places"))
+    squeezed = with_arrow(source, _squeeze(extra), f"{ddl}, _rid long, _own long, _z binary")
+    joined = squeezed.join(places, key, "left").select("doc_id", *extra, *key, "_z", "_places")
+    folder = new_folder(spark, "repeats")
+    with_arrow(joined, _pack(as_text, original, extra), f"{ddl}, _rid long, _own long, _places array<int>, _z binary, _done string, _n long").write.option("compression", "zstd").parquet(folder)
     texts = spark.read.parquet(folder)
 
-    plain = texts.select("_rid", "_z", F.filter("_places", lambda p: p.bitwiseAND(F.lit(1)) == 0).alias("_places"))
-    light = with_arrow(plain.where("_places is not null"), _suffixes(window), _SUFFIX).drop("heavy").repartition(F.col("gram")).sortWithinPartitions("gram")
-    runs = light.mapInArrow(_deep_nodes, "_rid long, start int, count int")
-    if not twice.where("heavy = 1").isEmpty():
-        touched = texts.where(F.exists("_places", lambda p: p.bitwiseAND(F.lit(1)) == 1))
-        heavy = with_arrow(touched.select("_rid", "_z", F.filter("_places", lambda p: p.bitwiseAND(F.lit(1)) == 1).alias("_places")), _suffixes(window), _SUFFIX)
-        longer = with_arrow(heavy.select("gram", "_rid", "windows"), _long_prefixes, "gram long, label long, _rid long, start int")
-        again = longer.groupBy("gram", "label").agg(F.count("*").alias("n")).where("n > 1").select("gram", "label").checkpoint()
-        runs = runs.union(longer.join(again, ["gram", "label"]).select("_rid", "start", F.lit(1).alias("count")))
-    found = runs.groupBy("_rid").agg(F.collect_list(F.struct("start", "count")).alias("_runs"))
-    left = texts.drop("_places").join(found, "_rid", "left")
-    return with_arrow(left, _rest(window, as_text, original, extra), f"{ddl}, n_words long, n_removed long, kept string")
+    def suffixes(heavy: int) -> DataFrame:
+        chosen = F.transform(F.filter("_places", lambda p: p.bitwiseAND(F.lit(1)) == heavy), lambda p: F.shiftright(p, 1))
+        some = texts.where(F.exists("_places", lambda p: p.bitwiseAND(F.lit(1)) == heavy))
+        return with_arrow(some.select(*key, "_z", chosen.alias("_places")), _suffixes(window), _SUFFIX)
+
+    leaves, runs = suffixes(0), None
+    if not twice.where("heavy").isEmpty():
+        deep, level = suffixes(1), _STEP
+        while 1 << level < _offsets(window):
+            longer = cut(with_arrow(deep, _longer(window, level), _SUFFIX))
+            sizes = counted(longer)
+            leaves = leaves.union(longer.join(sizes.where("not heavy"), "key", "left_semi"))
+            deep = longer.join(sizes.where("heavy"), "key", "left_semi")
+            level += _STEP
+            if sizes.where("heavy").isEmpty():
+                break
+        else:
+            whole = cut(with_arrow(deep, _whole(window), "key long, prefix long, _rid long, _own long, start int"))
+            again = whole.groupBy("key", "prefix").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+            runs = whole.join(again, ["key", "prefix"]).select(*key, "start", F.lit(1).alias("count"))
+    trees = leaves.repartition(F.col("key")).sortWithinPartitions("key").mapInArrow(_subtrees(window), _RUN)
+    runs = trees if runs is None else trees.union(runs)
+    found = runs.groupBy(*key).agg(F.collect_set(F.struct("start", "count")).alias("_runs"))
+    left = texts.drop("_places").join(found, key, "left")
+    return carried.restored(with_arrow(left, _rest(window, as_text, original, extra), f"{ddl}, n_words long, n_removed long, kept string"))

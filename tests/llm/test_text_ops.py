@@ -74,11 +74,15 @@ def test_strays_in_blocks_equal_brute_force(spark, monkeypatch, members, strays)
 
 def test_links_grow_with_the_members_of_a_group(spark, monkeypatch):
     monkeypatch.setattr(nd, "_FEW", 16)
-    monkeypatch.setattr(nd, "_MEMBERS", 64)
-    made, count = [], nd.components
-    monkeypatch.setattr(nd, "components", lambda edges: made.append(edges.count()) or count(edges))
-    most = []
-    for size in (150, 300):
+    made, blocks = [], nd._in_blocks
+
+    def counted(*args):
+        links = blocks(*args)
+        made.append(links.count())
+        return links
+
+    monkeypatch.setattr(nd, "_in_blocks", counted)
+    for size in (100, 200):
         rng, made[:] = random.Random(9), []
         words = sentences(rng, 200).split()
         rows = []
@@ -89,8 +93,7 @@ def test_links_grow_with_the_members_of_a_group(spark, monkeypatch):
             rows.append((i, " ".join(own), "en", "s", 1))
         found = nd.near_duplicates(frame(spark, rows), n=2).collect()
         assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in found} == linked(rows, 2)
-        most.append(max(made))
-    assert most[1] <= 12 * 300 and most[1] <= 3 * most[0] + 100
+        assert made and max(made) <= 2 * size  # of about size * size / 4 pairs that reach it
 
 
 def test_near_duplicates_of_odd_tables(spark):
@@ -149,6 +152,42 @@ def test_repeats_equal_brute_force(spark, monkeypatch, window, limit):
     assert collections.Counter((r.doc_id, r.n_words, r.n_removed, r.kept) for r in found) == removed(rows, window)
 
 
+def test_nodes_of_subtrees_equal_brute_force():
+    rng = np.random.default_rng(3)
+    for window, k, letters in ((12, 10, 2), (35, 10, 2), (14, 10, 3)):
+        monkey = rng.integers(0, letters, 400)
+        monkey[200:300] = monkey[40:140]
+        prefix = monkey[50 : 50 + k]
+        texts, anchors = [], []
+        for i in range(60):  # every leaf starts with the prefix; around it are copies and noise
+            left, right = rng.integers(0, letters, window - k), rng.integers(0, letters, window - k)
+            if i % 3:
+                left[-(i % 7) :] = 1
+                right[: i % 11] = 0
+            lo, hi = sorted(rng.integers(0, window - k + 1, 2).tolist())
+            whole = np.concatenate([left, prefix, right])
+            texts.append(whole[window - k - hi : 2 * window - k - lo])
+            anchors.append((lo, hi))
+        words, row = np.concatenate(texts), np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+        lo, hi = (np.array([a[j] for a in anchors]) for j in (0, 1))
+        leaf, offset = repeats.deep_repeats(words, row, lo, hi, window)
+        seen = collections.defaultdict(list)
+        for i, t in enumerate(texts):
+            for d in range(lo[i], hi[i] + 1):
+                seen[(d, tuple(t[hi[i] - d : hi[i] - d + window].tolist()))].append((i, d))
+        assert set(zip(leaf.tolist(), offset.tolist())) == {x for v in seen.values() if len(v) > 1 for x in v}
+
+
+def test_hot_prefixes_grow_to_the_window(spark, monkeypatch):
+    monkeypatch.setattr(repeats, "GROUP_LIMIT", 8)
+    rng = random.Random(6)
+    start, passage = sentences(rng, 14), sentences(rng, 80)
+    rows = [(i, f"{sentences(rng, 6)} {start} {sentences(rng, 30)}" if i % 2 else f"{sentences(rng, 5)} {passage} {sentences(rng, 5)}", "en", "s", 1) for i in range(120)]
+    rows += [(500 + i, f"{sentences(rng, i)} {start} {' '.join(passage.split()[: 20 + i])}", "en", "s", 1) for i in range(12)]
+    found = repeats.remove_repeats(frame(spark, rows)).collect()
+    assert collections.Counter((r.doc_id, r.n_words, r.n_removed, r.kept) for r in found) == removed(rows, 35)
+
+
 def test_repeats_options_and_odd_tables(spark):
     rows = corpus(13, 30)
     plain = {r.doc_id: r for r in repeats.remove_repeats(frame(spark, rows)).collect()}
@@ -157,7 +196,8 @@ def test_repeats_options_and_odd_tables(spark):
     text = {i: t or "" for i, t, *_ in rows}
     for r in repeats.remove_repeats(frame(spark, rows), original=True, keep=["lang", "n_chars"]).collect():
         assert r.kept == (plain[r.doc_id].kept if r.n_removed else text[r.doc_id]) and r.lang == "en"
-    found = repeats.remove_repeats(odd(spark), keep=["label", "z"]).collect()
+    found = repeats.remove_repeats(odd(spark), keep=["label", "z", "kept", "_rid", "n_words"]).collect()
+    assert all((r["_rid"], r.kept_in, r.n_words_in) == ("r", "k", None) for r in found)
     assert collections.Counter((r.doc_id, r.n_words, r.n_removed, r.label) for r in found) == {(None, 80, 80, "L"): 1, (7, 80, 80, "L"): 2, (7, 2, 0, "L"): 1, (None, 0, 0, "L"): 1, (8, 0, 0, "L"): 1, (9, 0, 0, "L"): 1}
     assert repeats.remove_repeats(frame(spark, [])).count() == 0
 
@@ -170,7 +210,7 @@ def hits(rows, items, window=13):
         w = split(t)
         n = min(window, len(w))
         for j in range(len(w) - n + 1) if n else []:
-            windows[tuple(w[j : j + n])].add(str(i))
+            windows[tuple(w[j : j + n])].add(i)
     lengths, out = {len(x) for x in windows}, []
     for d, t, *_ in rows:
         w = split(t)
@@ -180,7 +220,7 @@ def hits(rows, items, window=13):
                 if (key := tuple(w[j : j + n])) in windows:
                     found |= windows[key]
                     hit[j : j + n] = [1] * n
-        out.append((d, len(w), sum(hit), len(found), tuple(sorted(found)), sum(hit) > 0 and 20 * sum(hit) >= len(w)))
+        out.append((d, len(w), sum(hit), len(found), tuple(sorted(str(x) for x in found if x is not None)), sum(hit) > 0 and 20 * sum(hit) >= len(w)))
     return collections.Counter(out)
 
 
@@ -192,7 +232,7 @@ def test_decontamination_equals_brute_force(spark, window):
     items += [(20, "two spaces"), (21, "ONE"), (22, None), (23, ""), (24, items[3][1]), (25, "!!!"), (26, "a " * 40), (27, items[4][1].upper()), (28, " ".join(texts[7].split()[:6])), (None, "one")]
     found = decontaminate(frame(spark, rows), spark.createDataFrame(items, ITEM), window=window).collect()
     got = collections.Counter((r.doc_id, r.n_words, r.n_hit, r.n_items, tuple(r["items"]), r.contaminated) for r in found)
-    assert got == hits(rows, [x for x in items if x[0] is not None], window)
+    assert got == hits(rows, items, window)
 
 
 def test_decontamination_of_odd_tables(spark, monkeypatch):
