@@ -115,11 +115,13 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, key:
     20 * n_hit >= n_words. Null texts have no words. Rows are told apart by
     a hash of doc_id and text, so repeated rows get equal results and doc_id
     may be null; `key` names a column that returns it: see row_key(). Items of equal words are looked up once, and each is reported.
-    `window` is at least 2.
+    Items with a null item_id hit words like others; they count as one item and
+    have no name among items. Very long texts are read whole, other columns are
+    ignored, and an empty table gives an empty result. `window` is at least 2.
     """
     prepare(docs.sparkSession)
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("doc", row_key())
-    listed = benchmark.select(F.col("item_id").cast("string").alias("item_id"), words_of(F.col("text")).alias("words")).where("size(words) > 0 and item_id is not null")
+    listed = benchmark.select(F.col("item_id").cast("string").alias("item_id"), words_of(F.col("text")).alias("words")).where("size(words) > 0")
     listed = listed.withColumn("class", F.sha2(F.concat_ws(" ", "words"), 256)).checkpoint()
     items = listed.groupBy("class").agg(F.first("words").alias("words")).checkpoint()
 
@@ -134,15 +136,15 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, key:
         hits = part if hits is None else hits.union(part)
     counts = source.select("doc_id", "doc", F.size(words_of(F.col("text"))).cast("long").alias("n_words"))
     if hits is None:
-        summary = counts.select("doc", F.lit(0).cast("long").alias("n_hit"), F.array().cast("array<string>").alias("items")).limit(0)
+        summary = counts.select("doc", F.lit(0).cast("long").alias("n_hit"), F.array().cast("array<string>").alias("items"), F.lit(0).alias("unnamed")).limit(0)
     else:
         hits = hits.distinct().checkpoint()
         spans = hits.select("doc", "low", "high").distinct()
         before = Window.partitionBy("doc").orderBy("low", "high").rowsBetween(Window.unboundedPreceding, -1)
         new = F.greatest(F.lit(0), F.col("high") - F.greatest("low", F.coalesce(F.max("high").over(before), F.lit(0))))
         covered = spans.withColumn("new", new).groupBy("doc").agg(F.sum("new").cast("long").alias("n_hit"))
-        named = hits.select("doc", "class").distinct().join(listed.select("class", "item_id"), "class").groupBy("doc").agg(F.sort_array(F.collect_set("item_id")).alias("items"))
+        named = hits.select("doc", "class").distinct().join(listed.select("class", "item_id"), "class").groupBy("doc").agg(F.sort_array(F.collect_set("item_id")).alias("items"), F.max(F.col("item_id").isNull().cast("int")).alias("unnamed"))
         summary = covered.join(named, "doc")
     out = counts.join(summary, "doc", "left")
-    out = out.select("doc_id", *([F.col("doc").alias(key)] if key else []), "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+    out = out.select("doc_id", *([F.col("doc").alias(key)] if key else []), "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce(F.size("items") + F.col("unnamed"), F.lit(0)).cast("long").alias("n_items"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
