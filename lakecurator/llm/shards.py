@@ -1,23 +1,28 @@
 """Sharding over fixed virtual slots and a versioned slot-to-shard map.
 
-Rows hash into a fixed number of slots. Bytes are summed by slot, so placing
-and moving data is a matter of a few thousand numbers, whatever the table's
-size. A map assigns slots to shards; rebalancing edits a map into the next
-version, moving few slots, and every version is stored.
+Rows hash into a fixed number of slots, by their text, so that equal texts stay
+together. Bytes are summed by slot, so placing and moving data is a matter of a
+few thousand numbers, whatever the table's size. A map assigns slots to shards;
+rebalancing edits a map into the next version, moving few slots. Every version
+is stored, and the newest stored one is where the next run begins.
 """
 
 from __future__ import annotations
 
 import bisect
+import json
 from dataclasses import asdict, dataclass
 
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare
-from .storage import new_folder, write_json
+from .common import cut, prepare
+from .storage import new_folder, opened, write_json
 
 SLOTS = 4096
+#: A group of equal texts with more than this part of all bytes is spread over slots by doc_id. At most so many groups are.
+HOT_PART = 1024
 
 
 @dataclass(frozen=True)
@@ -85,11 +90,30 @@ def store(folder: str, slots: SlotMap) -> None:
     write_json(f"{folder}/slot_map_v{slots.version:06d}.json", asdict(slots))
 
 
+def newest(folder: str) -> SlotMap | None:
+    """The stored map with the highest version."""
+    system, path = opened(folder)
+    found = sorted(x.path for x in system.get_file_info(fs.FileSelector(path, allow_not_found=True)) if "/slot_map_v" in x.path and x.path.endswith(".json"))
+    if not found:
+        return None
+    with system.open_input_stream(found[-1]) as source:
+        value = json.loads(source.read())
+    return SlotMap(value["version"], value["shards"], tuple(value["assignment"]))
+
+
 def with_slots(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
-    """doc_id, size, text_crc32 and virtual_slot of each row; the slot is hashed from doc_id and the text's checksum."""
+    """doc_id, size, text_crc32 and virtual_slot of each row.
+
+    The slot is hashed from the text; in a group of equal texts that holds over
+    1 / HOT_PART of all bytes, from the text and doc_id.
+    """
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
-    return sized.withColumn("virtual_slot", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(slots)).cast("int"))
+    sized = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.xxhash64(text).alias("group")))
+    total = sized.agg(F.sum("size")).first()[0] or 0
+    hot = sized.groupBy("group").agg(F.sum("size").alias("bytes")).where(F.col("bytes") > total / HOT_PART).select("group", F.lit(True).alias("hot"))  # HOT_PART rows at most
+    known = sized.join(F.broadcast(hot), "group", "left")
+    drawn = F.when(F.col("hot"), F.xxhash64("group", "doc_id")).otherwise(F.xxhash64("group"))
+    return known.select("doc_id", "size", "text_crc32", F.pmod(drawn, F.lit(slots)).cast("int").alias("virtual_slot"))
 
 
 def shard_rows(docs: DataFrame, shards: int = 16, current: SlotMap | None = None, folder: str | None = None) -> DataFrame:
@@ -98,12 +122,18 @@ def shard_rows(docs: DataFrame, shards: int = 16, current: SlotMap | None = None
     The law is `bytes`: the shards' sizes are near equal, to about one virtual
     slot. size is the text's UTF-8 bytes plus 1, null counting as empty. slot
     is the row's place in its shard, gapless from 0, by virtual slot and then
-    doc_id. Equal texts need not share a shard. Null and repeated doc_ids are
-    rows like any other; an empty table gives an empty result.
+    doc_id. Equal texts share a shard, but for groups with over 1 / HOT_PART of
+    all bytes, which no law of equal sizes could keep together. Rows equal in
+    doc_id and text share a slot. Null and repeated doc_ids are rows like any
+    other, very long texts too, other columns are ignored, and an empty table
+    gives an empty result. A folder that holds maps continues from its newest
+    one, or from `current`; maps of this run are stored in it.
     """
     spark = docs.sparkSession
     prepare(spark)
     rows = with_slots(docs)
+    if current is None and folder:
+        current = newest(folder)
     totals = rows.groupBy("virtual_slot").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()  # a row for each slot at most
     start = current or SlotMap.first(shards)
     slots = start.rebalanced({r.virtual_slot: r["size"] for r in totals}, shards)
