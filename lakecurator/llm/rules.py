@@ -1,7 +1,7 @@
 """Quality rules: countable faults, and a logistic regression on hashed n-grams.
 
-The model sees words and character trigrams hashed into fixed slots. It is
-trained on a bounded sample of labelled rows, its probabilities are calibrated
+The model sees words, pairs of words and runs of three characters, which are
+code points, hashed into fixed slots. It is trained on a bounded sample of labelled rows, its probabilities are calibrated
 on a part of them held back, and every text is scored in Arrow batches against
 a fixed threshold.
 """
@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 from .common import prepare, with_arrow
 from .wordhash import U64, WHITESPACE, mix, ngram_hashes, span_hashes, text_slices, word_bounds
 
-#: Slots for words and for character trigrams.
-SLOTS = 2048
+#: Slots for words, for pairs of words, and for runs of three characters.
+SLOTS = (2048, 2048, 4096)
 #: Labelled rows that training takes at most, those with the smallest hash of doc_id.
 SAMPLE_ROWS = 4000
 #: A text is kept if its calibrated probability of being good reaches this.
@@ -71,35 +71,34 @@ def faults(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     return {k: v.astype(np.int64) for k, v in out.items()}
 
 
+def _shares(owner: np.ndarray, hashes: np.ndarray, n: int, slots: int) -> np.ndarray:
+    """A row for each text: the roots of how often each slot occurs, scaled to length 1."""
+    counts = np.bincount(owner * slots + (hashes % U64(slots)).astype(np.int64), minlength=n * slots).reshape(n, slots)
+    damped = np.sqrt(counts.astype(np.float32))
+    return damped / np.maximum(np.sqrt((damped * damped).sum(1, keepdims=True)), 1e-6)
+
+
 def features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """A row for each text: damped shares of word slots, then of trigram slots."""
+    """A row for each text: shares of word slots, of slots of word pairs, then of slots of three code points."""
     n = len(offsets) - 1
     starts, ends, doc = word_bounds(data, offsets)
-    blocks = []
-    words = (span_hashes(data, starts, ends) % U64(SLOTS)).astype(np.int64)
-    blocks.append(np.bincount(doc * SLOTS + words, minlength=n * SLOTS).reshape(n, SLOTS))
-    if len(data) > 2:
-        with np.errstate(over="ignore"):
-            code = (data[:-2].astype(U64) << U64(16)) | (data[1:-1].astype(U64) << U64(8)) | data[2:].astype(U64)
-            slot = (mix(code + U64(1)) % U64(SLOTS)).astype(np.int64)
-        owner = np.repeat(np.arange(n), np.diff(offsets))[: len(slot)]
-        within = np.arange(2, len(data)) < offsets[owner + 1]
-        blocks.append(np.bincount(owner[within] * SLOTS + slot[within], minlength=n * SLOTS).reshape(n, SLOTS))
-    else:
-        blocks.append(np.zeros((n, SLOTS), np.int64))
-    found = []
-    for block in blocks:
-        damped = np.sqrt(block.astype(np.float32))
-        norm = np.sqrt((damped * damped).sum(1, keepdims=True))
-        found.append(damped / np.maximum(norm, 1e-6))
-    return np.concatenate(found, 1)
+    words = span_hashes(data, starts, ends)
+    pairs = ngram_hashes(words, 2)
+    near = doc[1:] == doc[:-1] if len(pairs) else np.zeros(0, bool)
+    points = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), np.uint32).astype(U64)
+    begins = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])[offsets]  # where each text begins, in code points
+    runs = ngram_hashes(points, 3, 5)
+    owner = np.repeat(np.arange(n), np.diff(begins))
+    within = owner[2:] == owner[: len(runs)] if len(runs) else np.zeros(0, bool)
+    return np.concatenate([_shares(doc, words, n, SLOTS[0]), _shares(doc[: len(pairs)][near], pairs[near], n, SLOTS[1]), _shares(owner[: len(runs)][within], runs[within], n, SLOTS[2])], 1)
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, rows: int) -> DataFrame:
-    """text and y of at most `rows` learnable labelled documents."""
+    """text and y of at most `rows` learnable labelled documents; an id that documents or labels repeat counts once, by its smallest hash."""
     good = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(target).cast("int").alias("y")).where(f"y is not null and doc_id is not null").where(learnable("doc_id"))
-    chosen = good.orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(rows)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "y")
+    chosen = good.groupBy("doc_id").agg(F.min("y").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")
+    return found.groupBy("doc_id", "y").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("doc_id", "text", "y")
 
 
 def calibration(logits: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -122,7 +121,7 @@ def train(X: np.ndarray, y: np.ndarray, rounds: int = 300, rate: float = 4.0, de
     n = len(y)
     if n == 0 or y.min() == y.max():  # nothing to tell apart: the share seen, or an even chance
         share = float(y.mean()) if n else 0.5
-        return {"w": np.zeros(2 * SLOTS, np.float32), "b": 0.0, "slope": 1.0, "offset": float(np.log((share * n + 1) / (n - share * n + 1)))}
+        return {"w": np.zeros(sum(SLOTS), np.float32), "b": 0.0, "slope": 1.0, "offset": float(np.log((share * n + 1) / (n - share * n + 1)))}
     held = np.arange(n) % 5 == 4
     A, t = (X[~held], y[~held]) if (~held).any() else (X, y)
     w, b = np.zeros(X.shape[1], np.float32), float(np.log((t.sum() + 1) / (len(t) - t.sum() + 1)))
@@ -145,10 +144,10 @@ def _features_of(batch: pa.RecordBatch) -> Iterator[dict]:
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> dict:
-    """The model, from at most `rows` labelled rows of 8 kB each on the driver."""
+    """The model, from at most `rows` labelled rows of 16 kB each on the driver."""
     sample = with_arrow(labelled_sample(docs, labels, "quality", rows), _features_of, "doc_id long, y int, x binary").collect()
     sample.sort(key=lambda r: (r.doc_id, r.y, bytes(r.x)))
-    X = np.frombuffer(b"".join(bytes(r.x) for r in sample), np.float16).reshape(len(sample), 2 * SLOTS).astype(np.float32)
+    X = np.frombuffer(b"".join(bytes(r.x) for r in sample), np.float16).reshape(len(sample), sum(SLOTS)).astype(np.float32)
     return train(X, np.array([r.y for r in sample], np.float32))
 
 
