@@ -10,6 +10,7 @@ over its bytes, without going back and without building pieces.
 from __future__ import annotations
 
 import base64
+import hashlib
 from collections import deque
 from collections.abc import Iterable, Iterator
 
@@ -17,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare, with_arrow
+from .common import Carried, prepare, with_arrow
 
 #: Words whose counts a task remembers.
 MEMO = 300_000
@@ -106,7 +107,7 @@ class _Memo(dict):
         return found
 
 
-_made: dict[tuple[int, bool], _Memo] = {}
+_made: dict[tuple[str, bool], _Memo] = {}
 
 
 def token_counts(docs: DataFrame, path: str, keep: list[str] | None = None, whole: bool = False) -> DataFrame:
@@ -115,15 +116,19 @@ def token_counts(docs: DataFrame, path: str, keep: list[str] | None = None, whol
     Words are split at ASCII white space in the whole text and counted by
     greedy longest match with the vocabulary file at path; a word that can't be
     matched counts as one unknown piece, or with whole as all its tokens, so
-    that counts are lengths. Null and empty texts have no words. Rows are independent, so repeated rows and null ids come back as they are.
+    that counts are lengths. Null and empty texts have no words; very long ones
+    are counted whole. Rows are independent, so repeated rows and null ids come
+    back as they are, and an empty table gives an empty result. A column in
+    keep that is named like a result's comes back as <name>_in.
     """
     prepare(docs.sparkSession)
-    extra = keep or []
-    kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary(path))
+    carried = Carried(docs, keep or [], ["doc_id", "n_words", "n_tokens"])
+    pieces, extra = vocabulary(path), carried.names
+    named = hashlib.sha256(repr(pieces).encode()).hexdigest()
+    shared = docs.sparkSession.sparkContext.broadcast(pieces)
 
     def run(batch: pa.RecordBatch) -> Iterator[dict]:
-        key = (id(shared.value), whole)
+        key = (named, whole)
         if key not in _made:
             _made.clear()
             _made[key] = _Memo(Automaton(shared.value, whole))
@@ -131,5 +136,5 @@ def token_counts(docs: DataFrame, path: str, keep: list[str] | None = None, whol
         words = [(x or "").encode().split() for x in batch["text"].to_pylist()]
         yield {c: batch[c] for c in ["doc_id", *extra]} | {"n_words": [len(x) for x in words], "n_tokens": [sum(map(memo, x)) for x in words]}
 
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *[F.col(f"`{c}`") for c in extra])
-    return with_arrow(source, run, ", ".join(["doc_id long", *(f"`{c}` {kinds[c]}" for c in extra), "n_words long, n_tokens long"]))
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *carried.columns)
+    return carried.restored(with_arrow(source, run, ", ".join(["doc_id long", *carried.ddl, "n_words long, n_tokens long"])))

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
-from lakecurator.llm.packing import boundaries, level, pack
+from lakecurator.llm.packing import boundaries, pack
 from lakecurator.llm.queries import tokenizer_file
 from lakecurator.llm.token_counts import Automaton, token_counts, vocabulary
 from lakecurator.llm.token_files import encoder, read_token_files, write_token_files
@@ -53,7 +53,8 @@ def test_counts_equal_brute_force(spark):
         words = (text or "").encode().split()
         assert found[i] == (len(words), sum(seen.setdefault(w, longest_match(w, first, later)) for w in words))
     assert token_counts(frame(spark, [], DOCS), PIECES).count() == 0
-    assert token_counts(odd(spark), PIECES, ["n_words"] if False else ["label"]).count() == 7
+    strange = token_counts(odd(spark), PIECES, ["n_words", "label", "_rid"]).collect()
+    assert len(strange) == 7 and all((r.n_words_in, r.label, r["_rid"]) == (None, "L", "r") for r in strange)
 
 
 def whole_match(word, first, later):
@@ -117,11 +118,15 @@ def test_boundaries_are_optimal():
     assert boundaries([], [], 3) == []
 
 
-def test_levels_round_up_by_steps(spark):
-    found = spark.range(0, 40000, 7).select("id", level(F.col("id")).alias("v")).collect()
-    for r in found:
-        step = 1 if r.id <= 2048 else 2 ** int(np.floor(np.log2((r.id - 1) / 2048)) + 1) * 4
-        assert r.v == -(-r.id // step) * step
+def test_padding_is_least_over_every_length(spark):
+    rng = random.Random(8)
+    rows = [(i, rng.choice([3, 40, 2047, 2049, 2050, 5001, 5003, 70000, 70001])) for i in range(200)]
+    found = pack(spark.createDataFrame(rows, "doc_id long, n_tokens long"), buckets=5).toPandas()
+    lengths = sorted({n for _, n in rows})
+    from itertools import combinations
+
+    least = min(sum(min(b for b in (*some, lengths[-1]) if b >= n) - n for _, n in rows) for some in combinations(lengths[:-1], 4))
+    assert found.padding.sum() == least
 
 
 def test_packing(spark):
