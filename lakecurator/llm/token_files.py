@@ -11,6 +11,7 @@ ids. Readers map the files, so a document is found without reading others.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import re
 import uuid
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import prepare, with_arrow
-from .storage import commit, dealt, new_folder, opened, range_bounds, shard_of, write_json
+from .storage import NO_KEY, commit, dealt, key_ranges, new_folder, opened, write_json
 
 #: Words whose ids a task remembers.
 MEMO = 1_000_000
@@ -50,9 +51,11 @@ def encoder(description: str, end_id: int) -> Callable[[list[str]], Iterator[np.
 
     tokenizer = Tokenizer.from_str(description)
     special = [x.content for x in tokenizer.get_added_tokens_decoder().values()]
-    flat = re.sub(r"\s", "", description)
     break_ids = tokenizer.encode("\n", add_special_tokens=False).ids
-    parts_add_up = '"pre_tokenizer":{"type":"ByteLevel","add_prefix_space":false' in flat and '"normalizer":null' in flat and len(break_ids) == 1
+    parsed = json.loads(description)
+    plain = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
+    splits = {k: v for k, v in ({"use_regex": True} | (parsed.get("pre_tokenizer") or {})).items() if k != "trim_offsets"}
+    parts_add_up = splits == plain and all(parsed.get(k) is None for k in ("normalizer", "truncation", "padding")) and len(break_ids) == 1
     memo: dict[str, bytes] = {"\n": np.array(break_ids, np.uint32).tobytes()}
 
     def learn(parts: list[str]) -> dict[str, bytes]:
@@ -134,20 +137,24 @@ def write_token_files(docs: DataFrame, description: str, end_id: int, folder: st
 
     Null texts are empty, so have end_id alone. A null doc_id is written as
     -2**63 and comes first; rows that repeat a doc_id follow each other by
-    their text's hash. An empty table gives a manifest without shards.
+    their text's hash, and where such rows, or null ids, fill several shards,
+    they are dealt over them by it. Very long texts are one document each;
+    other columns are ignored. An empty table gives a manifest without shards.
+    Shards grow where there would be over RANGES of them.
     """
     spark = docs.sparkSession
     prepare(spark)
     folder = folder or new_folder(spark, "tokens")
-    source = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("doc_id"), "text")
-    bounds = range_bounds(source.select("doc_id", (F.coalesce(F.octet_length("text"), F.lit(0)) + 16).alias("w")).where(f"doc_id > {-(2**63)}"), "doc_id", "w", shard_bytes)
+    source = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_KEY)).alias("doc_id"), "text")
+    bounds = key_ranges(source.select(F.nullif("doc_id", F.lit(NO_KEY)).alias("doc_id"), (F.coalesce(F.octet_length("text"), F.lit(0)) + 16).alias("w")), "doc_id", "w", shard_bytes)
     system, path = opened(folder)
     system.create_dir(path, recursive=True)
 
     def pack(batch: pa.RecordBatch) -> Iterator[dict]:
         squeeze = zstandard.ZstdCompressor(level=1).compress
-        z = [squeeze((x or "").encode()) for x in batch["text"].to_pylist()]
-        yield {"doc_id": batch["doc_id"], "shard": shard_of(batch["doc_id"].to_numpy(), bounds), "tie": [zlib.crc32(x) for x in z], "z": z}
+        texts = [(x or "").encode() for x in batch["text"].to_pylist()]
+        ties = np.array([zlib.crc32(x) for x in texts], np.uint32)
+        yield {"doc_id": batch["doc_id"], "shard": bounds.of(batch["doc_id"].to_numpy(), ties), "tie": ties.astype(np.int64), "z": [squeeze(x) for x in texts]}
 
     shared = spark.sparkContext.broadcast(description)
 
@@ -185,7 +192,7 @@ def write_token_files(docs: DataFrame, description: str, end_id: int, folder: st
             yield close()
 
     packed = with_arrow(source, pack, "doc_id long, shard int, tie long, z binary")
-    rows = dealt(packed, len(bounds) + 1, "shard", "doc_id", "tie").mapInArrow(write, "shard int, documents long, ids long").collect()  # one row a shard
+    rows = dealt(packed, len(bounds), "shard", "doc_id", "tie").mapInArrow(write, "shard int, documents long, ids long").collect()  # one row a shard, RANGES at most
     base, shards = 0, []
     for row in sorted(rows):
         shards.append({"shard": row.shard, "documents": row.documents, "ids": row.ids, "base": base})
@@ -210,8 +217,6 @@ def _mapped(system: fs.FileSystem, path: str) -> pa.Buffer:
 
 def read_token_files(spark, folder: str) -> DataFrame:
     """doc_id, start, n_tokens and ids (little-endian unsigned 32-bit) of every document, from the files."""
-    import json
-
     prepare(spark)
     system, path = opened(folder)
     with system.open_input_stream(f"{path}/manifest.json") as source:
@@ -230,7 +235,7 @@ def read_token_files(spark, folder: str) -> DataFrame:
             for low in range(0, count, 256):
                 part = range(low, min(low + 256, count))
                 yield {
-                    "doc_id": pa.array(ids[low : part.stop], mask=ids[low : part.stop] == -(2**63)),
+                    "doc_id": pa.array(ids[low : part.stop], mask=ids[low : part.stop] == NO_KEY),
                     "start": base + offsets[low : part.stop],
                     "n_tokens": np.diff(offsets[low : part.stop + 1]),
                     "ids": [values[offsets[j] : offsets[j + 1]].astype("<u4").tobytes() for j in part],

@@ -19,19 +19,19 @@ import uuid
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import prepare, with_arrow
-from .storage import commit, dealt, new_folder, opened, range_bounds, shard_of, write_json
+from .storage import NO_KEY, commit, dealt, key_ranges, new_folder, opened, write_json
 
 #: Payloads below this many bytes are never replaced by a revisit.
 REVISIT_BYTES = 100
 #: The date that headers carry, a parameter so that archives don't depend on the clock.
 DATE = "2024-01-01T00:00:00Z"
-NO_ID = -(2**63)
 _EOL = b"\r\n"
 _REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -58,14 +58,20 @@ def page_record(page_id: int, url: str | None, payload: bytes | None, size: int,
     return _record(headers, http if first is not None else http + (payload or b""))
 
 
-def write_archives(pages: DataFrame, folder: str | None = None, range_bytes: int = 16 << 20, roll_bytes: int = 64 << 20, date: str = DATE) -> str:
+def write_archives(pages: DataFrame, folder: str | None = None, range_bytes: int = 16 << 20, roll_bytes: int | None = None, date: str = DATE) -> str:
     """Write pages (page_id, url, html) and return the folder.
 
     Of equal payloads of at least REVISIT_BYTES, the one with the smallest
     page_id is a response and others revisit it; rows that share that smallest
     page_id are all responses. Null html is an empty payload. A null page_id
-    is written as -2**63, comes first, and doesn't count as the smallest. An
-    empty table gives a manifest without files.
+    is written as -2**63, comes first, and doesn't count as the smallest. Very
+    long payloads are one record each; other columns are ignored. An empty
+    table gives a manifest without files.
+
+    A task writes one range of about range_bytes, or of more where there would
+    be over RANGES of them, and rolls to a new file at roll_bytes of compressed
+    records, an eighth of a range unless given. Rows of a page_id that fills
+    several ranges, a null one too, are dealt over them by their digest.
     """
     spark = pages.sparkSession
     prepare(spark)
@@ -73,14 +79,17 @@ def write_archives(pages: DataFrame, folder: str | None = None, range_bytes: int
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     light = pages.select(F.col("page_id").cast("long").alias("page_id"), F.sha2(payload, 256).alias("digest"), F.octet_length(payload).cast("long").alias("size")).where(F.col("page_id").isNotNull() & (F.col("size") >= REVISIT_BYTES))
     firsts = light.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first").checkpoint()
-    bounds = range_bounds(pages.select(F.col("page_id").cast("long").alias("page_id"), (F.coalesce(F.octet_length("html"), F.lit(0)) + 512).alias("w")).where("page_id is not null"), "page_id", "w", range_bytes)
+    bounds = key_ranges(pages.select(F.col("page_id").cast("long").alias("page_id"), (F.coalesce(F.octet_length("html"), F.lit(0)) + 512).alias("w")), "page_id", "w", range_bytes)
+    roll = roll_bytes or max(1, bounds.target // 8)
 
     def pack(batch: pa.RecordBatch) -> Iterator[dict]:
         squeeze = zstandard.ZstdCompressor(level=6).compress
         payloads = [(x or "").encode() for x in batch["html"].to_pylist()]
-        yield {"page_id": batch["page_id"], "url": batch["url"], "digest": [hashlib.sha256(x).hexdigest() for x in payloads], "size": [len(x) for x in payloads], "z": [squeeze(x) for x in payloads], "shard": shard_of(batch["page_id"].to_numpy(), bounds)}
+        digests = [hashlib.sha256(x).hexdigest() for x in payloads]
+        ties = np.array([int(x[:8], 16) for x in digests], np.uint32)
+        yield {"page_id": batch["page_id"], "url": batch["url"], "digest": digests, "size": [len(x) for x in payloads], "z": [squeeze(x) for x in payloads], "shard": bounds.of(batch["page_id"].to_numpy(), ties)}
 
-    packed = with_arrow(pages.select(F.coalesce(F.col("page_id").cast("long"), F.lit(NO_ID)).alias("page_id"), F.col("url").cast("string").alias("url"), "html"), pack, "page_id long, url string, digest string, size long, z binary, shard int")
+    packed = with_arrow(pages.select(F.coalesce(F.col("page_id").cast("long"), F.lit(NO_KEY)).alias("page_id"), F.col("url").cast("string").alias("url"), "html"), pack, "page_id long, url string, digest string, size long, z binary, shard int")
     revisit = F.col("first").isNotNull() & (F.col("page_id") != F.col("first"))
     placed = packed.join(firsts, "digest", "left").select("page_id", "url", "digest", "size", "shard", F.when(revisit, F.col("first")).alias("first"), F.when(~revisit, F.col("z")).alias("z"))
     system, path = opened(folder)
@@ -115,7 +124,7 @@ def write_archives(pages: DataFrame, folder: str | None = None, range_bytes: int
 
         for batch in batches:
             for row in batch.to_pylist():
-                if row["shard"] != shard or size >= roll_bytes:
+                if row["shard"] != shard or size >= roll:
                     if out is not None:
                         yield close()
                     part = part + 1 if row["shard"] == shard else 0
@@ -126,7 +135,7 @@ def write_archives(pages: DataFrame, folder: str | None = None, range_bytes: int
         if out is not None:
             yield close()
 
-    rows = dealt(placed, len(bounds) + 1, "shard", "page_id", "digest", "url").mapInArrow(write, "shard int, part int, records long, bytes long, sha256 string").collect()  # one row a file
+    rows = dealt(placed, len(bounds), "shard", "page_id", "digest", "url").mapInArrow(write, "shard int, part int, records long, bytes long, sha256 string").collect()  # one row a file, of which there are RANGES times a few at most
     files = [r.asDict() | {"file": f"{r.shard:06d}-{r.part:04d}.warc.gz"} for r in sorted(rows)]
     write_json(f"{folder}/manifest.json", {"version": 1, "files": files})
     return folder
@@ -183,7 +192,7 @@ def read_archives(spark, folder: str) -> DataFrame:
                     payload = block.partition(_EOL * 2)[2] if kind == "response" else None
                     size, digest = (len(payload), hashlib.sha256(payload).hexdigest()) if kind == "response" else (int(headers["x-payload-length"]), headers["warc-payload-digest"].removeprefix("sha256:"))
                     page, first = int(headers["x-page-id"]), headers.get("x-refers-to-page-id")
-                    rows.append((None if page == NO_ID else page, headers["warc-target-uri"], size, digest, kind, None if first is None else int(first), payload))
+                    rows.append((None if page == NO_KEY else page, headers["warc-target-uri"], size, digest, kind, None if first is None else int(first), payload))
                     held += len(raw)
                     if held > 4 << 20 or len(rows) >= 1000:
                         yield dict(zip(names, map(list, zip(*rows))))

@@ -3,10 +3,13 @@ import gzip
 import hashlib
 import json
 import os
+import random
 import zlib
 
-from lakecurator.llm.shards import SLOTS, SlotMap, shard_rows
-from lakecurator.llm.storage import range_bounds
+import numpy as np
+
+from lakecurator.llm.shards import HOT_PART, SLOTS, SlotMap, newest, shard_rows
+from lakecurator.llm.storage import NO_KEY, key_ranges
 from lakecurator.llm.warc import read_archives, write_archives
 from pyspark.sql import functions as F
 
@@ -61,15 +64,35 @@ def test_warc_of_odd_tables(spark):
     assert read_archives(spark, write_archives(frame(spark, [], PAGES))).count() == 0
 
 
-def test_range_bounds(spark):
+def test_key_ranges(spark):
     df = spark.range(0, 1000).select((F.col("id") * F.col("id")).alias("k"), F.lit(10).alias("w"))
-    bounds = range_bounds(df, "k", "w", 1000)
-    keys = [r.k for r in df.collect()]
-    sizes = [sum(10 for k in keys if low < k <= high) for low, high in zip([-1, *bounds], [*bounds, 10**9])]
-    assert sum(sizes) == 10000 and max(sizes) <= 2000 and min(sizes) > 0
-    assert range_bounds(df.limit(0), "k", "w", 5) == []
-    hot = df.unionAll(spark.range(5000).select(F.lit(25).alias("k"), F.lit(10).alias("w")))
-    assert len(range_bounds(hot, "k", "w", 1000)) > 5
+    found = key_ranges(df, "k", "w", 1000)
+    sizes = collections.Counter(found.of(np.array([r.k for r in df.collect()]), np.zeros(1000, np.uint32)).tolist())
+    assert sum(sizes.values()) == 1000 and max(sizes.values()) <= 200 and set(sizes) == set(range(len(found)))
+    assert len(key_ranges(df.limit(0), "k", "w", 5)) == 1
+    far = spark.createDataFrame([(-(2**62) * 2 + 1, 5), (2**63 - 1, 5), (0, 5), (1, 5), (2, 5)], "k long, w long")
+    assert 4 <= len(key_ranges(far, "k", "w", 5)) <= 5
+    assert len(key_ranges(df, "k", "w", 10, ranges=7)) <= 14
+
+
+def test_hot_and_null_keys_are_split(spark):
+    rows = [(i, 10) for i in range(100)] + [(25, 10)] * 500 + [(None, 10)] * 300
+    found = key_ranges(spark.createDataFrame(rows, "k long, w long"), "k", "w", 200)
+    keys = np.array([NO_KEY if k is None else k for k, _ in rows])
+    ties = np.random.default_rng(1).integers(0, 1 << 32, len(keys), dtype=np.uint32)
+    at = found.of(keys, ties)
+    assert len(found) > 800 * 10 // 400 and max(collections.Counter(at.tolist()).values()) < 60
+    order = np.lexsort((ties, keys))
+    assert (np.diff(at[order]) >= 0).all() and at.max() == len(found) - 1
+
+
+def test_archives_roll_by_compressed_size(spark):
+    rng = random.Random(4)
+    rows = [(i, f"u{i}", "".join(rng.choice("abcdefghij <>") for _ in range(3000)), None) for i in range(200)]
+    folder = write_archives(frame(spark, rows, PAGES), range_bytes=200_000)
+    files = [x for x in json.load(open(f"{folder}/manifest.json"))["files"]]
+    assert max(x["part"] for x in files) > 0 and max(x["bytes"] for x in files) < 200_000 // 8 + 8000
+    assert sorted(r.page_id for r in read_archives(spark, folder).collect()) == list(range(200))
 
 
 def test_shards(spark):
@@ -80,8 +103,10 @@ def test_shards(spark):
     assert all(size == len(text[i]) + 1 and crc == zlib.crc32(text[i]) for i, size, crc in zip(found.doc_id, found["size"], found.text_crc32))
     for _, part in found.groupby("shard"):
         assert sorted(part.slot) == list(range(len(part)))
-    sums = found[found["size"] < 20000].groupby("shard")["size"].sum()
-    assert found.shard.nunique() == 4 and sums.max() > 0
+    loads = found.groupby("shard")["size"].sum()
+    assert found.shard.nunique() == 4 and loads.max() <= max(found.groupby("virtual_slot")["size"].sum().max(), 1.05 * loads.mean())
+    together = found[found.text_crc32.map(found.groupby("text_crc32")["size"].sum()) <= found["size"].sum() / HOT_PART]
+    assert (together.groupby("text_crc32").shard.nunique() == 1).all()
     assert shard_rows(frame(spark, [])).count() == 0
     strange = shard_rows(odd(spark), shards=2).collect()
     assert len(strange) == 7 and {r.shard for r in strange} <= {0, 1}
@@ -89,6 +114,19 @@ def test_shards(spark):
         assert sorted(r.slot for r in strange if r.shard == shard) == list(range(sum(r.shard == shard for r in strange)))
 
 
+def test_shards_are_near_equal_and_a_hot_group_is_spread(spark, tmp_path):
+    rows = [(i, f"text {i} " * 20, "en", "s", 1) for i in range(6000)] + [(10_000 + i, "the same " * 20, "en", "s", 1) for i in range(3000)]
+    folder = str(tmp_path / "maps")
+    found = shard_rows(frame(spark, rows), shards=16, folder=folder).toPandas()
+    loads = found.groupby("shard")["size"].sum()
+    assert loads.max() - loads.min() <= found["size"].max() and found[found.doc_id >= 10_000].shard.nunique() == 16
+    kept = newest(folder)
+    assert kept.version == 2 and kept.shards == 16
+    again = shard_rows(frame(spark, rows), shards=17, folder=folder).toPandas()
+    was, now = (dict(zip(x.doc_id, x.shard)) for x in (found, again))
+    assert newest(folder).version == 3 and {now[i] for i in was if now[i] != was[i]} == {16}
+
+
 def test_rebalancing_narrows_the_shards_and_moves_little():
     sizes = {i: 1000 + (i * 7919) % 900 for i in range(SLOTS)}
     one = SlotMap.first(16)
