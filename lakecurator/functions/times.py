@@ -27,7 +27,9 @@ def epoch(iso: Column) -> Column:
 
 
 def local_month(seconds: Column, zone: str) -> Column:
-    return F.date_format(F.from_utc_timestamp(F.timestamp_seconds(seconds), zone), "yyyy-MM")
+    """The month of an instant in a time zone, whatever the session's zone."""
+    utc = F.timestamp_add("SECOND", seconds, F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"))
+    return F.date_format(F.convert_timezone(F.lit("UTC"), F.lit(zone), utc), "yyyy-MM")
 
 
 def dated_album(seconds: Column, is_video: Column, albums: dict[str, str], zone: str) -> Column:
@@ -45,22 +47,31 @@ def plausible(year: Column, month: Column, day: Column, today: datetime.date) ->
     return F.coalesce((F.year(date) >= FIRST_YEAR) & (date <= F.lit(today + datetime.timedelta(days=1))), F.lit(False))
 
 
+def _filename_date(label: str, groups: int, parts: Column, today: datetime.date) -> Column:
+    """struct(value, pattern) of a match's groups, or null if they are no plausible date."""
+    g = lambda i: F.get(parts, F.lit(i - 1))
+    value = date = F.concat_ws("-", g(1), g(2), g(3))
+    if groups > 4:
+        hour = g(4).try_cast("int")
+        good = (hour < 24) & (g(5).try_cast("int") < 60) & (g(6).try_cast("int") < 60)
+        if groups == 8:
+            hour = F.when(g(7) == "PM", hour % 12 + 12).when(g(7) == "AM", hour % 12).otherwise(hour)
+        value = F.when(good, F.concat(date, F.lit("T"), F.lpad(hour.cast("string"), 2, "0"), F.lit(":"), g(5), F.lit(":"), g(6))).otherwise(date)
+    return F.when(plausible(g(1), g(2), g(3), today), F.struct(value.alias("value"), F.lit(label).alias("pattern")))
+
+
 def from_filename(name: Column, today: datetime.date) -> Column:
-    """struct(value, pattern) of the first pattern that gives a plausible date, or null."""
+    """struct(value, pattern) of the first pattern that gives a plausible date, or null.
+
+    A pattern is matched once and its groups are taken from the match.
+    """
     found = []
     for label, pattern, groups in FILENAME_PATTERNS:
-        g = lambda i, p=pattern: F.regexp_extract(name, p, i)
-        date = F.concat_ws("-", g(1), g(2), g(3))
-        value = date
-        if groups > 4:
-            hour, minute, second = (g(i).try_cast("int") for i in (4, 5, 6))
-            if groups == 8:
-                hour12 = F.when(g(7) == "PM", hour % 12 + 12).when(g(7) == "AM", hour % 12).otherwise(hour)
-            else:
-                hour12 = hour
-            good = (hour < 24) & (minute < 60) & (second < 60)
-            value = F.when(good, F.concat(date, F.lit("T"), F.lpad(hour12.cast("string"), 2, "0"), F.lit(":"), g(5), F.lit(":"), g(6))).otherwise(date)
-        found.append(F.when(plausible(g(1), g(2), g(3), today), F.struct(value.alias("value"), F.lit(label).alias("pattern"))))
+        listed = "|".join(f"${i}" for i in range(1, groups))
+        hit = F.regexp_extract(name, pattern, 0)
+        parts = F.split(F.regexp_replace(hit, pattern, listed), "\\|", -1)
+        one = F.filter(F.transform(F.array(parts), lambda p: _filename_date(label, groups, p, today)), lambda x: x.isNotNull())  # noqa: B023  an array of one, so that the groups are named once
+        found.append(F.when(name.rlike(pattern), F.get(one, F.lit(0))))
     return F.coalesce(*found)
 
 

@@ -12,6 +12,15 @@ from .matching import first_per_key, greedy_one_to_one
 
 DECISIONS = ("exact", "same", "new", "review", "source_duplicate")
 MODES = ("off", "exact", "content")
+#: What the details of decisions say.
+SAME_FILE = "same file as "
+UNREADABLE = "a same-named copy couldn't be compared"
+NEAREST = ("nearest same-named copy differs (distance ", ")")
+CLAIMED = "same-named copies already claimed by closer matches"
+BETWEEN = ("distance ", " is between {} and {}")
+SECONDS = "duration differs by %.2fs"
+NO_DURATION = "duration unknown; can't compare"
+OTHER_SHAPE = "same-named video has a different shape"
 COLUMNS = ["ref", "decision", "method", "dest_item_id", "dest_album_id", "dist", "detail"]
 
 
@@ -60,7 +69,7 @@ def decide(sources: DataFrame, dests: DataFrame, source_hashes: DataFrame | None
         raise ValueError(f"unknown mode {mode!r}")
     known = staged(representatives(sources))
     unique = known.where("representative = ref")
-    twins = _rows(known.where("representative <> ref"), F.lit("source_duplicate"), F.lit("md5"), detail=F.concat(F.lit("same file as "), F.col("representative")))
+    twins = _rows(known.where("representative <> ref"), F.lit("source_duplicate"), F.lit("md5"), detail=F.concat(F.lit(SAME_FILE), F.col("representative")))
     if mode == "off":
         return twins.unionByName(_rows(unique, F.lit("new"), F.lit("off")))
 
@@ -95,10 +104,10 @@ def _photos(photos: DataFrame, met: DataFrame, source_hashes: DataFrame, dest_ha
     method = F.when(~unread & far & (F.col("scores") == 0), "none").otherwise("content")
     distance = F.col("dist").cast("string")
     detail = (
-        F.when(unread, "a same-named copy couldn't be compared")
-        .when(far & F.col("dist").isNotNull(), F.concat(F.lit("nearest same-named copy differs (distance "), distance, F.lit(")")))
-        .when(far & (F.col("scores") > 0), "same-named copies already claimed by closer matches")
-        .when(~far, F.concat(F.lit("distance "), distance, F.lit(f" is between {same_max} and {different_min}")))
+        F.when(unread, UNREADABLE)
+        .when(far & F.col("dist").isNotNull(), F.concat(F.lit(NEAREST[0]), distance, F.lit(NEAREST[1])))
+        .when(far & (F.col("scores") > 0), CLAIMED)
+        .when(~far, F.concat(F.lit(BETWEEN[0]), distance, F.lit(BETWEEN[1].format(same_max, different_min))))
     )
     decided = left.withColumn("decision", decision).withColumn("method", method).withColumn("detail", detail)
     named = F.col("decision") == "review"
@@ -110,12 +119,12 @@ def _videos(videos: DataFrame, met: DataFrame, tolerance: float) -> DataFrame:
     side = lambda *names: dict(zip(("duration", "width", "height"), map(F.col, names)))
     scored = staged(met.withColumn("shape", video_gap(side("duration_s", "width", "height"), side("d_duration", "d_width", "d_height"), tolerance)).select("ref", "item_id", "d_album", "shape.gap", "shape.known"))
     taken = staged(greedy_one_to_one(scored.where("gap is not null"), "ref", "item_id", ["gap"]))
-    same = _rows(taken, F.lit("same"), F.lit("video_shape"), "item_id", "d_album", detail=F.format_string("duration differs by %.2fs", F.col("gap")))
+    same = _rows(taken, F.lit("same"), F.lit("video_shape"), "item_id", "d_album", detail=F.format_string(SECONDS, F.col("gap")))
     seen = scored.groupBy("ref").agg(F.min(F.when(~F.col("known"), F.struct("d_album", "item_id"))).alias("unknown"), F.count("*").alias("named"))
     left = videos.select("ref").join(taken.select("ref"), "ref", "left_anti").join(seen, "ref", "left")
     left = left.select("ref", F.col("unknown.item_id").alias("item"), F.col("unknown.d_album").alias("album"), F.col("named").isNotNull().alias("named"))
     review = F.col("item").isNotNull()
-    detail = F.when(review, "duration unknown; can't compare").when(F.col("named"), "same-named video has a different shape")
+    detail = F.when(review, NO_DURATION).when(F.col("named"), OTHER_SHAPE)
     return same.unionByName(_rows(left, F.when(review, "review").otherwise("new"), F.when(F.col("named"), "video_shape").otherwise("none"), "item", "album", detail=detail))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.names import extension, inside, match_key
+from .placing import ranked
 
 
 def albums_in_scope(albums: DataFrame, paths: list[str]) -> DataFrame:
@@ -56,9 +57,9 @@ def review_pairs(matches: DataFrame, numbered: DataFrame) -> DataFrame:
     todo = matches.where("decision = 'review' and reviewed is null").select("ref")
     last = numbered.agg(F.max("number")).first()[0] or 0
     new = todo.join(numbered, "ref", "left_anti")
-    # the numbers of a person's review queue: one task is enough for what someone looks through
-    ranked = new.withColumn("number", (F.row_number().over(Window.orderBy("ref")) + last).cast(numbered.schema["number"].dataType))
-    return numbered.select("number", "ref").unionByName(ranked.select("number", "ref"))
+    placed = ranked(new.withColumn("_queue", F.lit(0)), "_queue", [F.asc("ref")], "_rank")
+    given = placed.select((F.col("_rank") + 1 + last).cast(numbered.schema["number"].dataType).alias("number"), "ref")
+    return numbered.select("number", "ref").unionByName(given)
 
 
 def read_answers(files: DataFrame, numbered: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -9,10 +9,23 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.names import fill, glob, part_name
+from ..plans.staging import staged
 
 
-def _ranked(df: DataFrame, group: str, order: list[Column], rank: str) -> DataFrame:
-    return df.withColumn(rank, F.row_number().over(Window.partitionBy(group).orderBy(*order)) - 1)
+def ranked(df: DataFrame, group: str, order: list[Column], rank: str) -> DataFrame:
+    """df with rank, the place from 0 of each row in its group by a total order.
+
+    Rows are cut into ranges of group and order, so that a large group fills
+    many of them; ranges are counted, counts before a range are summed for each
+    group, and only the rows of one range are numbered together.
+    """
+    ranged = staged(df.repartitionByRange(F.col(group).asc(), *order).withColumn("_range", F.spark_partition_id()))
+    sizes = ranged.groupBy(F.col(group).alias("_group"), F.col("_range").alias("_at")).agg(F.count("*").alias("_n"))
+    before = Window.partitionBy("_group").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    bases = sizes.select("_group", "_at", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    numbered = ranged.withColumn("_in", F.row_number().over(Window.partitionBy(group, "_range").orderBy(*order)) - 1)
+    found = numbered.join(bases, F.col(group).eqNullSafe(F.col("_group")) & (F.col("_range") == F.col("_at")))
+    return found.withColumn(rank, F.col("_base") + F.col("_in")).drop("_range", "_group", "_at", "_base", "_in")
 
 
 def parts(items: DataFrame, base: str, order: list[Column], cap: int, existing: DataFrame | None = None) -> DataFrame:
@@ -21,19 +34,21 @@ def parts(items: DataFrame, base: str, order: list[Column], cap: int, existing:
     existing (target, n) has the items that parts hold already. A part offers
     the places it has left, and the item of rank r takes the r-th place offered.
     """
-    ranked = _ranked(items, base, order, "_rank")
+    rows = ranked(items, base, order, "_rank")
     if existing is None:
-        out = ranked.withColumn("part", (F.floor(F.col("_rank") / cap) + 1).cast("int"))
+        out = rows.withColumn("part", (F.floor(F.col("_rank") / cap) + 1).cast("int"))
         return out.withColumn("target", part_name(F.col(base), F.col("part"))).drop("_rank")
     named = existing.select(F.regexp_replace("target", r" - Part \d+$", "").alias(base), F.coalesce(F.regexp_extract("target", r" - Part (\d+)$", 1).try_cast("int"), F.lit(1)).alias("part"), "n")
     free = named.groupBy(base, "part").agg(F.greatest(F.lit(0), F.lit(cap) - F.sum("n")).alias("free"))
-    used = free.groupBy(base).agg(F.max("part").alias("_last"))
-    # parts 1 .. last with what they have left; what is past them fills empty parts
-    every = used.select(base, "_last", F.explode(F.sequence(F.lit(1), F.col("_last"))).alias("part")).join(free, [base, "part"], "left").withColumn("free", F.coalesce("free", F.lit(cap)))
-    upto = F.sum("free").over(Window.partitionBy(base).orderBy("part").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    offers = every.withColumn("_end", upto).groupBy(base).agg(F.sort_array(F.collect_list(F.struct("part", "_end"))).alias("_offers"), F.max("_last").alias("_last"), F.max("_end").alias("_total"))
-    placed = ranked.join(offers, base, "left")
-    fits = F.get(F.filter("_offers", lambda o: o["_end"] > F.col("_rank")), F.lit(0))["part"]
+    # a listed part offers what it has left, after all of every unlisted part between it and the one before
+    along = Window.partitionBy(base).orderBy("part")
+    gaps = free.withColumn("gap", F.col("part") - F.coalesce(F.lag("part").over(along), F.lit(0)) - 1)
+    ends = gaps.withColumn("_end", F.sum(F.col("gap").cast("long") * cap + F.col("free")).over(along.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    offers = ends.groupBy(base).agg(F.sort_array(F.collect_list(F.struct("part", "gap", "free", "_end"))).alias("_offers"), F.max("part").alias("_last"), F.max("_end").alias("_total"))
+    placed = rows.join(offers, base, "left")
+    offer = F.get(F.filter("_offers", lambda o: o["_end"] > F.col("_rank")), F.lit(0))
+    into = F.col("_rank") - (offer["_end"] - offer["gap"] * cap - offer["free"])
+    fits = F.when(into < offer["gap"] * cap, offer["part"] - offer["gap"] + F.floor(into / cap)).otherwise(offer["part"])
     beyond = F.coalesce("_last", F.lit(0)) + F.floor((F.col("_rank") - F.coalesce("_total", F.lit(0))) / cap) + 1
     out = placed.withColumn("part", F.coalesce(fits, beyond).cast("int"))
     return out.withColumn("target", part_name(F.col(base), F.col("part"))).drop("_rank", "_offers", "_last", "_total")

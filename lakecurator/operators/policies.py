@@ -11,6 +11,11 @@ from ..functions.names import glob_any, path_of
 
 #: How strict a privacy setting is.
 PRIVACY_RANK = {"public": 0, "unlisted": 1, "private": 2}
+#: What warnings and findings say.
+UNUSED_SIZE = "policy %d: download_size applies only with downloads on; not checked"
+BLOCKED = ("a containing folder makes it ", "; the album's own '", "' setting can't take effect")
+OVER_CAP = "over the item cap (%d > {})"
+NEAR_CAP = "near the item cap (%d of {})"
 
 
 def in_scope(policy: dict, folder: Column, name: Column) -> Column:
@@ -58,7 +63,7 @@ def drift(actual: DataFrame, want: DataFrame) -> DataFrame:
     place = F.when(F.col("setting") == "downloads", F.lit("")).otherwise(F.col("setting"))
     fixes = fixes.select("album_id", place.alias("place"), "setting", "actual", "desired", "policy", F.lit(None).cast("string").alias("warning"))
     blank = [F.lit(None).cast("string").alias(c) for c in ("place", "setting", "actual", "desired")]
-    unused = both.where(idle).select("album_id", *blank, "policy", F.format_string("policy %d: download_size applies only with downloads on; not checked", F.col("policy")).alias("warning"))
+    unused = both.where(idle).select("album_id", *blank, "policy", F.format_string(UNUSED_SIZE, F.col("policy")).alias("warning"))
 
     ranks = F.create_map(*[F.lit(x) for k, v in PRIVACY_RANK.items() for x in (json.dumps(k), v)])
     rank = lambda c: F.coalesce(F.try_element_at(ranks, F.col(c)), F.lit(0))
@@ -68,7 +73,7 @@ def drift(actual: DataFrame, want: DataFrame) -> DataFrame:
     reported = F.coalesce(F.col("folder"), F.lit("null")) != "null"
     capped = F.when(reported, rank("folder") > rank("wanted")).otherwise((rank("effective") > rank("wanted")) & (rank("effective") > rank("own")))
     limit = F.when(reported, F.col("folder")).otherwise(F.col("effective"))
-    text = F.concat(F.lit("a containing folder makes it "), F.replace(limit, F.lit('"')), F.lit("; the album's own '"), F.replace("wanted", F.lit('"')), F.lit("' setting can't take effect"))
+    text = F.concat(F.lit(BLOCKED[0]), F.replace(limit, F.lit('"')), F.lit(BLOCKED[1]), F.replace("wanted", F.lit('"')), F.lit(BLOCKED[2]))
     blocked = private.where(capped).select("album_id", *blank, "policy", text.alias("warning"))
     return fixes.unionByName(unused).unionByName(blocked)
 
@@ -82,8 +87,8 @@ def finding(count: Column, soft_cap: int, hard_cap: int) -> Column:
     """empty, over or near the item cap, or null."""
     return (
         F.when(count == 0, "empty")
-        .when(count > hard_cap, F.format_string(f"over the item cap (%d > {hard_cap})", count))
-        .when(count >= soft_cap, F.format_string(f"near the item cap (%d of {hard_cap})", count))
+        .when(count > hard_cap, F.format_string(OVER_CAP.format(hard_cap), count))
+        .when(count >= soft_cap, F.format_string(NEAR_CAP.format(hard_cap), count))
     )
 
 

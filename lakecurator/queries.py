@@ -3,35 +3,15 @@
 from __future__ import annotations
 
 import datetime
-from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import names, naming, shapes, times
 from .operators import accounting, changes, dedupe, matching, placing, policies
+from .registry import QUERIES, SQL, query, table  # noqa: F401  the registry is read from here too
 
 TODAY = datetime.date(2026, 10, 7)
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    """Register a function under its name, with its SQL."""
-
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as source files: ref, md5 of the text, source as the name."""
     return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("ref"), F.md5("text").alias("md5"), "source", "lang")
@@ -411,7 +391,27 @@ def unused_targets(spark, sf_dir):
     return table(spark, sf_dir, "customer").join(plan, "c_custkey", "left_anti").select(F.col("c_custkey").alias("album_id"))
 
 
-@query()
+@query("""
+WITH RECURSIVE v AS (SELECT vec_id, label, list_transform(embedding[1:64], lambda x: x > 0) AS b FROM embeddings),
+l AS (SELECT *, min(vec_id) OVER (PARTITION BY b) AS rep FROM v WHERE vec_id % 2 = 0),
+r AS (SELECT * FROM v WHERE vec_id % 2 = 1),
+x AS (SELECT b, min(vec_id) AS item FROM r GROUP BY b),
+rest AS (SELECT l.* FROM l WHERE rep = vec_id AND NOT EXISTS (SELECT 1 FROM x WHERE x.b = l.b)),
+p AS (SELECT rest.vec_id AS ref, r.vec_id AS item, len(list_filter(list_zip(rest.b, r.b), lambda z: z[1] <> z[2])) AS dist FROM rest JOIN r USING (label)),
+c AS (SELECT *, row_number() OVER (ORDER BY dist, ref, item) AS rn FROM p WHERE dist <= 24),
+g AS (SELECT CAST(0 AS BIGINT) AS rn, CAST([] AS BIGINT[]) AS us, CAST([] AS BIGINT[]) AS ud, false AS ok, CAST(0 AS BIGINT) AS ref, CAST(0 AS BIGINT) AS item, CAST(0 AS BIGINT) AS dist
+  UNION ALL
+  SELECT c.rn, CASE WHEN o THEN list_append(us, c.ref) ELSE us END, CASE WHEN o THEN list_append(ud, c.item) ELSE ud END, o, c.ref, c.item, c.dist
+  FROM g JOIN c ON c.rn = g.rn + 1, LATERAL (SELECT NOT list_contains(us, c.ref) AND NOT list_contains(ud, c.item) AS o)),
+t AS (SELECT ref, item, dist FROM g WHERE ok),
+f AS (SELECT ref, min(dist * 1000000 + item) AS near FROM p WHERE item NOT IN (SELECT item FROM t) GROUP BY 1),
+o AS (SELECT rest.vec_id AS ref, f.near // 1000000 AS dist, f.near % 1000000 AS item, coalesce(n, 0) AS n FROM rest LEFT JOIN f ON f.ref = rest.vec_id LEFT JOIN (SELECT ref, count(*) AS n FROM p GROUP BY 1) s ON s.ref = rest.vec_id WHERE rest.vec_id NOT IN (SELECT ref FROM t))
+SELECT CAST(ref AS VARCHAR) AS ref, decision, method, CAST(item AS VARCHAR) AS dest_item_id, CASE WHEN item IS NOT NULL THEN 'a' END AS dest_album_id, CAST(dist AS INTEGER) AS dist FROM (
+  SELECT vec_id AS ref, 'source_duplicate' AS decision, 'md5' AS method, NULL AS item, NULL AS dist FROM l WHERE rep <> vec_id
+  UNION ALL SELECT l.vec_id, 'exact', 'md5', x.item, 0 FROM l JOIN x USING (b) WHERE rep = vec_id
+  UNION ALL SELECT ref, 'same', 'content', item, dist FROM t
+  UNION ALL SELECT ref, CASE WHEN dist IS NULL OR dist >= 30 THEN 'new' ELSE 'review' END, CASE WHEN n = 0 THEN 'none' ELSE 'content' END, CASE WHEN dist < 30 THEN item END, dist FROM o)
+""")
 def content_decisions(spark, sf_dir):
     """Vectors as photos: the sign bits are the hash, the label the name; labels of odd vectors are the destination's."""
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "label", shapes.sign_bits(F.col("embedding")).alias("hash"))
@@ -421,7 +421,8 @@ def content_decisions(spark, sf_dir):
     left, right = vectors.where("vec_id % 2 = 0"), vectors.where("vec_id % 2 = 1")
     sources = left.select(F.col("vec_id").alias("ref"), name.alias("name"), F.lit("photo").alias("kind"), md5.alias("md5"), *none)
     dests = right.select(F.col("vec_id").alias("item_id"), F.lit("a").alias("album_id"), name.alias("name"), md5.alias("md5"), F.lit(False).alias("is_video"), *none)
-    return dedupe.decide(sources, dests, left.select(F.col("vec_id").alias("ref"), F.array("hash").alias("hashes")), right.select(F.col("vec_id").alias("item_id"), "hash"), same_max=24, different_min=30)
+    found = dedupe.decide(sources, dests, left.select(F.col("vec_id").alias("ref"), F.array("hash").alias("hashes")), right.select(F.col("vec_id").alias("item_id"), "hash"), same_max=24, different_min=30)
+    return found.select(F.col("ref").cast("string").alias("ref"), "decision", "method", "dest_item_id", "dest_album_id", "dist")
 
 
 @query()
@@ -434,3 +435,6 @@ def seeded_album_sample(spark, sf_dir):
 def stratified_pages(spark, sf_dir):
     """Pages of a customer's orders, one from each of three slices."""
     return accounting.page_sample(table(spark, sf_dir, "orders"), "o_custkey", [F.asc("o_orderdate"), F.asc("o_orderkey")], 3, size=2, seed=7).select("o_custkey", "o_orderkey")
+
+
+from . import item_queries  # noqa: E402, F401  registers the rest
