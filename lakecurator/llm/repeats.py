@@ -6,11 +6,13 @@ k-word gram, so the suffixes that begin at selected grams, the anchors, meet
 every window, and equal windows meet theirs at the same offset.
 
 1. Suffixes are grouped by their prefix, at first the anchor. Prefixes that
-   occur once are dropped. One with more suffixes than a task should hold is
+   occur once are dropped. Equal suffixes become one leaf, counted by Spark's
+   aggregation: several occurrences repeat all their windows, and one stands
+   for them in the tree. A prefix with more leaves than a task should hold is
    lengthened: the offsets at which windows meet the anchor are split, and the
    words that all windows of a part share, before the anchor and after it, are
-   the longer prefix. It grows in steps up to the whole window, where nothing
-   is left to sort and a count of its occurrences decides.
+   the longer prefix. It grows in steps up to the whole window, where a leaf is
+   a window and the count decides.
 2. A task sorts the suffixes of its prefixes word by word. Neighbours' common
    lengths give the internal nodes of the subtree: suffixes between two shorter
    common lengths share a node of that depth. The words before the anchors,
@@ -34,10 +36,10 @@ from pyspark.sql import functions as F
 
 from .common import Carried, cut, prepare, unpacked, with_arrow
 from .storage import new_folder
-from .wordhash import U64, ngram_hashes, span_hashes, text_slices, word_bounds
+from .wordhash import ngram_hashes, run_hashes, span_hashes, text_slices, word_bounds
 
 ANCHOR_WORDS = 10
-#: Suffixes of one prefix that a task may hold together; the prefix is lengthened beyond it.
+#: Leaves of one prefix that a task may hold together; the prefix is lengthened beyond it.
 GROUP_LIMIT = 4096
 #: Halvings of the offsets at each lengthening of a prefix.
 _STEP = 2
@@ -72,17 +74,21 @@ def _anchored(data: np.ndarray, offsets: np.ndarray, window: int):
 
 
 def _anchors(window: int):
+    """Suffixes without their words: the anchor, the least and largest offset of windows that chose it, and the hash of all their words, the path."""
+
     def run(batch: pa.RecordBatch) -> Iterator[dict]:
         rids, own = batch["_rid"].to_numpy(), batch["_own"].to_numpy()
         for first, _, data, offsets in text_slices(batch["text"]):
-            _, _, doc, _, at, _, _, grams = _anchored(data, offsets, window)
+            _, _, doc, words, at, lo, hi, grams = _anchored(data, offsets, window)
             row = first + doc[at]
-            yield {"key": grams[at].view(np.int64), "_rid": rids[row], "_own": own[row], "pos": (at - np.searchsorted(doc, doc[at])).astype(np.int32)}
+            path = run_hashes(words, at - hi, at - lo + window)
+            yield {"key": grams[at].view(np.int64), "_rid": rids[row], "_own": own[row], "pos": (at - np.searchsorted(doc, doc[at])).astype(np.int32), "lo": lo.astype(np.int32), "hi": hi.astype(np.int32), "path": path.view(np.int64)}
 
     return run
 
 
-_SUFFIX = "key long, _rid long, _own long, pos int, lo int, hi int, words binary"
+_LEAF = "key long, _rid long, _own long, pos int, lo int, hi int, path long"
+_SUFFIX = f"{_LEAF}, words binary"
 
 
 def _between(raw: bytes, low: np.ndarray, high: np.ndarray) -> list[bytes]:
@@ -90,20 +96,20 @@ def _between(raw: bytes, low: np.ndarray, high: np.ndarray) -> list[bytes]:
 
 
 def _suffixes(window: int):
-    """Leaves of the subtrees: an anchor with the words of all windows that chose it, from the first one's start to the last one's end."""
+    """Leaves of the subtrees: an anchor with the words of all windows that chose it, from the first one's start to the last one's end, and their hash, the path."""
 
     def run(batch: pa.RecordBatch) -> Iterator[dict]:
         batch = batch.filter(batch["_places"].is_valid())
         rids, own = batch["_rid"].to_numpy(), batch["_own"].to_numpy()
         for first, end, data, offsets in text_slices(unpacked(batch["_z"])):
-            starts, ends, doc, _, at, lo, hi, grams = _anchored(data, offsets, window)
+            starts, ends, doc, words, at, lo, hi, grams = _anchored(data, offsets, window)
             places = batch["_places"].slice(first, end - first)
             listed = (np.repeat(np.arange(end - first), places.value_lengths().to_numpy()) << 32) | places.flatten().to_numpy()
             pos = at - np.searchsorted(doc, doc[at])
             use = np.isin((doc[at] << 32) | pos, listed)
             at, lo, hi, pos = at[use], lo[use], hi[use], pos[use]
             row = first + doc[at]
-            yield {"key": grams[at].view(np.int64), "_rid": rids[row], "_own": own[row], "pos": pos.astype(np.int32), "lo": lo.astype(np.int32), "hi": hi.astype(np.int32), "words": _between(data.tobytes(), starts[at - hi], ends[at - lo + window - 1])}
+            yield {"key": grams[at].view(np.int64), "_rid": rids[row], "_own": own[row], "pos": pos.astype(np.int32), "lo": lo.astype(np.int32), "hi": hi.astype(np.int32), "path": run_hashes(words, at - hi, at - lo + window).view(np.int64), "words": _between(data.tobytes(), starts[at - hi], ends[at - lo + window - 1])}
 
     return run
 
@@ -139,24 +145,7 @@ def _longer(window: int, level: int):
                     hashed[size] = ngram_hashes(words, size, 3)
                 least, most = np.maximum(lo[use], low), np.minimum(hi[use], high)
                 took = part.take(pa.array(use))
-                yield {c: took[c] for c in ("_rid", "_own", "pos")} | {"key": hashed[size][at[use] - low].view(np.int64), "lo": least, "hi": most, "words": _between(raw, starts[at[use] - most], ends[at[use] - least + window - 1])}
-
-    return run
-
-
-def _whole(window: int):
-    """The windows of suffixes: start, the hash of all words, and the key of the prefix that they were found by."""
-
-    def run(batch: pa.RecordBatch) -> Iterator[dict]:
-        for first, end, _, _, _, row, words in _leaves(batch):
-            part = batch.slice(first, end - first)
-            lo, hi, pos = (part[c].to_numpy() for c in ("lo", "hi", "pos"))
-            count = hi - lo + 1
-            leaf = np.repeat(np.arange(end - first), count)
-            nth = np.arange(len(leaf)) - np.repeat(np.cumsum(count) - count, count)  # the window with the largest offset starts the words
-            hashes = ngram_hashes(words, window, 3)[np.searchsorted(row, leaf) + nth]
-            took = part.take(pa.array(leaf))
-            yield {"key": hashes.view(np.int64), "prefix": took["key"], "_rid": took["_rid"], "_own": took["_own"], "start": (pos[leaf] - hi[leaf] + nth).astype(np.int32)}
+                yield {c: took[c] for c in ("_rid", "_own", "pos")} | {"key": hashed[size][at[use] - low].view(np.int64), "lo": least, "hi": most, "path": run_hashes(words, at[use] - most, at[use] - least + window).view(np.int64), "words": _between(raw, starts[at[use] - most], ends[at[use] - least + window - 1])}
 
     return run
 
@@ -293,7 +282,7 @@ def _pack(as_text: bool, original: bool, extra: list[str]):
     def run(batch: pa.RecordBatch) -> Iterator[dict]:
         z, done, count = [], [], []
         for i, text in enumerate(batch["_z"].to_pylist()):
-            if batch["_places"][i].is_valid:
+            if batch["_any"][i].is_valid:
                 z.append(text)
                 done.append(None)
                 count.append(None)
@@ -304,7 +293,7 @@ def _pack(as_text: bool, original: bool, extra: list[str]):
             z.append(None)
             done.append(left.decode() if as_text else hashlib.sha256(left).hexdigest())
             count.append(len(words))
-        yield {c: batch[c] for c in ["doc_id", *extra, "_rid", "_own", "_places"]} | {"_z": z, "_done": done, "_n": count}
+        yield {c: batch[c] for c in ["doc_id", *extra, "_rid", "_own", "_any", "_places"]} | {"_z": z, "_done": done, "_n": count}
 
     return run
 
@@ -339,40 +328,54 @@ def remove_repeats(docs: DataFrame, window: int = 35, as_text: bool = True, orig
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *carried.columns).withColumn("_rid", F.xxhash64("doc_id", "text")).withColumn("_own", F.coalesce("doc_id", F.lit(0).cast("long")))
     key = ["_rid", "_own"]
 
-    def counted(suffixes: DataFrame) -> DataFrame:
-        return cut(suffixes.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key", (F.col("n") > GROUP_LIMIT).alias("heavy")))
+    same, place = ["key", "path", "lo", "hi"], ["_rid", "_own", "pos", "lo"]
+
+    def grouped(leaves: DataFrame) -> DataFrame:
+        return cut(leaves.groupBy(*same).agg(F.min(F.struct(*place)).alias("one"), F.count("*").alias("n")))
+
+    def repeated(leaves: DataFrame, groups: DataFrame) -> DataFrame:
+        """The windows of leaves that have equals, as runs."""
+        equal = leaves.join(groups.where("n > 1").select(*same), same, "left_semi")
+        return equal.select(*key, (F.col("pos") - F.col("hi")).alias("start"), (F.col("hi") - F.col("lo") + 1).alias("count"))
+
+    def sized(groups: DataFrame) -> DataFrame:
+        """Prefixes with several leaves, and whether those are too many."""
+        return cut(groups.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key", (F.col("n") > GROUP_LIMIT).alias("heavy")))
 
-    anchors = cut(with_arrow(source.select("text", *key), _anchors(window), "key long, _rid long, _own long, pos int"))
-    twice = counted(anchors)
-    places = anchors.join(twice, "key").groupBy(*key).agg(F.collect_set(F.col("pos") * 2 + F.col("heavy").cast("int")).alias("_places"))
+    suffixes = cut(with_arrow(source.select("text", *key), _anchors(window), _LEAF))
+    twice = cut(suffixes.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"))
+    leaves = cut(suffixes.join(twice, "key"))
+    groups = grouped(leaves)
+    runs, sizes = repeated(leaves, groups), sized(groups)
+    chosen = groups.join(sizes, "key").select("one.*", "heavy")
+    places = chosen.groupBy(*key).agg(F.collect_set(F.col("pos") * 2 + F.col("heavy").cast("int")).alias("_places"))
+    places = leaves.select(*key).distinct().withColumn("_any", F.lit(True)).join(places, key, "left")
     squeezed = with_arrow(source, _squeeze(extra), f"{ddl}, _rid long, _own long, _z binary")
-    joined = squeezed.join(places, key, "left").select("doc_id", *extra, *key, "_z", "_places")
+    joined = squeezed.join(places, key, "left").select("doc_id", *extra, *key, "_z", "_any", "_places")
     folder = new_folder(spark, "repeats")
-    with_arrow(joined, _pack(as_text, original, extra), f"{ddl}, _rid long, _own long, _places array<int>, _z binary, _done string, _n long").write.option("compression", "zstd").parquet(folder)
+    with_arrow(joined, _pack(as_text, original, extra), f"{ddl}, _rid long, _own long, _any boolean, _places array<int>, _z binary, _done string, _n long").write.option("compression", "zstd").parquet(folder)
     texts = spark.read.parquet(folder)
 
-    def suffixes(heavy: int) -> DataFrame:
-        chosen = F.transform(F.filter("_places", lambda p: p.bitwiseAND(F.lit(1)) == heavy), lambda p: F.shiftright(p, 1))
-        some = texts.where(F.exists("_places", lambda p: p.bitwiseAND(F.lit(1)) == heavy))
-        return with_arrow(some.select(*key, "_z", chosen.alias("_places")), _suffixes(window), _SUFFIX)
-
-    leaves, runs = suffixes(0), None
-    if not twice.where("heavy").isEmpty():
-        deep, level = suffixes(1), _STEP
-        while 1 << level < _offsets(window):
-            longer = cut(with_arrow(deep, _longer(window, level), _SUFFIX))
-            sizes = counted(longer)
-            leaves = leaves.union(longer.join(sizes.where("not heavy"), "key", "left_semi"))
-            deep = longer.join(sizes.where("heavy"), "key", "left_semi")
-            level += _STEP
-            if sizes.where("heavy").isEmpty():
-                break
-        else:
-            whole = cut(with_arrow(deep, _whole(window), "key long, prefix long, _rid long, _own long, start int"))
-            again = whole.groupBy("key", "prefix").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-            runs = whole.join(again, ["key", "prefix"]).select(*key, "start", F.lit(1).alias("count"))
-    trees = leaves.repartition(F.col("key")).sortWithinPartitions("key").mapInArrow(_subtrees(window), _RUN)
-    runs = trees if runs is None else trees.union(runs)
+    def with_words(heavy: int) -> DataFrame:
+        listed = F.transform(F.filter("_places", lambda p: p.bitwiseAND(F.lit(1)) == heavy), lambda p: F.shiftright(p, 1))
+        some = texts.where(F.exists("_places", lambda p: p.bitwiseAND(F.lit(1)) == heavy)).dropDuplicates(key)
+        return with_arrow(some.select(*key, "_z", listed.alias("_places")), _suffixes(window), _SUFFIX)
+
+    trees, level, last = with_words(0), 0, (_offsets(window) - 1).bit_length()
+    deep = None if sizes.where("heavy").isEmpty() else with_words(1)
+    while deep is not None:
+        level = min(level + _STEP, last)
+        longer = cut(with_arrow(deep, _longer(window, level), _SUFFIX))
+        groups, deep = grouped(longer), None
+        runs = runs.union(repeated(longer, groups))
+        if level < last:
+            sizes = sized(groups)
+            single = longer.join(groups.select("one.*"), place, "left_semi")
+            trees = trees.union(single.join(sizes.where("not heavy"), "key", "left_semi"))
+            if not sizes.where("heavy").isEmpty():
+                deep = single.join(sizes.where("heavy"), "key", "left_semi")
+    trees = trees.repartition(F.col("key")).sortWithinPartitions("key").mapInArrow(_subtrees(window), _RUN)
+    runs = runs.union(trees)
     found = runs.groupBy(*key).agg(F.collect_set(F.struct("start", "count")).alias("_runs"))
-    left = texts.drop("_places").join(found, key, "left")
+    left = texts.drop("_places", "_any").join(found, key, "left")
     return carried.restored(with_arrow(left, _rest(window, as_text, original, extra), f"{ddl}, n_words long, n_removed long, kept string"))

@@ -105,6 +105,23 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return out
 
 
+def run_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each run of 64-bit values; starts and ends are ascending, and runs may overlap."""
+    out = np.empty(len(starts), U64)
+    i = 0
+    with np.errstate(over="ignore"):
+        while i < len(starts):
+            j = max(i + 1, int(np.searchsorted(ends, starts[i] + BLOCK_BYTES, "right")))
+            low, high = int(starts[i]), int(ends[j - 1])
+            up, down = _grown(high - low + 1)
+            sums = np.zeros(high - low + 1, U64)
+            np.cumsum(mix(values[low:high] + U64(1)) * up[: high - low], out=sums[1:])
+            s, e = starts[i:j] - low, ends[i:j] - low
+            out[i:j] = mix((sums[e] - sums[s]) * down[s] + (e - s).astype(U64))
+            i = j
+    return out
+
+
 def ngram_hashes(words: np.ndarray, n: int, salt: int = 0) -> np.ndarray:
     """Hash of the n words from each position; the last n - 1 positions have none."""
     count = len(words) - n + 1
@@ -115,8 +132,3 @@ def ngram_hashes(words: np.ndarray, n: int, salt: int = 0) -> np.ndarray:
         for j in range(n):
             sums = sums * _NGRAM_BASE + words[j : j + count]
         return mix(sums)
-
-
-def doc_sums(doc: np.ndarray, n_docs: int) -> np.ndarray:
-    """How many of the sorted document indexes fall on each document."""
-    return np.bincount(doc, minlength=n_docs).astype(np.int64)
