@@ -312,6 +312,70 @@ def test_classifier_learns_and_is_calibrated(spark):
     assert all(0 <= r.score <= 1 for r in classifier.classify(odd(spark), empty).collect())
 
 
+TEXTS = ["the cat sat on the mat", "", None, "ein Straße ein", "x", "AB ab 12 -- !! straße\n12", "the the the the"]
+
+
+def _laid_out(texts):
+    raw = [(t or "").encode() for t in texts]
+    return np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in raw])])
+
+
+def test_context_sums_and_pooling_equal_brute_force(spark):
+    dims, signs = classifier.index_vectors()
+    slots = []
+    for t in TEXTS:
+        data, offsets = _laid_out([t])
+        slots.append(classifier.tokens(data, offsets)[0].tolist())
+        assert len(slots[-1]) == len(re.findall(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+|[0-9]+|[!-/:-@\[-`{-\x7f]+", t or ""))
+    expected = np.zeros((classifier.SLOTS, classifier.DIMENSIONS), np.int64)
+    for words in slots:
+        for i, own in enumerate(words):
+            for j in range(max(0, i - classifier.REACH), min(len(words), i + classifier.REACH + 1)):
+                if j != i:
+                    for k in range(classifier.NONZERO):
+                        expected[own, dims[words[j], k]] += signs[words[j], k]
+    docs = frame(spark, [(i, t, "en", "s", 1) for i, t in enumerate(TEXTS)])
+    assert (classifier.context_table(docs) == expected).all()
+
+    vectors = classifier.word_vectors(expected)
+    data, offsets = _laid_out(TEXTS)
+    found = classifier.pooled(data, offsets, vectors)
+    width = vectors.shape[1]
+    for row, words in zip(found, slots):
+        v = vectors[words]
+        mean = v.mean(0) if words else np.zeros(width)
+        spread = v.std(0, ddof=1) if len(words) > 1 else np.zeros(width)
+        near = np.mean([v[i, : classifier.DIMENSIONS] @ v[i + 1, : classifier.DIMENSIONS] for i in range(len(words) - 1)]) if len(words) > 1 else 0
+        assert np.allclose(row, np.concatenate([mean, spread, [near, np.log1p(len(words)) / 10]]), atol=2e-3)
+
+
+def test_features_equal_brute_force():
+    def slot(values, n, salt, slots):
+        return (wordhash.ngram_hashes(np.array(values, np.uint64), n, salt) % np.uint64(slots)).tolist()
+
+    data, offsets = _laid_out(TEXTS)
+    found = rules.features(data, offsets)
+    for row, t in zip(found, TEXTS):
+        words = [int(wordhash.span_hashes(np.frombuffer(w, np.uint8), np.array([0]), np.array([len(w)]))[0]) for w in (t or "").encode().split()]
+        blocks = [[w % rules.SLOTS[0] for w in words], slot(words, 2, 0, rules.SLOTS[1]), slot([ord(c) for c in t or ""], 3, 5, rules.SLOTS[2])]
+        expected = []
+        for listed, n in zip(blocks, rules.SLOTS):
+            counts = np.sqrt(np.bincount(np.array(listed, np.int64), minlength=n))
+            expected.append(counts / max(np.linalg.norm(counts), 1e-6))
+        assert np.allclose(row, np.concatenate(expected), atol=1e-5)
+
+
+def test_regression_follows_its_features():
+    rng = np.random.default_rng(2)
+    X = np.zeros((400, sum(rules.SLOTS)), np.float32)
+    y = (rng.random(400) < 0.5).astype(np.float32)
+    X[np.arange(400), np.where(y > 0, 5, 9)] = 1
+    X[np.arange(400), rng.integers(100, 200, 400)] = 0.5
+    model = rules.train(X, y)
+    p = 1 / (1 + np.exp(-(model["slope"] * (X @ model["w"] + model["b"]) + model["offset"])))
+    assert ((p > 0.5) == (y > 0)).all() and model["w"][5] > 0 > model["w"][9]
+
+
 def test_word_hashes_follow_words():
     texts = pa.array(["ab c", "", None, "c ab", "abc"])
     ((first, end, data, offsets),) = wordhash.text_slices(texts)
