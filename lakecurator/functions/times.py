@@ -43,8 +43,9 @@ def dated_album(seconds: Column, is_video: Column, albums: dict[str, str], zone:
 
 def plausible(year: Column, month: Column, day: Column, today: datetime.date) -> Column:
     """Whether text fields form a real date from FIRST_YEAR to tomorrow."""
-    date = F.try_to_date(F.concat_ws("-", year, month, day), "yyyy-MM-dd")
-    return F.coalesce((F.year(date) >= FIRST_YEAR) & (date <= F.lit(today + datetime.timedelta(days=1))), F.lit(False))
+    text = F.concat_ws("-", year, month, day)
+    date = F.when(text.rlike(r"^\d{4}-\d\d-\d\d$"), text.try_cast("date"))
+    return F.coalesce(date.between(F.lit(datetime.date(FIRST_YEAR, 1, 1)), F.lit(today + datetime.timedelta(days=1))), F.lit(False))
 
 
 def _filename_date(label: str, groups: int, parts: Column, today: datetime.date) -> Column:
@@ -52,8 +53,8 @@ def _filename_date(label: str, groups: int, parts: Column, today: datetime.date)
     g = lambda i: F.get(parts, F.lit(i - 1))
     value = date = F.concat_ws("-", g(1), g(2), g(3))
     if groups > 4:
-        hour = g(4).try_cast("int")
-        good = (hour < 24) & (g(5).try_cast("int") < 60) & (g(6).try_cast("int") < 60)
+        hour, minute, second = (F.nullif(g(i), F.lit("")).cast("int") for i in (4, 5, 6))  # digits or nothing; try_cast is slow where it fails
+        good = (hour < 24) & (minute < 60) & (second < 60)
         if groups == 8:
             hour = F.when(g(7) == "PM", hour % 12 + 12).when(g(7) == "AM", hour % 12).otherwise(hour)
         value = F.when(good, F.concat(date, F.lit("T"), F.lpad(hour.cast("string"), 2, "0"), F.lit(":"), g(5), F.lit(":"), g(6))).otherwise(date)

@@ -364,7 +364,8 @@ def dates_in_file_names(spark, sf_dir):
         .when(k == 2, F.concat(F.lit("IMG-"), d("yyyyMMdd"), F.lit("-WA0007.jpg")))
         .otherwise(F.concat(F.lit("scan "), d("yyyy-MM-dd"), F.lit(".pdf")))
     )
-    return table(spark, sf_dir, "orders").select("o_orderkey", times.from_filename(name, TODAY).alias("f")).select("o_orderkey", "f.value", "f.pattern")
+    named = table(spark, sf_dir, "orders").select("o_orderkey", name.alias("name"))
+    return named.select("o_orderkey", times.from_filename(F.col("name"), TODAY).alias("f")).select("o_orderkey", "f.value", "f.pattern")
 
 
 @query("""
@@ -376,7 +377,8 @@ def dates_in_album_names(spark, sf_dir):
     k = F.col("o_orderkey") % 3
     d = lambda form: F.date_format("o_orderdate", form)
     name = F.when(k == 0, F.concat(d("yyyy-MM-dd"), F.lit(" - Trip "), (F.col("o_orderkey") % 5).cast("string"))).when(k == 1, F.concat(d("MMMM yyyy"), F.lit(" (Beach)"))).otherwise(F.concat(F.lit("Snow taken on "), d("d MMM yyyy")))
-    parsed = table(spark, sf_dir, "orders").select("o_orderkey", naming.parse(F.when(k == 1, F.concat(F.lit("Beach "), d("MMMM, yyyy"))).otherwise(name), TODAY).alias("p"))
+    named = table(spark, sf_dir, "orders").select("o_orderkey", F.when(k == 1, F.concat(F.lit("Beach "), d("MMMM, yyyy"))).otherwise(name).alias("name"))
+    parsed = named.select("o_orderkey", naming.parse(F.col("name"), TODAY).alias("p"))
     return parsed.select("o_orderkey", "p.year", "p.month", "p.day", "p.precision", "p.subject", "p.confidence")
 
 
