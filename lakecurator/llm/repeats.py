@@ -330,13 +330,18 @@ def remove_repeats(docs: DataFrame, window: int = 35, as_text: bool = True, orig
 
     same, place = ["key", "path", "lo", "hi"], ["_rid", "_own", "pos", "lo"]
 
-    def grouped(leaves: DataFrame) -> DataFrame:
-        return cut(leaves.groupBy(*same).agg(F.min(F.struct(*place)).alias("one"), F.count("*").alias("n")))
+    def grouped(leaves: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Different leaves: how many are equal, and one of them; and every leaf with that number, as `n`, and that one."""
+        groups = cut(leaves.groupBy(*same).agg(F.min(F.struct(*place)).alias("one"), F.count("*").alias("n")))
+        return groups, cut(leaves.join(groups, same))
 
-    def repeated(leaves: DataFrame, groups: DataFrame) -> DataFrame:
+    def repeated(known: DataFrame) -> DataFrame:
         """The windows of leaves that have equals, as runs."""
-        equal = leaves.join(groups.where("n > 1").select(*same), same, "left_semi")
-        return equal.select(*key, (F.col("pos") - F.col("hi")).alias("start"), (F.col("hi") - F.col("lo") + 1).alias("count"))
+        return known.where("n > 1").select(*key, (F.col("pos") - F.col("hi")).alias("start"), (F.col("hi") - F.col("lo") + 1).alias("count"))
+
+    def single(known: DataFrame) -> DataFrame:
+        """One of each set of equal leaves."""
+        return known.where(F.struct(*place) == F.col("one")).drop("one", "n").dropDuplicates(place)
 
     def sized(groups: DataFrame) -> DataFrame:
         """Prefixes with several leaves, and whether those are too many."""
@@ -345,9 +350,9 @@ def remove_repeats(docs: DataFrame, window: int = 35, as_text: bool = True, orig
     suffixes = cut(with_arrow(source.select("text", *key), _anchors(window), _LEAF))
     twice = cut(suffixes.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"))
     leaves = cut(suffixes.join(twice, "key"))
-    groups = grouped(leaves)
-    runs, sizes = repeated(leaves, groups), sized(groups)
-    chosen = groups.join(sizes, "key").select("one.*", "heavy")
+    groups, known = grouped(leaves)
+    runs, sizes = repeated(known), sized(groups)
+    chosen = single(known).join(sizes, "key")
     places = chosen.groupBy(*key).agg(F.collect_set(F.col("pos") * 2 + F.col("heavy").cast("int")).alias("_places"))
     places = leaves.select(*key).distinct().withColumn("_any", F.lit(True)).join(places, key, "left")
     squeezed = with_arrow(source, _squeeze(extra), f"{ddl}, _rid long, _own long, _z binary")
@@ -366,14 +371,13 @@ def remove_repeats(docs: DataFrame, window: int = 35, as_text: bool = True, orig
     while deep is not None:
         level = min(level + _STEP, last)
         longer = cut(with_arrow(deep, _longer(window, level), _SUFFIX))
-        groups, deep = grouped(longer), None
-        runs = runs.union(repeated(longer, groups))
+        (groups, known), deep = grouped(longer), None
+        runs = runs.union(repeated(known))
         if level < last:
             sizes = sized(groups)
-            single = longer.join(groups.select("one.*"), place, "left_semi")
-            trees = trees.union(single.join(sizes.where("not heavy"), "key", "left_semi"))
+            trees = trees.union(single(known).join(sizes.where("not heavy"), "key", "left_semi").select(*trees.columns))
             if not sizes.where("heavy").isEmpty():
-                deep = single.join(sizes.where("heavy"), "key", "left_semi")
+                deep = single(known).join(sizes.where("heavy"), "key", "left_semi").select(*trees.columns)
     trees = trees.repartition(F.col("key")).sortWithinPartitions("key").mapInArrow(_subtrees(window), _RUN)
     runs = runs.union(trees)
     found = runs.groupBy(*key).agg(F.collect_set(F.struct("start", "count")).alias("_runs"))
