@@ -21,7 +21,12 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose calibrated quality score reaches the threshold."""
+    """Documents whose calibrated quality score reaches the threshold.
+
+    Every row is judged by its whole text, whatever its id; null and empty
+    texts are scored as texts without words. Columns besides those of
+    documents are left out, as in all stages; an empty table stays empty.
+    """
     model = classifier.fit(docs, table(spark, sf_dir, "labels"))
     return classifier.classify(docs.select(*COLUMNS), model).where("predicted = 1").select(*COLUMNS)
 
@@ -31,7 +36,9 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Rows are told apart by a hash of doc_id and text. Rows equal in both stay
     once, and a null doc_id comes after all others in its group. Both are
-    elected by aggregates, so a large group of copies is never gathered.
+    elected by aggregates, so a large group of copies is never gathered. Null
+    and empty texts are alike no other, so each row of them stays that isn't
+    equal to another; very long texts are compared whole.
     """
     row = F.struct(*[c for c in COLUMNS if c not in ("doc_id", "text")], "doc_id", "text")
     unique = cut(docs.select(*COLUMNS).groupBy(F.xxhash64("doc_id", "text").alias("_key")).agg(F.min(row).alias("_row")).select("_key", "_row.*"))
@@ -43,19 +50,22 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the words of windows that occur twice; texts that lose nothing stay as they are."""
+    """Documents without the words of windows that occur twice; texts that lose nothing stay as they are.
+
+    No row goes: a text that loses every word, or is null, becomes empty.
+    """
     found = remove_repeats(docs, window=35, keep=["lang", "source", "n_chars"], original=True)
     return found.select("doc_id", F.col("kept").alias("text"), "lang", "source", F.when(F.col("n_removed") > 0, F.length("kept").cast("long")).otherwise(F.col("n_chars")).alias("n_chars"))
 
 
 def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that don't hold a twentieth or more of benchmark windows, each row judged by itself."""
+    """Documents that don't hold a twentieth or more of benchmark windows, each row judged by itself, whatever its id."""
     found = decontaminate(docs, table(spark, sf_dir, "benchmark"), key="_key").where("contaminated").select("_key")
     return docs.select(*COLUMNS).withColumn("_key", row_key()).join(found, "_key", "left_anti").select(*COLUMNS)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Length buckets and token-budget batches of what is left."""
+    """Length buckets and token-budget batches of what is left; null and empty texts have length 0."""
     return pack(token_counts(docs, tokenizer_file("byte_bpe_50k.tiktoken"), whole=True))
 
 
