@@ -8,9 +8,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import classifier, codes, rules
+from . import classifier, codes, rules, secrets
 from .common import table
 from .decontaminate import decontaminate
+from .hard_negatives import hard_negatives
 from .near_duplicates import near_duplicates
 from .packing import pack
 from .repeats import remove_repeats
@@ -83,6 +84,19 @@ def op11_segment_mean_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("vec_id", F.lower(F.hex("code")).alias("code"), "error", "label_error", F.lit(codes.codebooks_digest(books)).alias("codebooks_sha256"))
 
 
+def op12_linked_credentials(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.secret_spans(table(spark, sf_dir, "documents"))
+    of = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+    base = F.filter("spans", lambda s: s["kind"].isin(*secrets.STRONG))
+    counts = [of(kind).alias(f"n_{kind}") for kind in secrets.STRONG]
+    return found.select("doc_id", *counts, F.sha2(secrets.listed(base), 256).alias("base_sha256"), secrets.listed(F.col("spans")).alias("spans"))
+
+
+def op13_annulus_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(table(spark, sf_dir, "embeddings").withColumn("label", moved))
+
+
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -149,6 +163,36 @@ o AS (SELECT vec_id, label, string_agg(printf('%02x', best % 64), '' ORDER BY pa
 SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, h AS codebooks_sha256 FROM o, h
 """
 
+def _op12_sql() -> str:
+    """Only for tables with one row for each doc_id."""
+    patterns = dict(zip(secrets.KINDS, (secrets.ASSIGN, secrets.ACCESS, secrets.HEX, secrets.IDENTIFIER, secrets.SECRET, secrets.ENDPOINT)))
+    quoted = lambda p: "'" + p.replace("'", "''") + "'"
+    each = "\nUNION ALL ".join(f"SELECT doc_id, {i} AS kind, regexp_extract_all(t, {quoted(p)}) AS m, regexp_split_to_array(t, {quoted(p)}) AS g FROM d" for i, p in enumerate(patterns.values()))
+    good = f"CASE kind WHEN 0 THEN length(regexp_extract(m, {quoted(secrets.ASSIGN)}, 1)) >= 6 WHEN 4 THEN regexp_matches(m, '[a-z]') AND regexp_matches(m, '[A-Z]') AND regexp_matches(m, '[0-9]') ELSE true END"
+    near = lambda kinds: f"EXISTS (FROM k WHERE k.doc_id = c.doc_id AND k.kind IN ({kinds}) AND abs(k.start - c.start) <= 400)"
+    name = f"CASE kind {' '.join(f'WHEN {i} THEN {quoted(k)}' for i, k in enumerate(secrets.KINDS))} END || ':' || start || ':' || stop"
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+e AS ({each}),
+u AS (SELECT doc_id, kind, unnest(m) AS m, unnest(g[: len(m)]) AS g, unnest(range(len(m))) AS no FROM e WHERE len(m) > 0),
+p AS (SELECT doc_id, kind, m, sum(length(g) + length(m)) OVER (PARTITION BY doc_id, kind ORDER BY no) AS stop FROM u),
+s AS (SELECT doc_id, kind, CAST(stop - length(m) AS BIGINT) AS start, CAST(stop AS BIGINT) AS stop FROM p WHERE {good}),
+k AS (SELECT * FROM s c WHERE kind < 3 OR NOT EXISTS (FROM s b WHERE b.doc_id = c.doc_id AND b.kind < 3 AND b.start < c.stop AND c.start < b.stop)),
+a AS (SELECT * FROM k c WHERE kind < 3 OR (kind = 3 AND {near("0, 2, 4")}) OR (kind = 4 AND {near("1, 3")}) OR (kind = 5 AND {near("0, 2, 4")} AND {near("1, 3")})),
+r AS (SELECT doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex, string_agg({name}, ',' ORDER BY start, kind) FILTER (kind < 3) AS base, string_agg({name}, ',' ORDER BY start, kind) AS spans FROM a GROUP BY 1)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN r USING (doc_id)
+"""
+
+OP13_SQL = f"""
+WITH w AS ({_WHOLE}),
+k AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, CAST(v AS DOUBLE[]) AS v FROM w WHERE label IS NOT NULL),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS other, a.label = b.label AS same, CAST(list_dot_product(a.v, b.v) AS BIGINT) AS score FROM k a JOIN k b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT anchor_id, other AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other) AS INTEGER) AS rank, other AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+QUALIFY row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other) <= 10
+"""
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f) and name[2].isdigit()}
@@ -156,4 +200,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     """Of the operators that SQL can express; the others are tested against brute force, round trips and held-out rows."""
-    return {"op2_warc_round_trip": OP2_SQL, "op3_winnowing_decontamination": OP3_SQL, "op5_hyperminhash_near_duplicates": OP5_SQL, "op9_suffix_tree_repeats": OP9_SQL, "op11_segment_mean_codes": _op11_sql()}
+    return {"op2_warc_round_trip": OP2_SQL, "op3_winnowing_decontamination": OP3_SQL, "op5_hyperminhash_near_duplicates": OP5_SQL, "op9_suffix_tree_repeats": OP9_SQL, "op11_segment_mean_codes": _op11_sql(), "op12_linked_credentials": _op12_sql(), "op13_annulus_hard_negatives": OP13_SQL}
