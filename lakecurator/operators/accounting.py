@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.names import file_type
+from .scans import Scan
 
 #: Outcomes in a reader's order; every file has exactly one.
 OUTCOMES = [
@@ -111,8 +112,7 @@ def page_sample(items: DataFrame, key: str, order: list[Column], pages: int, siz
     """A page of `size` items from each of `pages` equal slices of every key's items, chosen by a seeded hash."""
     from pyspark.sql import Window
 
-    along = Window.partitionBy(key).orderBy(*order)
-    placed = items.withColumn("_page", F.floor((F.row_number().over(along) - 1) / size))
+    placed = Scan(items, [key], order).running("_page", F.lit(1)).done().withColumn("_page", F.floor((F.col("_page") - 1) / size))
     listed = placed.select(key, "_page").distinct().withColumn("_slice", F.ntile(pages).over(Window.partitionBy(key).orderBy("_page")))
     chosen = listed.groupBy(key, "_slice").agg(F.min_by("_page", F.struct(F.xxhash64(F.lit(seed), key, "_page"), "_page")).alias("_page"))
     return placed.join(chosen, [key, "_page"]).drop("_page", "_slice")

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .scans import Scan
+
 #: Plan states whose work has begun.
 STARTED = ("done", "in_progress", "unknown")
 
@@ -25,25 +27,22 @@ def linked_runs(changes: DataFrame, keys: list[str]) -> DataFrame:
     From the newest on, an older change is linked while its new value is the
     old value of the change after it.
     """
-    back = Window.partitionBy(*keys).orderBy(F.desc("change_id"))
-    later = F.lag("old_value").over(back)
-    broken = F.when(F.row_number().over(back) == 1, 0).otherwise((~F.col("new_value").eqNullSafe(later)).cast("int"))
-    marked = changes.withColumn("_broken", broken)
-    marked = marked.withColumn("linked", F.sum("_broken").over(back.rowsBetween(Window.unboundedPreceding, Window.currentRow)) == 0).drop("_broken")
+    along = Scan(changes, keys, [F.desc("change_id")]).lagged(_later=F.col("old_value"))
+    broken = F.when(F.col("at_first"), 0).otherwise((~F.col("new_value").eqNullSafe(F.col("_later"))).cast("int"))
+    marked = along.running("_broken", broken).done()
+    marked = marked.withColumn("linked", F.col("_broken") == 0).drop("_broken", "_later", "at_first")
     start = marked.where("linked").groupBy(*keys).agg(F.min_by("old_value", "change_id").alias("before"))
     return marked.join(start, keys)
 
 
 def batches(rows: DataFrame, within: list[str], order: list[Column], same: list[str], size: int) -> DataFrame:
     """rows with island and batch: consecutive rows with equal `same` columns, at most `size` to a batch."""
-    along = Window.partitionBy(*within).orderBy(*order)
-    changed = F.lit(False)
-    for column in same:
-        changed = changed | ~F.col(column).eqNullSafe(F.lag(column).over(along))
-    islands = rows.withColumn("_new", F.when(F.row_number().over(along) == 1, 1).otherwise(changed.cast("int")))
-    islands = islands.withColumn("island", F.sum("_new").over(along.rowsBetween(Window.unboundedPreceding, Window.currentRow)).cast("long")).drop("_new")
-    place = F.row_number().over(Window.partitionBy(*within, "island").orderBy(*order)) - 1
-    return islands.withColumn("batch", F.floor(place / size).cast("long"))
+    along = Scan(rows, within, order).lagged(**{f"_same{i}": F.col(c) for i, c in enumerate(same)})
+    changed = F.col("at_first")
+    for i, column in enumerate(same):
+        changed = changed | ~F.col(column).eqNullSafe(F.col(f"_same{i}"))
+    along = along.running("island", changed.cast("int")).running("_place", F.lit(1), ["island"])
+    return along.done().withColumn("batch", F.floor((F.col("_place") - 1) / size).cast("long")).drop("at_first", "_place", *[f"_same{i}" for i in range(len(same))])
 
 
 def merge_plan(stored: DataFrame, fresh: DataFrame) -> DataFrame:

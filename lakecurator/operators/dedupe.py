@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.names import match_key
-from ..functions.shapes import rotation_distance, video_gap
 from ..plans.staging import staged
-from .matching import first_per_key, greedy_one_to_one
+from .classes import match_pictures, match_videos, unknown_items
+from .matching import first_per_key
 
 DECISIONS = ("exact", "same", "new", "review", "source_duplicate")
 MODES = ("off", "exact", "content")
@@ -80,24 +80,22 @@ def decide(sources: DataFrame, dests: DataFrame, source_hashes: DataFrame | None
     if mode == "exact":
         return twins.unionByName(exact).unionByName(_rows(rest, F.lit("new"), F.lit("md5")))
 
-    named = dests.select("item_id", F.col("album_id").alias("d_album"), F.coalesce("is_video", F.lit(False)).alias("video"), match_key(F.col("name")).alias("key"), F.col("duration_s").alias("d_duration"), F.col("width").alias("d_width"), F.col("height").alias("d_height"))
+    first = dests.groupBy("item_id").agg(F.min(F.struct("album_id", "name", "is_video", "duration_s", "width", "height")).alias("d")).select("item_id", "d.*")
+    named = first.select("item_id", F.col("album_id").alias("d_album"), F.coalesce("is_video", F.lit(False)).alias("video"), match_key(F.col("name")).alias("key"), "duration_s", "width", "height")
     keyed = rest.select("ref", (F.col("kind") != "photo").alias("video"), match_key(F.col("name")).alias("key"), "duration_s", "width", "height")
-    met = keyed.join(named, ["video", "key"])
-    photos = _photos(keyed.where("not video"), met.where("not video").select("ref", "item_id", "d_album"), source_hashes, dest_hashes, same_max, different_min)
-    videos = _videos(keyed.where("video"), met.where("video"), tolerance)
+    photos = _photos(keyed.where("not video"), named.where("not video"), source_hashes, dest_hashes, same_max, different_min)
+    videos = _videos(keyed.where("video"), named.where("video"), tolerance)
     return twins.unionByName(exact).unionByName(photos).unionByName(videos)
 
 
-def _photos(photos: DataFrame, met: DataFrame, source_hashes: DataFrame, dest_hashes: DataFrame, same_max: int, different_min: int) -> DataFrame:
-    scored = staged(met.join(source_hashes, "ref", "left").join(dest_hashes, "item_id", "left").select("ref", "item_id", "d_album", rotation_distance(F.col("hashes"), F.col("hash")).alias("dist")))
-    taken = staged(greedy_one_to_one(scored.where(F.col("dist") <= same_max), "ref", "item_id", ["dist"]))
-    same = _rows(taken, F.lit("same"), F.lit("content"), "item_id", "d_album", F.col("dist"))
+def _photos(photos: DataFrame, named: DataFrame, source_hashes: DataFrame, dest_hashes: DataFrame, same_max: int, different_min: int) -> DataFrame:
+    albums = named.select(F.col("item_id").alias("item"), F.col("d_album").alias("album"))
+    settled = staged(match_pictures(photos.select("key", "ref").join(source_hashes, "ref", "left"), named.select("key", "item_id").join(dest_hashes, "item_id", "left"), same_max))
+    taken = settled.where("item_id is not null").select("ref", F.col("item_id").alias("item"), "dist").join(albums, "item")
+    same = _rows(taken, F.lit("same"), F.lit("content"), "item", "album", F.col("dist"))
 
-    seen = scored.groupBy("ref").agg(F.bool_or(F.col("dist").isNull()).alias("unreadable"), F.count("dist").alias("scores"))
-    free = scored.where("dist is not null").join(taken.select("item_id"), "item_id", "left_anti")
-    nearest = free.groupBy("ref").agg(F.min(F.struct("dist", "item_id", "d_album")).alias("near"))
-    left = photos.select("ref").join(taken.select("ref"), "ref", "left_anti").join(seen, "ref", "left").join(nearest, "ref", "left")
-    left = left.select("ref", F.coalesce("unreadable", F.lit(False)).alias("unreadable"), F.coalesce("scores", F.lit(0)).alias("scores"), F.col("near.dist").alias("dist"), F.col("near.item_id").alias("item"), F.col("near.d_album").alias("album"))
+    left = photos.select("ref").join(settled, "ref", "left").where("item_id is null").select("ref", F.coalesce("unreadable", F.lit(False)).alias("unreadable"), F.coalesce("scored", F.lit(False)).cast("int").alias("scores"), F.col("near_dist").alias("dist"), F.col("near_item").alias("item"))
+    left = left.join(albums, "item", "left")
     far = F.col("dist").isNull() | (F.col("dist") >= different_min)
     unread = F.col("unreadable") & (F.col("dist").isNull() | (F.col("dist") > same_max))
     decision = F.when(unread, "review").when(far, "new").otherwise("review")
@@ -115,14 +113,14 @@ def _photos(photos: DataFrame, met: DataFrame, source_hashes: DataFrame, dest_ha
     return same.unionByName(_rows(decided, F.col("decision"), F.col("method"), "item", "album", F.col("dist"), F.col("detail")))
 
 
-def _videos(videos: DataFrame, met: DataFrame, tolerance: float) -> DataFrame:
-    side = lambda *names: dict(zip(("duration", "width", "height"), map(F.col, names)))
-    scored = staged(met.withColumn("shape", video_gap(side("duration_s", "width", "height"), side("d_duration", "d_width", "d_height"), tolerance)).select("ref", "item_id", "d_album", "shape.gap", "shape.known"))
-    taken = staged(greedy_one_to_one(scored.where("gap is not null"), "ref", "item_id", ["gap"]))
-    same = _rows(taken, F.lit("same"), F.lit("video_shape"), "item_id", "d_album", detail=F.format_string(SECONDS, F.col("gap")))
-    seen = scored.groupBy("ref").agg(F.min(F.when(~F.col("known"), F.struct("d_album", "item_id"))).alias("unknown"), F.count("*").alias("named"))
-    left = videos.select("ref").join(taken.select("ref"), "ref", "left_anti").join(seen, "ref", "left")
-    left = left.select("ref", F.col("unknown.item_id").alias("item"), F.col("unknown.d_album").alias("album"), F.col("named").isNotNull().alias("named"))
+def _videos(videos: DataFrame, named: DataFrame, tolerance: float) -> DataFrame:
+    albums = named.select(F.col("item_id").alias("item"), F.col("d_album").alias("album"))
+    settled = staged(match_videos(videos, named, tolerance))
+    taken = settled.where("item_id is not null").select("ref", F.col("item_id").alias("item"), "gap").join(albums, "item")
+    same = _rows(taken, F.lit("same"), F.lit("video_shape"), "item", "album", detail=F.format_string(SECONDS, F.col("gap")))
+    left = videos.select("ref", "key", "duration_s").join(settled, "ref", "left").where("item_id is null").join(unknown_items(named), "key", "left")
+    unsure = F.when(F.coalesce("duration_s", F.lit(0)) <= 0, F.col("any")).otherwise(F.col("blank"))  # what can't be compared with it
+    left = left.select("ref", unsure["item_id"].alias("item"), unsure["d_album"].alias("album"), F.col("any").isNotNull().alias("named"))
     review = F.col("item").isNotNull()
     detail = F.when(review, NO_DURATION).when(F.col("named"), OTHER_SHAPE)
     return same.unionByName(_rows(left, F.when(review, "review").otherwise("new"), F.when(F.col("named"), "video_shape").otherwise("none"), "item", "album", detail=detail))

@@ -95,20 +95,6 @@ def within_window(left: DataFrame, right: DataFrame, left_time: str, right_time:
     return met.where(F.abs(F.col(left_time) - F.col(right_time)) <= window).drop("_cell")
 
 
-def pair_clips(clips: DataFrame, stills: DataFrame, window: int = 60, tolerance: float = 0.02, keys: list[str] | None = None) -> DataFrame:
-    """clip_id, still_id, gap and candidates: each clip with the still taken nearest to it in time and of its shape.
-
-    clips: clip_id, clip_ts, clip_ratio, clip_order; stills: still_id,
-    still_ts, still_ratio, still_order; and the keys. Equal gaps go by clip
-    order, then still order. candidates counts a clip's stills before any is taken.
-    """
-    met = within_window(clips, stills, "clip_ts", "still_ts", window, keys).where(F.abs(F.col("still_ratio") - F.col("clip_ratio")) / F.col("still_ratio") <= tolerance)
-    pairs = staged(met.withColumn("gap", F.abs(F.col("still_ts") - F.col("clip_ts"))).select("clip_id", "still_id", "gap", "clip_order", "still_order"))
-    found = greedy_one_to_one(pairs, "clip_id", "still_id", ["gap", "clip_order", "still_order"])
-    counted = pairs.groupBy("clip_id").agg(F.count_distinct("still_id").alias("candidates"))
-    return found.join(counted, "clip_id").select("clip_id", "still_id", "gap", "candidates")
-
-
 def first_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """The first row of each key by a total order."""
     return df.withColumn("_place", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_place = 1").drop("_place")

@@ -8,24 +8,17 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.names import fill, glob, part_name
+from ..functions.names import extension, fill, glob, part_name, stem
 from ..plans.staging import staged
+from .scans import Scan
 
 
 def ranked(df: DataFrame, group: str, order: list[Column], rank: str) -> DataFrame:
     """df with rank, the place from 0 of each row in its group by a total order.
 
-    Rows are cut into ranges of group and order, so that a large group fills
-    many of them; ranges are counted, counts before a range are summed for each
-    group, and only the rows of one range are numbered together.
+    A large group is cut into ranges, of which each fills a task: see Scan.
     """
-    ranged = staged(df.repartitionByRange(F.col(group).asc(), *order).withColumn("_range", F.spark_partition_id()))
-    sizes = ranged.groupBy(F.col(group).alias("_group"), F.col("_range").alias("_at")).agg(F.count("*").alias("_n"))
-    before = Window.partitionBy("_group").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
-    bases = sizes.select("_group", "_at", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
-    numbered = ranged.withColumn("_in", F.row_number().over(Window.partitionBy(group, "_range").orderBy(*order)) - 1)
-    found = numbered.join(bases, F.col(group).eqNullSafe(F.col("_group")) & (F.col("_range") == F.col("_at")))
-    return found.withColumn(rank, F.col("_base") + F.col("_in")).drop("_range", "_group", "_at", "_base", "_in")
+    return Scan(df, [group], order).running(rank, F.lit(1)).done().withColumn(rank, F.col(rank) - 1)
 
 
 def parts(items: DataFrame, base: str, order: list[Column], cap: int, existing: DataFrame | None = None) -> DataFrame:
@@ -115,19 +108,75 @@ def group_of(rules: list[dict], unassigned: str | None, columns: dict[str, Colum
     return F.lit(unassigned) if out is None else out.otherwise(F.lit(unassigned))
 
 
+def _families(converts: dict[str, str]) -> dict[str, str]:
+    """Extensions that names of one another can come to bear, under one of them."""
+    out: dict[str, str] = {}
+    for source, target in converts.items():
+        source, target = source.lower(), target.lower()
+        old, new = out.get(source, source), out.get(target, target)
+        out |= {k: new for k, v in out.items() if v == old} | {source: new, target: new, old: new}
+    return out
+
+
+def _parsed(df: DataFrame, families: dict[str, str]) -> DataFrame:
+    """df with _lower, _stem, _ext, _root and _kind of its names; names that can meet are equal in the last two."""
+    low = df.withColumn("_lower", F.lower("name")).withColumn("_stem", F.lower(stem(F.col("name")))).withColumn("_ext", F.lower(extension(F.col("name"))))
+    kind = F.col("_ext")
+    if families:
+        kind = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in families.items() for x in pair]), F.col("_ext")), kind)
+    return low.withColumn("_root", F.regexp_replace("_stem", r"( \(\d+\))+$", "")).withColumn("_kind", kind)
+
+
+def _by_gaps(lone: DataFrame, taken: DataFrame, converts: dict[str, str], names: list[str]) -> DataFrame:
+    """Claims of names that meet none but taken ones: the r-th file takes the r-th counter that is free.
+
+    Of counters in use, sorted, the j-th has k - j free ones before it; so as
+    many counters are passed over by the r-th file as have k - j <= r, which is
+    a running count once files and counters stand in one order. Counter 0 is
+    the plain name.
+    """
+    key = ["target", "_lower"]
+    files = Scan(lone, key, [F.asc("place"), F.asc("name")]).running("_at", F.lit(1)).done().select(*key, (F.col("_at") - 1).alias("_at"), F.lit(1).alias("_file"), F.struct(*names).alias("_row"))
+    sources = F.create_map(*[F.lit(x) for k, v in converts.items() for x in (k.lower(), v.lower())]) if converts else None
+    ends = F.array("_ext")
+    if sources is not None:  # a taken name may be what one with another extension lands as
+        ends = F.array_distinct(F.concat(ends, F.map_keys(F.map_filter(sources, lambda k, v: v == F.col("_ext")))))
+    counter = F.regexp_extract("_stem", r"(?s)^.* \(([1-9]\d{0,17})\)$", 1)
+    plain = F.struct(F.col("_stem").alias("base"), F.lit(0).cast("long").alias("k"))
+    counted = F.when(counter != "", F.struct(F.substring(F.col("_stem"), F.lit(1), F.length("_stem") - F.length(counter) - 3).alias("base"), counter.try_cast("long").alias("k")))
+    used = taken.select("target", F.explode(ends).alias("_end"), F.array_compact(F.array(plain, counted)).alias("_names")).select("target", "_end", F.inline("_names"))
+    used = used.select("target", F.concat("base", "_end").alias("_lower"), "k").distinct()
+    used = Scan(used, key, [F.asc("k")]).running("_j", F.lit(1)).done()
+    kind = files.schema["_row"].dataType.simpleString()
+    used = used.select(*key, (F.col("k") - F.col("_j") + 1).alias("_at"), F.lit(0).alias("_file"), F.lit(None).cast(kind).alias("_row"))
+    met = Scan(used.unionByName(files), key, [F.asc("_at"), F.asc("_file")]).running("_passed", 1 - F.col("_file")).done().where("_file = 1")
+    found = met.select("_row.*", (F.col("_at") + F.col("_passed")).cast("string").alias("_k"))
+    numbered = F.concat(stem(F.col("name")), F.lit(" ("), F.col("_k"), F.lit(")"), extension(F.col("name")))
+    return found.select(*names, F.when(F.col("_k") == "0", F.col("name")).otherwise(numbered).alias("final"))
+
+
 def claim_names(items: DataFrame, taken: DataFrame, converts: dict[str, str] | None = None) -> DataFrame:
     """items (target, place, name, ...) with final: the name, or `stem (k).ext` with the least free k.
 
     A name is free if neither it nor the name it lands with is taken in the
     album, in any letter case; both are then taken. taken: target, name. Names
-    are claimed in the order of place. Claims depend on each other only among
-    names with one stem apart from its counters, so those are the groups that
-    meet, not whole albums.
+    are claimed in the order of place. Most names meet only taken ones: those
+    count the gaps between counters in use, however many files bear a name.
+    Names that differ but may come to be equal, as `a.HEIC` that lands as `a.JPG`
+    beside `a.jpg`, or `a (1).jpg` beside `a.jpg`, hang on each other, and go
+    through the rule in order, in a task for all with one stem and kind.
     """
-    converts = converts or {}
-    root = lambda c: F.regexp_replace(F.lower(F.regexp_replace(F.col(c), r"(?s)^(\.*[^./].*)\.[^./]*$", "$1")), r"( \(\d+\))+$", "")
+    converts, names = converts or {}, items.columns
+    families, family = _families(converts), ["target", "_root", "_kind"]
+    new, old = staged(_parsed(items, families)), staged(_parsed(taken.select("target", "name"), families))
+    mixed = staged(new.groupBy(*[F.col(c).alias(f"{c}_of") for c in family]).agg(F.min("_lower").alias("_a"), F.max("_lower").alias("_b")).where("_a <> _b").drop("_a", "_b"))
+    same = F.lit(True)
+    for c in family:
+        same = same & F.col(c).eqNullSafe(F.col(f"{c}_of"))
+    gaps = _by_gaps(new.join(mixed, same, "left_anti"), old, converts, names)
+    if mixed.isEmpty():
+        return gaps
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in items.schema.fields)
-    names = items.columns
 
     def claim(key: tuple, new: pd.DataFrame, old: pd.DataFrame) -> pd.DataFrame:
         used, following, out = {x.lower() for x in old["name"]}, {}, []
@@ -149,5 +198,5 @@ def claim_names(items: DataFrame, taken: DataFrame, converts: dict[str, str] | N
             out.append(final)
         return new[names].astype(object).assign(final=pd.Series(out, index=new.index, dtype=object))
 
-    grouped = items.withColumn("_root", root("name")).groupBy("target", "_root")
-    return grouped.cogroup(taken.select("target", "name").withColumn("_root", root("name")).groupBy("target", "_root")).applyInPandas(claim, f"{kinds}, final string")
+    met = new.join(mixed, same, "left_semi").groupBy(*family).cogroup(old.join(mixed, same, "left_semi").groupBy(*family))
+    return gaps.unionByName(met.applyInPandas(claim, f"{kinds}, final string"))

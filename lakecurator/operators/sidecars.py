@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.names import extension, stem
 from ..plans.staging import staged
+from .elimination import assign_names
 from .matching import first_per_key
 
 _SUFFIX = "supplemental-metadata"
@@ -34,9 +35,10 @@ def items(members: DataFrame) -> DataFrame:
 
     members as sources.archives gives them. Columns: archive, path, folder,
     basename, ext, md5, size, taken_ts, title, url, orphan, motion (struct of
-    archive, path). A sidecar meets the medium that it names in its folder, in
-    any case; else the only medium left whose name begins with its prefix. Ties
-    go by (archive, path), which takes the place of the order of a scan.
+    archive, path). In the order of (archive, path), which takes the place of
+    that of a scan, each sidecar takes the medium that it names in its folder,
+    in any case, or if there is none of that name, the only medium left whose
+    name begins with its prefix: see assign_names().
     """
     media = members.where("ext <> '.json'").select("archive", "path", "folder", F.lower("basename").alias("lower_name"))
     media = first_per_key(media, ["folder", "lower_name"], [F.desc("archive"), F.desc("path")])
@@ -46,18 +48,11 @@ def items(members: DataFrame) -> DataFrame:
     sides = sides.where(has).withColumn("means", media_name(F.col("basename"), F.col("title"))).where("means is not null")
     sides = staged(sides.select("folder", F.struct("archive", "path").alias("sidecar"), "title", "taken", F.get_json_object("json", "$.url").alias("url"), F.lower("means.expected").alias("lower_name"), F.lower("means.prefix").alias("prefix")))
 
-    named = first_per_key(sides.join(media, ["folder", "lower_name"]), ["archive", "path"], [F.asc("sidecar")])
-    named = staged(named.select("archive", "path", "sidecar", "title", "taken", "url"))
-    left_sides = sides.join(named.select("sidecar"), "sidecar", "left_anti").where("prefix <> ''")
-    left_media = media.join(named.select("archive", "path"), ["archive", "path"], "left_anti")
-    # a prefix join as an equi join: names are cut at the lengths that prefixes of their folder have
-    lengths = left_sides.select("folder", F.length("prefix").alias("n")).distinct()
-    cut = left_media.join(lengths, "folder").where(F.length("lower_name") >= F.col("n")).withColumn("prefix", F.substring("lower_name", F.lit(1), F.col("n")))
-    met = left_sides.drop("lower_name").join(cut, ["folder", "prefix"])
-    only = met.withColumn("_n", F.count("*").over(Window.partitionBy("sidecar"))).where("_n = 1")
-    guessed = first_per_key(only, ["archive", "path"], [F.asc("sidecar")]).select("archive", "path", "sidecar", "title", "taken", "url")
+    given = assign_names(media.select("folder", F.col("lower_name").alias("name")), sides.select("folder", F.col("sidecar").alias("asker"), F.col("lower_name").alias("name"), F.col("prefix").alias("beginning")))
+    found = given.join(media.withColumnRenamed("lower_name", "name"), ["folder", "name"]).join(sides.select(F.col("sidecar").alias("asker"), "title", "taken", "url"), "asker")
+    found = found.select("archive", "path", F.col("asker").alias("sidecar"), "title", "taken", "url")
 
-    known = members.where("ext <> '.json'").join(named.unionByName(guessed), ["archive", "path"], "left").withColumn("key", F.lower(stem(F.col("basename"))))
+    known = members.where("ext <> '.json'").join(found, ["archive", "path"], "left").withColumn("key", F.lower(stem(F.col("basename"))))
     known = staged(known)
     paired = known.where(F.col("sidecar").isNotNull() & F.col("ext").isin(*STILLS))
     still = first_per_key(paired.select("folder", "key", F.struct("archive", "path").alias("still")), ["folder", "key"], [F.desc("still")])
@@ -67,3 +62,9 @@ def items(members: DataFrame) -> DataFrame:
     out = out.join(joined.select(F.col("still.archive").alias("archive"), F.col("still.path").alias("path"), "motion"), ["archive", "path"], "left")
     taken = F.nullif(F.col("taken").try_cast("long"), F.lit(0))
     return out.select("archive", "path", "folder", "basename", "ext", "md5", "size", taken.alias("taken_ts"), "title", "url", F.col("sidecar").isNull().alias("orphan"), "motion")
+
+
+def source_items(found: DataFrame, include_orphans: bool = False) -> DataFrame:
+    """items() that an import takes, with kind (photo or video): those with a sidecar, and on demand media without one and lone clips."""
+    rows = found if include_orphans else found.where("not orphan")
+    return rows.withColumn("kind", F.when(F.col("ext").isin(*MOTION), "video").otherwise("photo"))

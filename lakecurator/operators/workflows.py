@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.names import landed_name
@@ -13,6 +13,7 @@ from ..functions.times import recent
 from .dedupe import content_candidates, decide, merge_decisions, missing_hashes
 from .placing import group_of
 from .policies import rename_collisions
+from .scans import Scan
 
 
 def organize_items(items: DataFrame, albums: DataFrame, chain: list[str], rules: list[dict], unassigned: str | None, zone: str, today: datetime.date, recent_days: int = 0, now: datetime.datetime | None = None, plugins: dict | None = None) -> DataFrame:
@@ -80,9 +81,8 @@ def over_cap(plan: DataFrame, counts: DataFrame, hard_cap: int) -> DataFrame:
 
 def failure_runs(log: DataFrame, order: list[Column], keys: list[str], least: int) -> DataFrame:
     """keys, first, n: runs of `least` or more failures (failed boolean) in a row, for each key; first is the step they began at."""
-    along = Window.partitionBy(*keys).orderBy(*order)
-    marked = log.withColumn("_step", F.row_number().over(along)).withColumn("_run", F.count_if(~F.col("failed")).over(along.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    runs = marked.where("failed").groupBy(*keys, "_run").agg(F.min("_step").alias("first"), F.count("*").alias("n"))
+    marked = Scan(log, keys, order).running("_step", F.lit(1)).running("_run", F.coalesce(~F.col("failed"), F.lit(False)).cast("int")).done()
+    runs = marked.where("failed").groupBy(*keys, "_run").agg(F.min("_step").cast("int").alias("first"), F.count("*").alias("n"))
     return runs.where(F.col("n") >= least).select(*keys, "first", "n")
 
 

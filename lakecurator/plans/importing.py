@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from ..functions.names import content_type, extension, landed_name, stem, still_output
 from ..functions.shapes import aspect
 from ..functions.times import dated_album, epoch
-from ..operators.matching import pair_clips
 from ..operators.placing import claim_names, parts
+from ..operators.timelines import pair_clips
 from .staging import staged
 
 #: A video without metadata this short, in seconds, is taken for a motion clip.

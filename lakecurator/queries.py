@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import names, naming, shapes, times
-from .operators import accounting, changes, dedupe, matching, placing, policies
+from .operators import accounting, changes, dedupe, matching, placing, policies, timelines
 from .registry import QUERIES, SQL, query, table  # noqa: F401  the registry is read from here too
 
 TODAY = datetime.date(2026, 10, 7)
@@ -108,7 +108,7 @@ g AS (SELECT CAST(0 AS BIGINT) AS rn, CAST([] AS BIGINT[]) AS uc, CAST([] AS BIG
 SELECT g.clip_id, g.still_id, g.gap, m.n AS candidates FROM g JOIN (SELECT clip_id, count(*) AS n FROM met GROUP BY 1) m USING (clip_id) WHERE ok
 """)
 def clip_pairs(spark, sf_dir):
-    return matching.pair_clips(_timeline(spark, sf_dir, "click", "clip"), _timeline(spark, sf_dir, "view", "still"), 3600, keys=["user_id"])
+    return timelines.pair_clips(_timeline(spark, sf_dir, "click", "clip"), _timeline(spark, sf_dir, "view", "still"), 3600, keys=["user_id"])
 
 
 @query("""

@@ -1,9 +1,11 @@
 import collections
 import datetime
+import itertools
+import os
 import random
 
 import pytest
-from lakecurator.operators import accounting, changes, dedupe, matching, placing, policies, sidecars
+from lakecurator.operators import accounting, changes, dedupe, elimination, matching, placing, policies, scans, sidecars, timelines, workflows
 from lakecurator.plans.importing import ImportSettings, plan_import
 from pyspark.sql import functions as F
 
@@ -50,20 +52,51 @@ def test_long_ties_and_chains_are_matched_whole(spark):
     assert found == {(5, i, i) for i in range(1_000)} | greedy([tuple(r) for r in chain.collect()])
 
 
-def test_clip_pairs_equal_a_sorted_pass(spark):
-    rng = random.Random(7)
-    clips = [(f"c{i}", rng.randrange(500), rng.choice([1.5, 1.78]), i) for i in range(40)]
-    stills = [(f"s{i}", rng.randrange(500), rng.choice([1.5, 1.78, 1.51]), i) for i in range(40)]
-    met = [(abs(s[1] - c[1]), c[3], s[3], c[0], s[0]) for c in clips for s in stills if abs(s[1] - c[1]) <= 60 and abs(s[2] - c[2]) / s[2] <= 0.02]
+CLIPS, STILLS = ("{0}_id string, {0}_ts long, {0}_ratio double, {0}_order int, u int".format(x) for x in ("clip", "still"))
+
+
+def pair_pass(clips, stills, window):
+    """clips and stills: (id, ts, ratio, order, key). All pairs, sorted, each side taken once."""
+    rank = lambda x: (x is not None, x)
+    met = [(abs(s[1] - c[1]), rank(c[3]), rank(s[3]), c[0], s[0]) for c in clips for s in stills if None not in (c[1], s[1], c[2], s[2], c[4]) and s[2] and c[4] == s[4] and abs(s[1] - c[1]) <= window and abs(s[2] - c[2]) / s[2] <= 0.02]
     count = collections.Counter(m[3] for m in met)
     used, expected = set(), {}
     for gap, _, _, c, s in sorted(met):
         if c not in expected and s not in used:
             used.add(s)
             expected[c] = (s, gap, count[c])
-    left = spark.createDataFrame(clips, "clip_id string, clip_ts long, clip_ratio double, clip_order int")
-    right = spark.createDataFrame(stills, "still_id string, still_ts long, still_ratio double, still_order int")
-    assert rows_of(matching.pair_clips(left, right, 60), "clip_id", "still_id", "gap", "candidates") == expected
+    return expected
+
+
+@pytest.mark.parametrize("seed,span,window,key_rows", [(7, 500, 60, None), (8, 40, 3, 0), (9, 30, 60, None), (10, 3000, 9, 0)])
+def test_clip_pairs_equal_a_sorted_pass(spark, monkeypatch, seed, span, window, key_rows):
+    if key_rows is not None:
+        monkeypatch.setattr(scans, "KEY_ROWS", key_rows)
+    rng = random.Random(seed)
+    shape = lambda: rng.choice([1.5, 1.78, 1.51, 1.52, 1.33, None, 0.0] if seed == 9 else [1.5, 1.78, 1.51])
+    side = lambda letter, n: [(f"{letter}{i}", rng.choice([rng.randrange(span), rng.randrange(span), None]), shape(), rng.choice([i, 5, None]), rng.choice([1, 1, 2, None])) for i in range(n)]
+    clips, stills = side("c", 150), side("s", 170)
+    left, right = spark.createDataFrame(clips, CLIPS).repartition(3), spark.createDataFrame(stills, STILLS).repartition(3)
+    assert rows_of(timelines.pair_clips(left, right, window, keys=["u"]), "clip_id", "still_id", "gap", "candidates") == pair_pass(clips, stills, window)
+    apart = [c[:4] + (1,) for c in clips], [s[:4] + (1,) for s in stills]
+    assert rows_of(timelines.pair_clips(left, right, window), "clip_id", "still_id", "gap", "candidates") == pair_pass(*apart, window)
+
+
+def test_a_burst_is_paired_in_memory_linear_in_rows(spark):
+    """10,000 clips and stills of one second would make 100 million pairs."""
+    n = 10_000
+    side = lambda name: spark.range(n).select(F.format_string("%05d", "id").alias(f"{name}_id"), F.lit(77).cast("long").alias(f"{name}_ts"), F.lit(1.5).alias(f"{name}_ratio"), (n - F.col("id")).cast("int").alias(f"{name}_order"))
+    found = timelines.pair_clips(side("clip"), side("still")).where("clip_id = still_id and gap = 0")
+    assert found.agg(F.count("*"), F.count_distinct("clip_id"), F.min("candidates")).first() == (n, n, n)
+
+
+def test_islands_split_at_wide_gaps(spark, monkeypatch):
+    times = [0, 5, 10, 16, 22, 22, 22, 30]
+    for key_rows in (0, 100):
+        monkeypatch.setattr(scans, "KEY_ROWS", key_rows)
+        df = spark.createDataFrame([(1, t, i) for i, t in enumerate(times)] + [(2, 3, 99)], "k int, t long, id int")
+        found = rows_of(timelines.islands(df, ["k"], "t", ["id"], 5), "id", "island")
+        assert [found[i][0] for i in range(8)] == [1, 1, 1, 2, 3, 3, 3, 4] and found[99] == (1,)
 
 
 def decide(spark, sources, dests, hashes=(), dest_hashes=(), **kwargs):
@@ -138,6 +171,47 @@ def test_names_are_claimed_in_order(spark):
     assert found == {"1": "x.jpg", "2": "X (1).JPG", "3": "x (3).heic", "4": "x (1) (1).jpg", "5": "x.jpg", "6": "y.jpg"}
 
 
+def claimed(items, taken, converts):
+    """items: (target, place, name). The rule as a loop over all names of an album."""
+    used, out = collections.defaultdict(set), {}
+    for target, name in taken:
+        used[target].add(name.lower())
+    for target, place, name in sorted(items, key=lambda r: r[1]):
+        base, ext = os.path.splitext(name)
+        landed = lambda n: (os.path.splitext(n)[0] + converts.get(os.path.splitext(n)[1].lower(), os.path.splitext(n)[1])).lower()
+        final, k = name, 0
+        while {final.lower(), landed(final)} & used[target]:
+            k += 1
+            final = f"{base} ({k}){ext}"
+        used[target] |= {final.lower(), landed(final)}
+        out[place] = final
+    return out
+
+
+@pytest.mark.parametrize("seed,key_rows", [(1, 0), (2, 10**6), (3, 0), (4, 10**6)])
+def test_claims_equal_a_loop(spark, monkeypatch, seed, key_rows):
+    monkeypatch.setattr(scans, "KEY_ROWS", key_rows)
+    rng = random.Random(seed)
+    converts = [{}, {".heic": ".JPG"}, {".heic": ".JPG", ".dng": ".HEIC", ".png": ".Webp"}, {".a": ".B", ".b": ".a"}][seed - 1]
+    base = lambda: rng.choice(["x", "X", "y", "IMG_1", "x (1)", "x (2)", "x (01)", "x (0)", " (1)", ".x", "x.y", "é"]) + rng.choice(["", "", ".jpg", ".HEIC", ".dng", ".png", ".a", ".b", "."])
+    sparse = seed % 2
+    items = [(rng.choice(["A", "B", None]), i, f"solo{rng.randrange(4)}.jpg" if sparse and rng.random() < 0.7 else base()) for i in range(160)]
+    taken = [(rng.choice(["A", "B", None]), rng.choice([base(), f"Solo{rng.randrange(4)} ({rng.choice([1, 2, 3, 7, 40])}).jpg", f"solo{rng.randrange(5)}.JPG"])) for _ in range(40)]
+    df = spark.createDataFrame([(*r, "k") for r in items], "target string, place int, name string, _kind string").withColumnRenamed("_kind", "extra").repartition(3)
+    found = placing.claim_names(df, spark.createDataFrame(taken, "target string, name string"), converts)
+    assert rows_of(found, "place", "final") == {place: (final,) for place, final in claimed(items, taken, converts).items()}
+
+
+def test_claims_of_one_name_fill_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(scans, "KEY_ROWS", 5_000)
+    n = 60_000
+    items = spark.range(n).select(F.lit("A").alias("target"), F.col("id").alias("place"), F.lit("P.jpg").alias("name"))
+    taken = spark.range(0, n, 3).select(F.lit("A").alias("target"), F.format_string("p (%d).JPG", "id").alias("name"))
+    free = (k for k in itertools.count() if k == 0 or k % 3 or k >= n)
+    expected = {i: (f"P ({k}).jpg" if k else "P.jpg",) for i, k in zip(range(n), free)}
+    assert rows_of(placing.claim_names(items, taken), "place", "final") == expected
+
+
 SETTINGS = {"photo": "{yyyy}-{mm} {group}", "video": "{yyyy} V", "undated_photo": "Undated", "undated_video": "Undated V", "duplicates_album": "Dups", "duplicates": "park", "soft_cap": 2, "mode": "move"}
 ITEM = "item_id string, filename string, is_video boolean, md5 string, uploaded string, capture_local string, method string, `group` string"
 
@@ -277,6 +351,121 @@ def test_sidecars(spark):
     }
 
 
+def one_pass(names, askers):
+    """names: folder -> set; askers: (asker, folder, name, beginning). The rule as a loop."""
+    free, out = {f: set(n) for f, n in names.items()}, set()
+    for asker, folder, name, beginning in sorted(askers):
+        if name in names.get(folder, ()):
+            chosen = [name] if name in free[folder] else []
+        else:
+            chosen = [n for n in free.get(folder, ()) if beginning and n.startswith(beginning)]
+        if len(chosen) == 1:
+            free[folder].remove(chosen[0])
+            out.add((folder, chosen[0], asker))
+    return out
+
+
+def assigned(spark, names, askers, **more):
+    left = spark.createDataFrame([(f, n) for f, ns in names.items() for n in ns], "folder string, name string")
+    right = spark.createDataFrame([(f, a, n, b) for a, f, n, b in askers], "folder string, asker int, name string, beginning string")
+    return {tuple(r) for r in elimination.assign_names(left, right, **more).select("folder", "name", "asker").collect()}
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_names_by_beginning_equal_one_pass(spark, seed):
+    rng = random.Random(seed)
+    names, askers = {}, []
+    for f in range(12):
+        made = {"".join(rng.choice("ab") for _ in range(rng.choice([2, 4, 6, 7]))) + rng.choice(["", ".é", "\U0001f600"]) for _ in range(rng.choice([3, 8, 25]))}
+        names[str(f)] = made
+        for _ in range(rng.choice([2, 10, 30])):
+            name = rng.choice([*made, "none"])
+            askers.append((str(f), rng.choice([name, name[:3] + "!", None]), rng.choice([name, name[: rng.choice([1, 2, 3, 4, 5])], "", None])))
+    rng.shuffle(askers)
+    askers = [(i, *a) for i, a in enumerate(askers)]
+    expected = one_pass(names, askers)
+    assert assigned(spark, names, askers) == expected
+    assert assigned(spark, names, askers, eliminations=0) == expected
+
+
+def test_names_left_by_chains_of_others(spark):
+    """The last name is left only when all others are gone, each by the one before; and one asker too many."""
+    names = {"f": [f"img_{i:04}" for i in range(600)]}
+    askers = [(i, "f", f"img_{i:04}", None) for i in range(598)] + [(598, "f", None, "img_05"), (599, "f", "img_0598", None), (600, "f", None, "img"), (601, "f", None, "img_0")]
+    found = assigned(spark, names, askers)
+    assert found == one_pass(names, askers) and len(found) == 600
+    assert assigned(spark, {"f": ["a", "ab", "abc"]}, [(1, "f", None, "a"), (2, "f", None, "abc"), (3, "f", None, "ab"), (4, "f", None, "a")]) == {("f", "abc", 2), ("f", "ab", 3), ("f", "a", 4)}
+    assert assigned(spark, {}, [(1, "f", "a", "a")]) == set() == assigned(spark, {"f": ["a"]}, [])
+
+
+def test_first_free_places():
+    rng = random.Random(2)
+    for n in (1, 2, 7, 64, 100):
+        places, free = elimination.FreePlaces(n), set(range(n))
+        for place in rng.sample(range(n), n):
+            places.take(place)
+            free.remove(place)
+            for at in range(n):
+                assert places.before(at) == sum(f < at for f in free)
+                if later := [f for f in free if f >= at]:
+                    assert places.first_from(at) == min(later)
+
+
+@pytest.mark.parametrize("key_rows", [0, None])
+def test_scans_equal_loops(spark, monkeypatch, key_rows):
+    """With ranges for every key and with windows alike: a key with most rows, a null key, a single row."""
+    monkeypatch.setattr(scans, "KEY_ROWS", 0 if key_rows == 0 else 10**6)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # which joins ranges of a few kilobytes
+    rng = random.Random(6)
+    rows = [(rng.choice(["hot", "hot", "hot", "b", None, f"k{rng.randrange(30)}"]), i, rng.choice("xxy"), rng.choice([True, False, False])) for i in range(1500)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "k string, i int, same string, failed boolean").repartition(5)
+    scan = scans.Scan(df, ["k"], [F.desc("i")])
+    if key_rows == 0:
+        assert scan.rows.where("k = 'hot'").select("_range").distinct().count() > 1
+    expected, place, last = {}, collections.Counter(), {}
+    islands, in_island, ends = collections.Counter(), collections.Counter(), {}
+    for k, i, same, failed in sorted(rows, key=lambda r: -r[1]):
+        place[k] += i
+        expected[i] = (place[k], last.get(k), k not in last)
+        last[k] = same
+    out = scan.running("total", F.col("i")).lagged(prior=F.col("same")).done()
+    assert rows_of(out, "i", "total", "prior", "at_first") == expected
+    cut = {}
+    for k, i, same, failed in sorted(rows, key=lambda r: r[1]):
+        islands[k] += ends.get(k) != same
+        ends[k] = same
+        cut[i] = (islands[k], in_island[k, islands[k]] // 2)
+        in_island[k, islands[k]] += 1
+    assert rows_of(changes.batches(df, ["k"], [F.asc("i")], ["same"], 2), "i", "island", "batch") == cut
+    runs, step, at = collections.Counter(), collections.Counter(), {}
+    for k, i, same, failed in sorted(rows, key=lambda r: r[1]):
+        step[k] += 1
+        at[k] = (at.get(k) or step[k]) if failed else None
+        if failed:
+            runs[k, at[k]] += 1
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    found = workflows.failure_runs(df, [F.asc("i")], ["k"], 2).collect()
+    assert {(r.k, r["first"]): r["n"] for r in found} == {x: n for x, n in runs.items() if n >= 2}
+    assert rows_of(placing.ranked(df, "k", [F.asc("i")], "r"), "i", "r") == {i: (sum(1 for r in rows if r[0] == k and r[1] < i),) for k, i, _, _ in rows}
+
+
+@pytest.mark.parametrize("key_rows", [0, 10**6])
+def test_linked_runs_of_a_long_history(spark, monkeypatch, key_rows):
+    monkeypatch.setattr(scans, "KEY_ROWS", key_rows)
+    rows = [("a", i, str(i), str(i + 1)) for i in range(400)] + [("b", i, str(i), str(i + 1 + (i == 150))) for i in range(300)]
+    df = spark.createDataFrame(rows, "k string, change_id int, old_value string, new_value string").repartition(4)
+    found = changes.linked_runs(df, ["k"]).collect()
+    assert {(r.k, r.change_id) for r in found if r.linked} == {("a", i) for i in range(400)} | {("b", i) for i in range(151, 300)}
+    assert {(r.k, r.before) for r in found} == {("a", "0"), ("b", "151")}
+
+
+def test_items_with_orphans(spark):
+    df = spark.createDataFrame([("a", ".jpg", False), ("b", ".mp4", True), ("c", ".mov", False)], "path string, ext string, orphan boolean")
+    assert rows_of(sidecars.source_items(df), "path", "kind") == {"a": ("photo",), "c": ("video",)}
+    assert rows_of(sidecars.source_items(df, True), "path", "kind") == {"a": ("photo",), "b": ("video",), "c": ("video",)}
+
+
 IMPORT_ITEM = "ref string, name string, kind string, taken_ts long, own_time string, width int, height int, duration_s double, orphan boolean, motion struct<ref: string, name: string, own_time: string, width: int, height: int, duration_s: double>"
 
 
