@@ -5,6 +5,7 @@ import math
 import numpy as np
 import pytest
 
+from lakecurator.llm import hard_negatives
 from lakecurator.llm.codes import block_sizes, block_summary, codebooks_digest, compress, nearest
 from lakecurator.llm.vectors import LIMIT
 
@@ -109,3 +110,71 @@ def test_bounds_spare_distances():
 def test_ties_go_to_the_lower_entry():
     code, least, _ = nearest(np.array([[0, 0], [5, 5]]), np.array([[1, 0], [-1, 0], [0, 1], [1, 0]]))
     assert code.tolist() == [0, 0] and least.tolist() == [1, 41]
+
+
+NEGATIVES = "anchor_id long, positive_id long, rank int, negative_id long, positive_score long, negative_score long"
+
+
+def slow_negatives(rows, width, every=100, positives=5, k=10, low=30, high=90):
+    kept = sorted({(i, label, tuple(v)) for i, label, v in whole(rows, width) if i is not None and label is not None})
+    out = []
+    for anchor, label, q in kept:
+        if anchor % every:
+            continue
+        scored = sorted((-sum(a * b for a, b in zip(q, v)), i, other) for i, other, v in kept if i != anchor)
+        for ps, pid, _ in [r for r in scored if r[2] == label][:positives]:
+            fits = [r for r in scored if r[2] != label and low * -ps <= 100 * -r[0] <= high * -ps][:k]
+            out += [(anchor, pid, n, i, -ps, -s) for n, (s, i, _) in enumerate(fits, 1)]
+    return sorted(out)
+
+
+@pytest.fixture
+def small_tree(monkeypatch):
+    """Sizes that make small tables go through several levels, buckets, blocks and waves."""
+    monkeypatch.setattr(hard_negatives, "BUCKET", 8)
+    monkeypatch.setattr(hard_negatives, "BLOCK", 7)
+    monkeypatch.setattr(hard_negatives, "WAVE", 2)
+
+
+@pytest.mark.parametrize("rows,width,every", [(vectors(300, 16), 16, 20), (vectors(120, 8) + odd_vectors(8), 8, 4), (odd_vectors(4), 4, 1)])
+def test_negatives_equal_brute_force(spark, small_tree, rows, width, every):
+    extra = [(*r, 1, 2.0, "x") for r in rows]
+    found = hard_negatives.hard_negatives(spark.createDataFrame(extra, SCHEMA + ", leaf int, score double, block string").repartition(3), every=every, piece=40, sample=100)
+    assert sorted(map(tuple, found.collect())) == slow_negatives(rows, width, every)
+
+
+def test_negatives_of_copies(spark, small_tree):
+    """One vector fills most of the table: ties go by vec_id, over many pieces of one leaf."""
+    rng = np.random.default_rng(8)
+    rows = [(i, [0.5] * 8 if i % 3 else rng.normal(0, 0.5, 8).tolist(), i % 3) for i in range(500)]
+    found = hard_negatives.hard_negatives(spark.createDataFrame(rows, SCHEMA), piece=30, sample=200)
+    assert sorted(map(tuple, found.collect())) == slow_negatives(rows, 8)
+
+
+def test_negatives_of_nothing(spark):
+    for rows in ([], [(100, None, 3), (200, [NAN], 1)], [(100, [1.0], None)], [(100, [1.0], 1)], [(100, [1.0], 1), (101, [1.0], 1)], [(100, [1.0], 1), (101, [-1.0], 1), (102, [0.5], 2)]):
+        assert hard_negatives.hard_negatives(spark.createDataFrame(rows, SCHEMA)).collect() == []
+
+
+def test_tree_bounds_hold():
+    """No row is nearer or farther than the bounds of its leaf and bucket say, and near queries pass over leaves."""
+    rng = np.random.default_rng(4)
+    x = (rng.normal(0, 20, (12, 6))[rng.integers(0, 12, 900)] + rng.normal(0, 2, (900, 6))).round().astype(np.int64)
+    space = hard_negatives.Space(6, int((x**2).sum(axis=1).max()))
+    tree = hard_negatives.UpperTree(space, x[:300], 4)
+    leaf, path = tree.leaves(x)
+    leaves = sorted(set(leaf.tolist()))
+    low, high = (np.array([f(path[leaf == i], axis=0) for i in leaves]) for f in (np.min, np.max))
+    near, most = hard_negatives._between(space.anchors(x, tree.points), [tree.above(i) for i in leaves], low, high)
+    far = space.anchors(x, x)
+    spared = 0
+    for n, i in enumerate(leaves):
+        inside = far[:, leaf == i]
+        assert (near[:, [n]] <= inside + space.room).all() and (most[:, [n]] >= inside - space.room).all()
+        spared += (near[:, n] > np.sort(far, axis=1)[:, 5]).sum()
+    assert spared > 0.3 * len(x) * len(leaves)
+
+
+def test_products_are_exact_beyond_doubles():
+    a = np.array([[LIMIT - 1] * 64, [3] * 64], np.int64)
+    assert hard_negatives.products(a, a)[0, 0] == 64 * (LIMIT - 1) ** 2
