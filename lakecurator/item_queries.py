@@ -216,6 +216,32 @@ def media_with_sidecars(spark, sf_dir):
     return sidecars.items(members).select("path", "taken_ts", "title", "orphan", F.col("motion.path").alias("motion"))
 
 
+@query("""
+WITH RECURSIVE b AS (SELECT page_id, 'f' || page_id % 9 AS folder, 'img_' || substr(md5(html), 1, 2) || '_' || page_id || '.jpg' AS name FROM pages),
+a AS (SELECT folder, list(name) AS names FROM b GROUP BY 1),
+s AS (SELECT page_id, folder, CASE page_id % 4 WHEN 0 THEN name WHEN 1 THEN name[:6] WHEN 2 THEN name[:5] ELSE split_part(name, '.', 1) END AS p, row_number() OVER (PARTITION BY folder ORDER BY page_id * 37 % 1009, page_id) AS rk FROM b),
+r AS (SELECT folder, CAST(0 AS BIGINT) AS rk, CAST([] AS VARCHAR[]) AS used, CAST(NULL AS VARCHAR) AS got, CAST(NULL AS BIGINT) AS page_id FROM a
+  UNION ALL
+  SELECT s.folder, s.rk, CASE WHEN g IS NULL THEN used ELSE list_append(used, g) END, g, s.page_id
+  FROM r JOIN s ON s.folder = r.folder AND s.rk = r.rk + 1 JOIN a ON a.folder = r.folder,
+  LATERAL (SELECT list_filter(names, lambda x: starts_with(x, p) AND NOT list_contains(used, x)) AS c),
+  LATERAL (SELECT CASE WHEN list_contains(names, p) THEN CASE WHEN NOT list_contains(used, p) THEN p END WHEN len(c) = 1 THEN c[1] END AS g))
+SELECT b.folder || '/' || name AS path, 1600000000 + r.page_id AS taken_ts, r.page_id IS NULL AS orphan FROM b LEFT JOIN r ON r.folder = b.folder AND r.got = b.name
+""")
+def truncated_sidecars(spark, sf_dir):
+    """Sidecars whose names were cut short: what they mean hangs on the ones before."""
+    k = F.col("page_id")
+    base = table(spark, sf_dir, "pages").select(k, F.concat(F.lit("f"), (k % 9).cast("string")).alias("folder"), F.concat(F.lit("img_"), F.substring(F.md5("html"), 1, 2), F.lit("_"), k.cast("string"), F.lit(".jpg")).alias("name"))
+    name = F.col("name")
+    short = F.when(k % 4 == 0, name).when(k % 4 == 1, F.substring(name, 1, 6)).when(k % 4 == 2, F.substring(name, 1, 5)).otherwise(names.stem(name))
+    side = F.to_json(F.struct(name.alias("title"), F.struct((F.lit(1600000000) + k).cast("string").alias("timestamp")).alias("photoTakenTime")))
+    member = lambda archive, name, ext, json: F.struct(archive.alias("archive"), name.alias("basename"), F.lit(ext).alias("ext"), json.alias("json"))
+    order = F.format_string("%04d-%09d", k * 37 % 1009, k)
+    rows = base.select("folder", F.inline(F.array(member(F.lit("a"), name, ".jpg", _text(None)), member(order, F.concat(short, F.lit(".supplemental-metadata.json")), ".json", side))))
+    members = rows.select("archive", F.concat_ws("/", "folder", "basename").alias("path"), "folder", "basename", "ext", "json", _text("").alias("md5"), F.lit(1).cast("long").alias("size"))
+    return sidecars.items(members).select("path", "taken_ts", "orphan")
+
+
 @query("SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'a.JPG' WHEN 1 THEN 'a.webp' ELSE 'a.png' END AS name, page_id % 3 = 0 AS convert, CASE WHEN page_id % 3 = 1 THEN '.webp' END AS skipped FROM pages")
 def still_outputs(spark, sf_dir):
     name = F.when(F.col("page_id") % 3 == 0, "a.HEIC").when(F.col("page_id") % 3 == 1, "a.webp").otherwise("a.png")
