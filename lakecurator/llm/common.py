@@ -8,9 +8,11 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.scans import Scan
+
 #: Rows of an Arrow batch. Texts differ by orders of magnitude, so batches stay short to bound a task's memory.
 BATCH_ROWS = 512
 
@@ -123,16 +125,10 @@ def components(edges: DataFrame) -> DataFrame:
     return labels.select("node", "component")
 
 
-def ranks(df: DataFrame, group: str, order: list[str], slots: int = 4096) -> DataFrame:
-    """Add rank, gapless from 0 within each group, without bringing a group into one task.
+def ranks(df: DataFrame, group: str, order: list[str]) -> DataFrame:
+    """Add rank, gapless from 0 within each group in the order of columns that tell rows apart, without bringing a group into one task.
 
-    Rows of a group are dealt into hashed slots; slot sizes are summed into
-    bases; only rows of one slot are numbered together. The order within a
-    group is by slot, then by the order columns.
+    Rows are cut into ranges of group and order; counts of the ranges before
+    are summed for each group, and only the rows of one range are numbered together.
     """
-    dealt = df.withColumn("_slot", F.pmod(F.xxhash64(*[F.col(c) for c in order]), F.lit(slots)))
-    sizes = dealt.groupBy(group, "_slot").agg(F.count("*").alias("_size"))
-    before = Window.partitionBy(group).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
-    bases = cut(sizes.withColumn("_base", F.coalesce(F.sum("_size").over(before), F.lit(0))).drop("_size"))
-    numbered = dealt.withColumn("_in", F.row_number().over(Window.partitionBy(group, "_slot").orderBy(*order)) - 1)
-    return numbered.join(bases, [group, "_slot"]).withColumn("rank", (F.col("_base") + F.col("_in")).cast("long")).drop("_slot", "_in", "_base")
+    return Scan(df, [group], [F.asc(c) for c in order], key_rows=0).running("rank", F.lit(1)).done().withColumn("rank", F.col("rank") - 1)

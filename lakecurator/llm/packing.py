@@ -63,12 +63,12 @@ def pack(counted: DataFrame, buckets: int = 16, budget: int = 16_384) -> DataFra
     """
     spark = counted.sparkSession
     prepare(spark)
-    rows = counted.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("n_tokens").cast("long"), F.lit(0).cast("long")).alias("n_tokens"))
+    rows = counted.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("n_tokens").cast("long"), F.lit(0).cast("long")).alias("n_tokens"), F.monotonically_increasing_id().alias("row"))
     rows = cut(rows)  # lengths are dear and small: counted once, then read for the histogram, the ranks and the result
     histogram = sorted((r.n_tokens, r["n"]) for r in rows.groupBy("n_tokens").agg(F.count("*").alias("n")).collect())  # a row for each length that occurs
     bounds = boundaries([x for x, _ in histogram], [n for _, n in histogram], buckets) or [0]
     lengths = F.array(*[F.lit(x).cast("long") for x in bounds])
     placed = rows.withColumn("bucket", F.size(F.filter(lengths, lambda x: x < F.col("n_tokens")))).withColumn("bucket_len", F.get(lengths, F.col("bucket")))
-    ranked = ranks(placed, "bucket", ["doc_id", "n_tokens"])
+    ranked = ranks(placed, "bucket", ["doc_id", "n_tokens", "row"])  # rows that repeat are told apart, so that many of them fill several ranges
     capacity = F.greatest(F.lit(1), F.floor(F.lit(budget) / F.greatest(F.lit(1), F.col("bucket_len")))).cast("long")
     return ranked.select("doc_id", "n_tokens", F.col("bucket").cast("int").alias("bucket"), "bucket_len", F.floor(F.col("rank") / capacity).cast("long").alias("batch"), F.pmod(F.col("rank"), capacity).cast("int").alias("place"), (F.col("bucket_len") - F.col("n_tokens")).alias("padding"))

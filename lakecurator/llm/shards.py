@@ -17,12 +17,10 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, prepare
+from .common import cut, prepare, ranks
 from .storage import new_folder, opened, write_json
 
 SLOTS = 4096
-#: A group of equal texts with more than this part of all bytes is spread over slots by doc_id. At most so many groups are.
-HOT_PART = 1024
 
 
 @dataclass(frozen=True)
@@ -101,19 +99,20 @@ def newest(folder: str) -> SlotMap | None:
     return SlotMap(value["version"], value["shards"], tuple(value["assignment"]))
 
 
-def with_slots(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
-    """doc_id, size, text_crc32 and virtual_slot of each row.
+def with_slots(docs: DataFrame, shards: int, slots: int = SLOTS) -> DataFrame:
+    """doc_id, size, text_crc32, virtual_slot and row (a number that tells rows apart) of each row.
 
-    The slot is hashed from the text; in a group of equal texts that holds over
-    1 / HOT_PART of all bytes, from the text and doc_id.
+    The slot is hashed from the text. A group of equal texts that weighs more
+    than a shard's share can't be kept together under equal sizes, so its slot
+    is hashed from the text and doc_id; fewer than `shards` groups are so large.
     """
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    sized = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.xxhash64(text).alias("group")))
+    sized = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.xxhash64(text).alias("group"), F.monotonically_increasing_id().alias("row")))
     total = sized.agg(F.sum("size")).first()[0] or 0
-    hot = sized.groupBy("group").agg(F.sum("size").alias("bytes")).where(F.col("bytes") > total / HOT_PART).select("group", F.lit(True).alias("hot"))  # HOT_PART rows at most
+    hot = sized.groupBy("group").agg(F.sum("size").alias("bytes")).where(F.col("bytes") * shards > total).select("group", F.lit(True).alias("hot"))
     known = sized.join(F.broadcast(hot), "group", "left")
     drawn = F.when(F.col("hot"), F.xxhash64("group", "doc_id")).otherwise(F.xxhash64("group"))
-    return known.select("doc_id", "size", "text_crc32", F.pmod(drawn, F.lit(slots)).cast("int").alias("virtual_slot"))
+    return known.select("doc_id", "size", "text_crc32", F.pmod(drawn, F.lit(slots)).cast("int").alias("virtual_slot"), "row")
 
 
 def shard_rows(docs: DataFrame, shards: int = 16, current: SlotMap | None = None, folder: str | None = None) -> DataFrame:
@@ -122,16 +121,17 @@ def shard_rows(docs: DataFrame, shards: int = 16, current: SlotMap | None = None
     The law is `bytes`: the shards' sizes are near equal, to about one virtual
     slot. size is the text's UTF-8 bytes plus 1, null counting as empty. slot
     is the row's place in its shard, gapless from 0, by virtual slot and then
-    doc_id. Equal texts share a shard, but for groups with over 1 / HOT_PART of
-    all bytes, which no law of equal sizes could keep together. Rows equal in
-    doc_id and text share a slot. Null and repeated doc_ids are rows like any
+    doc_id. Equal texts share a shard, but for groups heavier than a shard's
+    share of all bytes, which no law of equal sizes could keep together. A slot
+    that many rows share, as the null and empty texts do, is numbered in ranges,
+    and rows that repeat wholly fill several of them. Null and repeated doc_ids are rows like any
     other, very long texts too, other columns are ignored, and an empty table
     gives an empty result. A folder that holds maps continues from its newest
     one, or from `current`; maps of this run are stored in it.
     """
     spark = docs.sparkSession
     prepare(spark)
-    rows = with_slots(docs)
+    rows = cut(with_slots(docs, shards))
     if current is None and folder:
         current = newest(folder)
     totals = rows.groupBy("virtual_slot").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()  # a row for each slot at most
@@ -147,10 +147,5 @@ def shard_rows(docs: DataFrame, shards: int = 16, current: SlotMap | None = None
         table.append((slot, shard, base[shard]))
         base[shard] += n
     placed = spark.createDataFrame(table, "virtual_slot int, shard int, base long")
-    return _numbered(rows).join(F.broadcast(placed), "virtual_slot").select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("base") + F.col("place")).alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", F.lit(slots.version).alias("map_version"))
-
-
-def _numbered(rows: DataFrame) -> DataFrame:
-    from pyspark.sql import Window
-
-    return rows.withColumn("place", (F.row_number().over(Window.partitionBy("virtual_slot").orderBy("doc_id", "text_crc32")) - 1).cast("long"))
+    numbered = ranks(rows, "virtual_slot", ["doc_id", "text_crc32", "row"])
+    return numbered.join(F.broadcast(placed), "virtual_slot").select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("base") + F.col("rank")).alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", F.lit(slots.version).alias("map_version"))

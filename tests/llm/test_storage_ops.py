@@ -8,7 +8,7 @@ import zlib
 
 import numpy as np
 
-from lakecurator.llm.shards import HOT_PART, SLOTS, SlotMap, newest, shard_rows
+from lakecurator.llm.shards import SLOTS, SlotMap, newest, shard_rows
 from lakecurator.llm.storage import NO_KEY, key_ranges
 from lakecurator.llm.warc import read_archives, write_archives
 from pyspark.sql import functions as F
@@ -105,7 +105,7 @@ def test_shards(spark):
         assert sorted(part.slot) == list(range(len(part)))
     loads = found.groupby("shard")["size"].sum()
     assert found.shard.nunique() == 4 and loads.max() <= max(found.groupby("virtual_slot")["size"].sum().max(), 1.05 * loads.mean())
-    together = found[found.text_crc32.map(found.groupby("text_crc32")["size"].sum()) <= found["size"].sum() / HOT_PART]
+    together = found[found.text_crc32.map(found.groupby("text_crc32")["size"].sum()) <= found["size"].sum() / 4]
     assert (together.groupby("text_crc32").shard.nunique() == 1).all()
     assert shard_rows(frame(spark, [])).count() == 0
     strange = shard_rows(odd(spark), shards=2).collect()
@@ -127,6 +127,29 @@ def test_shards_are_near_equal_and_a_hot_group_is_spread(spark, tmp_path):
     assert newest(folder).version == 3 and {now[i] for i in was if now[i] != was[i]} == {16}
 
 
+def test_equal_texts_stay_together_up_to_a_share(spark):
+    """A group of a twentieth of all bytes is in one shard; a third of the rows is null, and one row is repeated often."""
+    rows = [(i, f"text {i} " * 20, "en", "s", 1) for i in range(4000)] + [(10_000 + i, "the same " * 20, "en", "s", 1) for i in range(220)]
+    rows += [(20_000 + i if i % 3 else None, None, None, None, None) for i in range(2000)] + [(7, "again", "en", "s", 1)] * 500
+    found = shard_rows(frame(spark, rows), shards=16).toPandas()
+    loads = found.groupby("shard")["size"].sum()
+    assert (found.groupby("text_crc32").shard.nunique() == 1).all() and loads.max() - loads.min() < 0.01 * loads.mean()
+    for _, part in found.groupby("shard"):
+        assert sorted(part.slot) == list(range(len(part)))
+
+
+def test_rows_of_one_slot_fill_many_tasks(spark):
+    from lakecurator.llm.common import cut
+    from lakecurator.operators.scans import Scan
+
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    same = cut(spark.range(4000).select(F.lit(1).alias("slot"), F.lit(None).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row")))
+    scan = Scan(same, ["slot"], [F.asc("doc_id"), F.asc("row")], key_rows=0)
+    sizes = [r["count"] for r in scan.rows.groupBy("_range").count().collect()]
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(sizes) > 2 and max(sizes) < 2000
+
+
 def test_rebalancing_narrows_the_shards_and_moves_little():
     sizes = {i: 1000 + (i * 7919) % 900 for i in range(SLOTS)}
     one = SlotMap.first(16)
