@@ -34,14 +34,16 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The row with the smallest doc_id of each group of near duplicates (five-word shingles, 0.8 or more).
 
-    Rows are told apart by a hash of doc_id and text. Rows equal in both stay
+    Rows are told apart by 128 bits of doc_id and text. Rows equal in both stay
     once, and a null doc_id comes after all others in its group. Both are
-    elected by aggregates, so a large group of copies is never gathered. Null
+    elected by aggregates, so a large group of copies is never gathered. Near
+    duplicates are found among numbered rows, so no two share a key. Null
     and empty texts are alike no other, so each row of them stays that isn't
     equal to another; very long texts are compared whole.
     """
     row = F.struct(*[c for c in COLUMNS if c not in ("doc_id", "text")], "doc_id", "text")
-    unique = cut(docs.select(*COLUMNS).groupBy(F.xxhash64("doc_id", "text").alias("_key")).agg(F.min(row).alias("_row")).select("_key", "_row.*"))
+    unique = docs.select(*COLUMNS).groupBy("doc_id", F.col("text").isNull(), row_key()).agg(F.min(row).alias("_row"))
+    unique = cut(unique.select(F.monotonically_increasing_id().alias("_key"), "_row.*"))
     found = near_duplicates(unique.select(F.col("_key").alias("doc_id"), "text"), n=5, part=80, whole=100)
     placed = found.select(F.col("doc_id").alias("_key"), "component_id").join(unique.select("_key", "doc_id"), "_key")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("_none"), "doc_id", "_key"))["_key"]
