@@ -212,7 +212,9 @@ def classify(docs: DataFrame, model: dict, threshold: float = THRESHOLD) -> Data
 
     Only the whole text is an input. Null and empty texts are scored as texts
     without words. Columns of docs named score or predicted are replaced.
-    Repeated rows score alike; an empty table gives an empty result.
+    Repeated rows score alike, a null doc_id is a column like others, and very
+    long texts are pooled whole. A score equal to the threshold predicts 1. An
+    empty table gives an empty result.
     """
     spark = docs.sparkSession
     prepare(spark)

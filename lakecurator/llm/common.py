@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.scans import Scan
+from ..plans.staging import run_folder
 
 #: Rows of an Arrow batch. Texts differ by orders of magnitude, so batches stay short to bound a task's memory.
 BATCH_ROWS = 512
@@ -48,9 +49,10 @@ def cut(df: DataFrame) -> DataFrame:
 
     checkpoint() would keep the constraints of the plan before it, which
     multiply from round to round of an iteration until planning takes longer
-    than the work.
+    than the work. Tables of an application lie together: see clean_up().
     """
-    folder = f"{shared_dir(df.sparkSession)}/cut-{uuid.uuid4().hex}"
+    shared_dir(df.sparkSession)
+    folder = f"{run_folder(df.sparkSession)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
@@ -83,7 +85,11 @@ class Carried:
         self.names = [f"_x{i}" for i in range(len(keep))]
         self.columns = [F.col(f"`{c}`").alias(x) for c, x in zip(keep, self.names)]
         self.ddl = [f"{x} {kinds[c]}" for c, x in zip(keep, self.names)]
-        self._after = {x: f"{c}_in" if c in own else c for c, x in zip(keep, self.names)}
+        self._after: dict[str, str] = {}
+        for c, x in sorted(zip(keep, self.names), key=lambda pair: pair[0] in own):  # names that needn't change come first
+            while c in own or c in self._after.values():
+                c = f"{c}_in"
+            self._after[x] = c
 
     def restored(self, df: DataFrame) -> DataFrame:
         return df.select(*[F.col(c).alias(self._after.get(c, c)) for c in df.columns])

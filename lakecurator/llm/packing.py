@@ -57,7 +57,8 @@ def pack(counted: DataFrame, buckets: int = 16, budget: int = 16_384) -> DataFra
     Buckets are numbered from 0 by length. A batch holds texts of one bucket,
     padded to bucket_len, of at most `budget` tokens together, or one text
     longer than that; every batch of a bucket but its last is full. Null
-    lengths count as 0. Rows that repeat are batched like others, a null doc_id
+    lengths count as 0. Texts of one bucket go by doc_id, then length; rows that
+    tie in both are alike, so their order can't matter. Rows that repeat are batched like others, a null doc_id
     too; very long texts are lengths like others. Other columns are ignored. An
     empty table gives an empty result.
     """

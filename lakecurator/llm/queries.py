@@ -31,7 +31,7 @@ def tokenizer_file(name: str) -> str:
 
 
 def op1_longest_match_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.tiktoken"))
+    return token_counts(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.tiktoken"), whole=True)
 
 
 def op2_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -159,6 +159,8 @@ def quality_rules(docs: DataFrame, labels: DataFrame, keep_at: float = KEEP_AT,
     model's calibrated probability of a good text is at least keep_at. Null
     and empty texts have no words and fail. Without usable labels every text
     has an even chance. Repeated rows are scored alike; null ids stay null.
+    Very long texts are counted and scored whole; scores at keep_at are kept.
+    Other columns are ignored, and an empty table gives an empty result.
     """
     spark = docs.sparkSession
     prepare(spark)

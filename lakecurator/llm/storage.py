@@ -11,6 +11,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.files import opened  # noqa: F401  the writers and readers take it from here
 from .common import cut, shared_dir
 
 #: Bins that keys are first counted in, and that a heavy bin is cut into at each further level.
@@ -25,11 +26,6 @@ def new_folder(spark, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def opened(uri: str) -> tuple[fs.FileSystem, str]:
-    """The file system of a folder's URI, or of a plain path, and the path within it."""
-    return fs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (fs.LocalFileSystem(), uri)
-
-
 def commit(system: fs.FileSystem, temporary: str, final: str) -> None:
     """Give a finished file its name; another attempt's equal file gives way."""
     if system.get_file_info(final).type != fs.FileType.NotFound:

@@ -216,7 +216,13 @@ def _mapped(system: fs.FileSystem, path: str) -> pa.Buffer:
 
 
 def read_token_files(spark, folder: str) -> DataFrame:
-    """doc_id, start, n_tokens and ids (little-endian unsigned 32-bit) of every document, from the files."""
+    """doc_id, start, n_tokens and ids (little-endian unsigned 32-bit) of every document, from the files.
+
+    Null doc_ids come back as null, rows that were repeated as often as they
+    were written, null and empty texts with the end id alone. Very long texts
+    are mapped, not copied, until their row is made. A manifest without shards
+    gives an empty result.
+    """
     prepare(spark)
     system, path = opened(folder)
     with system.open_input_stream(f"{path}/manifest.json") as source:

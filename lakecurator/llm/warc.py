@@ -171,6 +171,9 @@ def read_archives(spark, folder: str) -> DataFrame:
     """page_id, url, payload_bytes, payload_digest, record_type, refers_to and payload of every page record.
 
     Length and digest of a response are taken from the payload read; those of a revisit from its headers.
+    Pages that were written with a null page_id have it again, null payloads
+    are empty, rows that were repeated come as often, and very long payloads
+    are read whole. Archives without records give an empty result.
     """
     prepare(spark)
     system, path = opened(folder)

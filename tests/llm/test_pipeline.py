@@ -104,3 +104,20 @@ def test_contaminated_rows_are_dropped_singly(spark, tmp_path):
     found = corpus_pipeline.uncontaminated(spark, frame(spark, rows), str(tmp_path))
     assert found.columns == corpus_pipeline.COLUMNS
     assert sorted((r.n_chars, r.doc_id) for r in found.collect()) == [(1, None), (3, 7)]
+
+
+def test_classifier_stage_of_odd_and_empty_tables(spark, tmp_path):
+    """Every odd row is judged; without usable labels nothing is sure to be good, and nothing crashes."""
+    labels = spark.createDataFrame([(7, 1, 0), (8, 0, 0), (None, 1, 0), (7, None, None)], "doc_id long, quality int, toxic int")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    kept = corpus_pipeline.quality(spark, odd(spark), str(tmp_path))
+    assert kept.columns == corpus_pipeline.COLUMNS and kept.count() <= 7
+    for docs in (odd(spark).limit(0), odd(spark).where("doc_id = 9")):
+        assert corpus_pipeline.quality(spark, docs, str(tmp_path)).count() <= docs.count()
+
+
+def test_pipeline_of_an_empty_table(spark, tmp_path):
+    spark.createDataFrame([], DOCS).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []

@@ -399,6 +399,35 @@ def test_word_hashes_follow_words():
     assert [x[:2] for x in wordhash.text_slices(texts, 3)] == [(0, 1), (1, 3), (3, 4), (4, 5)] and not list(wordhash.text_slices(pa.array([], pa.string())))
 
 
+def test_pairs_at_exactly_the_threshold_are_found(spark):
+    """A thousand pairs with 40 shingles in common of 50: none is missed, and pairs just below aren't linked."""
+    rng = random.Random(41)
+    word = lambda: "".join(rng.choice("bcdfghklmnprst") + rng.choice("aeiou") for _ in range(3))
+    rows = []
+    for i in range(1_000):
+        same, differ = [word() for _ in range(41)], 5 if i < 900 else 6
+        for side in range(2):
+            rows.append((2 * i + side, " ".join(same[: 46 - differ] + [word() + str(side) for _ in range(differ)]), "en", "s", 1))
+    found = {r.doc_id: (r.n_shingles, r.component_id) for r in nd.near_duplicates(frame(spark, rows), n=2).collect()}
+    assert {n for n, _ in found.values()} == {45}
+    assert all(found[2 * i + 1][1] == 2 * i for i in range(900)) and all(found[2 * i + 1][1] == 2 * i + 1 for i in range(900, 1_000))
+
+
+def test_letters_of_either_case_are_alike(spark):
+    text = " ".join(f"Word{i} ÉTÉ" for i in range(30))
+    rows = [(1, text, "en", "s", 1), (2, text.replace("Word", "WORD"), "en", "s", 1), (3, text.replace("É", "é"), "en", "s", 1)]
+    found = {r.doc_id: r.component_id for r in nd.near_duplicates(frame(spark, rows), n=2).collect()}
+    assert found == {1: 1, 2: 1, 3: 3}  # A-Z alone are lowered
+
+
+def test_kept_columns_never_clash(spark):
+    docs = frame(spark, [(1, "a b", "en", "s", 1)]).withColumns({"n_words": F.lit(5), "n_words_in": F.lit(6), "kept": F.lit("k")})
+    found = repeats.remove_repeats(docs, keep=["n_words", "n_words_in", "kept"])
+    assert len(set(found.columns)) == len(found.columns)
+    row = found.first()
+    assert (row.n_words, row.n_words_in, row.n_words_in_in, row.kept_in) == (2, 6, 5, "k")
+
+
 def test_components_and_ranks(spark):
     edges = [(i, i + 1) for i in range(50)] + [(200, 100), (300, 200), (7, 7)]
     found = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
