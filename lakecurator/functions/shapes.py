@@ -36,9 +36,25 @@ def sign_bits(values: Column, n: int = 64) -> Column:
 
 def difference_hash(gray: Column) -> Column:
     """The 64-bit difference hash of 72 gray values, nine to a row: left brighter than right."""
-    bit = lambda i: F.when(F.get(gray, i) > F.get(gray, i + 1), 1).otherwise(0).cast("long")
     places = F.array(*[F.lit(9 * row + column) for row in range(8) for column in range(8)])
-    return F.aggregate(places, F.lit(0).cast("long"), lambda acc, i: F.shiftleft(acc, 1).bitwiseOR(bit(i)))
+    brighter = F.transform(F.slice(gray, 1, 71), lambda v, i: v > F.get(gray, i + 1))
+    return F.aggregate(places, F.lit(0).cast("long"), lambda acc, i: F.shiftleft(acc, 1).bitwiseOR(F.coalesce(F.get(brighter, i), F.lit(False)).cast("long")))
+
+
+def turned(wide: Column, tall: Column, quarters: int) -> Column:
+    """The 8 rows of 9 gray values of a picture turned left by so many quarters.
+
+    wide: 8 rows of 9 values of the picture as it is; tall: 9 rows of 8, which
+    become 8 rows of 9 by a quarter turn.
+    """
+    places = {0: lambda r, c: 9 * r + c, 1: lambda r, c: 8 * c + 7 - r, 2: lambda r, c: 9 * (7 - r) + 8 - c, 3: lambda r, c: 8 * (8 - c) + r}[quarters % 4]
+    order = F.array(*[F.lit(places(r, c)) for r in range(8) for c in range(9)])
+    return F.transform(order, lambda i: F.get(tall if quarters % 2 else wide, i))
+
+
+def rotation_hashes(wide: Column, tall: Column) -> Column:
+    """The difference hashes of a picture and of its turns by a quarter, a half and three quarters to the left."""
+    return F.array(*[difference_hash(turned(wide, tall, q)) for q in range(4)])
 
 
 def video_gap(source: dict[str, Column], dest: dict[str, Column], tolerance: float = 0.02) -> Column:

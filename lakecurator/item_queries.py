@@ -6,8 +6,9 @@ import datetime
 
 from pyspark.sql import functions as F
 
-from .functions import names, naming, shapes, times
-from .operators import accounting, changes, dedupe, inventory, placing, policies, sidecars, workflows
+from .functions import names, naming, plugins, shapes, times
+from .operators import accounting, changes, dedupe, inventory, placing, policies, sidecars, steps, workflows
+from .plans import runs
 from .plans.importing import ImportSettings, plan_import
 from .registry import query, table
 
@@ -71,16 +72,45 @@ def sources_without_decision(spark, sf_dir):
     return inventory.undecided(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("ref")), table(spark, sf_dir, "labels").select(F.col("doc_id").alias("ref")))
 
 
-@query("""
-WITH f AS (SELECT label, arg_min(embedding, vec_id) AS o FROM embeddings GROUP BY 1),
-d AS (SELECT vec_id, len(list_filter(list_zip(e.embedding, f.o), lambda x: (x[1] > 0) <> (x[2] > 0))) AS n FROM embeddings e JOIN f USING (label))
-SELECT vec_id, CAST(least(n, 64 - n) AS INTEGER) AS dist FROM d
+def _bits(places) -> str:
+    """SQL for the bits of a hash, of 72 gray values whose place in w (8 rows of 9) or t (9 rows of 8) is given for row and column."""
+    value = lambda r, c: "{}[{}]".format(*places(r, c))
+    return " || ".join(f"CASE WHEN {value(r, c)} > {value(r, c + 1)} THEN '1' ELSE '0' END" for r in range(8) for c in range(8))
+
+
+_TURNS = {
+    "h0": _bits(lambda r, c: ("w", 9 * r + c + 1)),
+    "h1": _bits(lambda r, c: ("t", 8 * c + 7 - r + 1)),
+    "h2": _bits(lambda r, c: ("w", 9 * (7 - r) + 8 - c + 1)),
+    "h3": _bits(lambda r, c: ("t", 8 * (8 - c) + r + 1)),
+}
+_GRAY = """g AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings),
+p AS (SELECT vec_id, label, e || e[1:8] AS w, e[33:64] || e[1:40] AS t FROM g)"""
+
+
+def _pictures(spark, sf_dir):
+    """Embeddings as gray values of pictures, with the hashes of four rotations."""
+    whole = F.transform("embedding", lambda x: F.floor(x.cast("double") * 256).cast("int"))
+    gray = table(spark, sf_dir, "embeddings").select("vec_id", "label", whole.alias("e"))
+    gray = gray.select("vec_id", "label", F.concat("e", F.slice("e", 1, 8)).alias("w"), F.concat(F.slice("e", 33, 32), F.slice("e", 1, 40)).alias("t"))
+    return gray.select("vec_id", "label", shapes.rotation_hashes(F.col("w"), F.col("t")).alias("hashes"))
+
+
+@query(f"WITH {_GRAY} SELECT vec_id, {', '.join(f'{bits} AS {name}' for name, bits in _TURNS.items())} FROM p")
+def hashes_of_rotations(spark, sf_dir):
+    """The bits of the hashes of four rotations."""
+    return _pictures(spark, sf_dir).select("vec_id", *[F.lpad(F.bin(F.get("hashes", F.lit(i))), 64, "0").alias(f"h{i}") for i in range(4)])
+
+
+@query(f"""
+WITH {_GRAY}, h AS (SELECT vec_id, label, {', '.join(f'{bits} AS {name}' for name, bits in _TURNS.items())} FROM p),
+f AS (SELECT label, arg_min(h0, vec_id) AS o FROM h GROUP BY 1)
+SELECT vec_id, CAST(least({', '.join(f'hamming(h{i}, o)' for i in range(4))}) AS INTEGER) AS dist FROM h JOIN f USING (label)
 """)
 def distances_over_rotations(spark, sf_dir):
-    hashed = table(spark, sf_dir, "embeddings").select("vec_id", "label", shapes.sign_bits(F.col("embedding")).alias("hash"))
-    first = hashed.groupBy("label").agg(F.min_by("hash", "vec_id").alias("other"))
-    turned = F.array("hash", F.bitwise_not("hash"))
-    return hashed.join(first, "label").select("vec_id", shapes.rotation_distance(turned, F.col("other")).cast("int").alias("dist"))
+    hashed = _pictures(spark, sf_dir)
+    first = hashed.groupBy("label").agg(F.min_by(F.get("hashes", F.lit(0)), "vec_id").alias("other"))
+    return hashed.join(first, "label").select("vec_id", shapes.rotation_distance(F.col("hashes"), F.col("other")).cast("int").alias("dist"))
 
 
 @query("""
@@ -192,12 +222,18 @@ def album_proposals(spark, sf_dir):
 
 
 @query("""
-SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'p' || page_id || '(2).jpg' WHEN 1 THEN 'p' || page_id || '.jpg' END AS expected, CASE WHEN page_id % 3 < 2 THEN 'p' || page_id || '.jpg' END AS prefix FROM pages
+WITH p AS (SELECT page_id, substr(md5(html), 1, 5) || CASE page_id % 4 WHEN 0 THEN '.JPG' WHEN 1 THEN '.tar.heic' WHEN 2 THEN '' ELSE '.png' END AS name, page_id % 9 AS k, page_id % 5 AS t FROM pages),
+q AS (SELECT *, CASE k WHEN 1 THEN '(2)' WHEN 3 THEN '(11)' END AS counter, CASE t WHEN 0 THEN name WHEN 1 THEN 'Other Name.jpeg' WHEN 2 THEN name ELSE name END AS title FROM p)
+SELECT page_id, CASE WHEN k >= 5 THEN NULL WHEN counter IS NULL THEN name ELSE regexp_replace(title, '(\.[^.]*)?$', '') || counter || regexp_extract(title, '(\.[^.]*)?$') END AS expected, CASE WHEN k < 5 THEN name END AS prefix FROM q
 """)
 def media_of_sidecars(spark, sf_dir):
-    name = F.concat(F.lit("p"), F.col("page_id").cast("string"), F.lit(".jpg"))
-    suffix = F.when(F.col("page_id") % 3 == 0, ".supplemental-metadata(2).json").when(F.col("page_id") % 3 == 1, ".suppl.JSON").otherwise(".other.json")
-    found = table(spark, sf_dir, "pages").select("page_id", sidecars.media_name(F.concat(name, suffix), name).alias("m"))
+    """Names with and without counters, cut suffixes, names that are no sidecar's, titles that differ, are null or empty."""
+    k = F.col("page_id")
+    pick = lambda by, *values: F.get(F.array(*[F.lit(v) for v in values]), (k % by).cast("int"))
+    name = F.concat(F.substring(F.md5("html"), 1, 5), pick(4, ".JPG", ".tar.heic", "", ".png"))
+    suffix = pick(9, ".supplemental-metadata.json", ".supplemental-metadata(2).json", ".suppl.JSON", ".s(11).json", ".supplemental-met.json", ".json", ".other.json", ".supplemental-metadata-edited.json", ".supplemental-metadata.jsonx")
+    title = F.when(k % 5 == 0, F.lit(None).cast("string")).when(k % 5 == 1, "Other Name.jpeg").when(k % 5 == 2, "").otherwise(name)
+    found = table(spark, sf_dir, "pages").select("page_id", sidecars.media_name(F.concat(name, suffix), title).alias("m"))
     return found.select("page_id", "m.expected", "m.prefix")
 
 
@@ -242,9 +278,14 @@ def truncated_sidecars(spark, sf_dir):
     return sidecars.items(members).select("path", "taken_ts", "orphan")
 
 
-@query("SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'a.JPG' WHEN 1 THEN 'a.webp' ELSE 'a.png' END AS name, page_id % 3 = 0 AS convert, CASE WHEN page_id % 3 = 1 THEN '.webp' END AS skipped FROM pages")
+@query("""
+WITH p AS (SELECT page_id, page_id % 8 AS k, substr(md5(html), 1, 6) AS base FROM pages)
+SELECT page_id, base || CASE k WHEN 0 THEN '.JPG' WHEN 1 THEN '.x.JPG' WHEN 2 THEN '.jpg' WHEN 3 THEN '.WebP' WHEN 4 THEN '.PNG' WHEN 5 THEN '' WHEN 6 THEN '.tar.webp' ELSE '.JPG' END AS name, k IN (0, 1, 7) AS convert, CASE WHEN k IN (3, 6) THEN '.webp' END AS skipped FROM p
+""")
 def still_outputs(spark, sf_dir):
-    name = F.when(F.col("page_id") % 3 == 0, "a.HEIC").when(F.col("page_id") % 3 == 1, "a.webp").otherwise("a.png")
+    """Stills that are converted, refused or sent as they are, in either case, with several dots or no extension."""
+    ends = F.array(*[F.lit(x) for x in (".HEIC", ".x.heif", ".jpg", ".WebP", ".PNG", "", ".tar.webp", ".HIF")])
+    name = F.concat(F.substring(F.md5("html"), 1, 6), F.get(ends, (F.col("page_id") % 8).cast("int")))
     out = table(spark, sf_dir, "pages").select("page_id", names.still_output(name, "convert", "skip", [".webp"]).alias("o"))
     return out.select("page_id", "o.name", "o.convert", F.regexp_extract("o.skip", r"^(\.\w+)", 1).alias("skipped"))
 
@@ -615,3 +656,71 @@ def kinds_of_dates(spark, sf_dir):
 @query("SELECT substr(text, 1, 12) AS error, count(*) AS n FROM documents WHERE lang = 'en' GROUP BY 1")
 def errors_by_beginning(spark, sf_dir):
     return workflows.errors(table(spark, sf_dir, "documents").select(F.when(F.col("lang") == "en", F.col("text")).alias("last_error")), 12)
+
+
+@query("""
+SELECT CASE WHEN grouping(o_orderpriority) = 1 THEN 'o_orderstatus' WHEN grouping(o_orderstatus) = 1 THEN 'o_orderpriority' ELSE 'o_orderstatus, o_orderpriority' END AS of, o_orderstatus, o_orderpriority, count(*) AS n
+FROM orders GROUP BY GROUPING SETS ((o_orderstatus), (o_orderpriority), (o_orderstatus, o_orderpriority))
+""")
+def histograms_in_one_scan(spark, sf_dir):
+    sets = [["o_orderstatus"], ["o_orderpriority"], ["o_orderstatus", "o_orderpriority"]]
+    return accounting.histograms(table(spark, sf_dir, "orders"), sets)
+
+
+@query("""
+SELECT event_id AS run_id, event_type AS command, CASE WHEN value < 20 THEN 'failed' WHEN user_id % 7 = 0 THEN 'stopped' ELSE 'ok' END AS status, CAST(row_number() OVER (PARTITION BY event_type, CASE WHEN value < 20 THEN 'failed' WHEN user_id % 7 = 0 THEN 'stopped' ELSE 'ok' END ORDER BY event_id DESC) AS INTEGER) AS place
+FROM events QUALIFY place <= 5
+""")
+def last_five_runs(spark, sf_dir):
+    status = F.when(F.col("value") < 20, "failed").when(F.col("user_id") % 7 == 0, "stopped").otherwise("ok")
+    done = table(spark, sf_dir, "events").select(F.col("event_id").alias("run_id"), F.col("event_type").alias("command"), status.alias("status"))
+    return runs.last_runs(done)
+
+
+@query("""
+WITH f AS (SELECT o_orderkey, o_orderdate, CASE o_orderkey % 3 WHEN 0 THEN 'scan ' || strftime(o_orderdate, '%d.%m.%Y') WHEN 1 THEN 'IMG_' || strftime(o_orderdate, '%Y%m%d') || '_120000.jpg' ELSE 'x.jpg' END AS name FROM orders)
+SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN strftime(o_orderdate, '%Y-%m-%d') END AS by_sql, CASE WHEN o_orderkey % 3 < 2 THEN strftime(o_orderdate, '%Y-%m-%d') END AS value, CASE o_orderkey % 3 WHEN 0 THEN 'scanner' WHEN 1 THEN 'filename' ELSE 'none' END AS source FROM f
+""")
+def dates_by_plugin(spark, sf_dir):
+    """A date source in SQL, called by name and in a chain before the built-in one."""
+    added = plugins.DatePlugins(spark)
+    added.register("scanner", r"try_to_date(nullif(regexp_extract(filename, '^scan (\\d\\d[.]\\d\\d[.]\\d{4})', 1), ''), 'dd.MM.yyyy')")
+    k, day = F.col("o_orderkey"), F.col("o_orderdate")
+    name = F.when(k % 3 == 0, F.concat(F.lit("scan "), F.date_format(day, "dd.MM.yyyy"))).when(k % 3 == 1, F.concat(F.lit("IMG_"), F.date_format(day, "yyyyMMdd"), F.lit("_120000.jpg"))).otherwise("x.jpg")
+    files = table(spark, sf_dir, "orders").select(k, name.alias("name"))
+    found = naming.date_for(["scanner", "filename"], {"filename": F.col("name")}, "UTC", TODAY, added.sources())
+    out = files.select("o_orderkey", F.expr("scanner(name, null, null, null)").alias("by_sql"), found.alias("d"))
+    return out.select("o_orderkey", "by_sql", F.substring("d.value", 1, 10).alias("value"), F.regexp_extract("d.method", "^([a-z]+)", 1).alias("source"))
+
+
+@query("""
+WITH a AS (SELECT p_partkey, p_brand, p_name, lower(p_brand || '/' || p_name) AS path FROM part),
+g AS (SELECT size AS n, lower('Brand#' || size % 60 || '/*' || chr(CAST(97 + size % 26 AS INTEGER)) || '*') AS taken, lower('*' || chr(CAST(97 + size % 7 AS INTEGER)) || chr(CAST(97 + size % 11 AS INTEGER))) AS left_out FROM (SELECT unnest(range(1, 401)) AS size)),
+m AS (SELECT p_partkey, n FROM a JOIN g ON (path GLOB taken) WHERE NOT ((path GLOB left_out) OR (lower(p_name) GLOB left_out))),
+s AS (SELECT p_partkey, n, CASE n % 3 WHEN 0 THEN 'privacy' WHEN 1 THEN 'downloads' ELSE 'size' END AS setting FROM m)
+SELECT p_partkey AS album_id, setting, CAST(max(n) * 10 AS VARCHAR) AS desired, CAST(max(n) AS INTEGER) AS policy FROM s GROUP BY 1, 2
+""")
+def settings_of_many_policies(spark, sf_dir):
+    """Four hundred policies, by the index of their globs."""
+    wanted = [{"scope": [f"Brand#{n % 60}/*{chr(97 + n % 26)}*"], "exclude": [f"*{chr(97 + n % 7)}{chr(97 + n % 11)}"], ("privacy", "downloads", "size")[n % 3]: n * 10} for n in range(1, 401)]
+    albums = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("album_id"), F.col("p_brand").alias("folder"), F.col("p_name").alias("name"))
+    return policies.desired(albums, wanted)
+
+
+@query("""
+WITH a AS (SELECT p_partkey AS id, p_brand || '/' || p_name AS path, p_name, p_size, p_retailprice FROM part WHERE lower(p_brand) IN ('brand#11', 'brand#22', 'brand#33') OR p_size = 7),
+w AS (SELECT id, p_size, p_retailprice, 1 AS policy, 'downloads' AS setting, 'true' AS desired FROM a WHERE lower(path) GLOB 'brand#[123][123]/*'
+  UNION ALL SELECT id, p_size, p_retailprice, 2, 'privacy', '"unlisted"' FROM a WHERE lower(path) GLOB '*/*a' OR lower(p_name) GLOB '*a'),
+n AS (SELECT *, CASE setting WHEN 'downloads' THEN CASE WHEN p_size % 3 = 0 THEN 'true' WHEN p_size % 3 = 1 THEN 'false' ELSE 'null' END ELSE CASE WHEN p_retailprice < 1200 THEN '"public"' ELSE '"friends"' END END AS old FROM w)
+SELECT id AS album_id, 'setting' AS kind, setting AS field, old AS old_value, desired AS new_value, 'policy ' || policy AS source, CASE WHEN old IN ('null', '"friends"') THEN 'couldn''t be put back to ' || old END AS note, CASE WHEN old IN ('null', '"friends"') THEN 'review' ELSE 'planned' END AS status FROM n WHERE old <> desired
+UNION ALL SELECT id, 'finding', NULL, NULL, NULL, NULL, CASE WHEN p_size > 45 THEN 'over the item cap (' || p_size || ' > 45)' ELSE 'near the item cap (' || p_size || ' of 45)' END, 'info' FROM a WHERE p_size >= 40 AND id IN (SELECT id FROM w)
+""")
+def audited_albums(spark, sf_dir):
+    """The audit as one step: albums in scope, settings to change, and findings."""
+    rows = table(spark, sf_dir, "part").where("lower(p_brand) in ('brand#11', 'brand#22', 'brand#33') or p_size = 7")
+    albums = rows.select(F.col("p_partkey").alias("album_id"), F.col("p_brand").alias("folder"), F.col("p_name").alias("name"), F.col("p_size").cast("long").alias("item_count"), "p_size", "p_retailprice")
+    downloads = F.when(F.col("p_size") % 3 == 0, "true").when(F.col("p_size") % 3 == 1, "false")
+    privacy = F.when(F.col("p_retailprice") < 1200, '"public"').otherwise('"friends"')
+    actual = albums.select("album_id", F.inline(F.array(*[F.struct(F.lit(k).alias("setting"), v.alias("value")) for k, v in (("downloads", downloads), ("privacy", privacy))])))
+    wanted = [{"scope": ["Brand#[123][123]/*"], "downloads": True}, {"scope": ["*a"], "privacy": "unlisted"}]
+    return steps.albums_audit(albums, actual, wanted, {"downloads": [True, False], "privacy": ["public", "unlisted", "private"]}, 40, 45)["changes"]

@@ -62,17 +62,41 @@ def adds_up(table: DataFrame, outcomes: list[str] = OUTCOMES) -> bool:
     return table.where(sum((F.col(f"`{o}`") for o in outcomes), F.lit(0)) != F.col("total")).isEmpty()
 
 
+def checked(table: DataFrame, outcomes: list[str] = OUTCOMES) -> DataFrame:
+    """table, which fails where it is computed if the outcomes of a row don't sum to its total."""
+    sum_ = sum((F.col(f"`{o}`") for o in outcomes), F.lit(0))
+    wrong = F.raise_error(F.format_string("the outcomes of a type sum to %d, not to %d", sum_, F.col("total")))
+    return table.withColumn("total", F.when(sum_ == F.col("total"), F.col("total")).otherwise(wrong.cast("long")))
+
+
+def histograms(df: DataFrame, sets: list[list[str]]) -> DataFrame:
+    """of, the columns, n: the counts of several groupings in one scan; `of` names the columns of a row's grouping, the others are null."""
+    columns = list(dict.fromkeys(c for names in sets for c in names))
+    grouped = df.groupingSets(sets, *columns).agg(*[F.grouping(c).alias(f"_{c}") for c in columns], F.count("*").alias("n"))
+    of = F.concat_ws(", ", *[F.when(F.col(f"_{c}") == 0, c) for c in columns])
+    return grouped.select(of.alias("of"), *columns, "n")
+
+
+def clip_bucket() -> Column:
+    """How far a clip is from its still, from the reason of its upload; null for other reasons."""
+    gap = F.regexp_extract("reason", r"Live Photo clip, (\d+)s from its still", 1).try_cast("int")
+    return F.when(gap == 0, "0 s").when(gap == 1, "1 s").when(gap <= 5, "2-5 s").when(gap <= 30, "6-30 s").when(gap.isNotNull(), "31-60 s")
+
+
 def clip_gaps(uploads: DataFrame) -> DataFrame:
     """(bucket, n) of the seconds between clips and their stills, read from upload reasons."""
-    gap = F.regexp_extract("reason", r"Live Photo clip, (\d+)s from its still", 1).try_cast("int")
-    bucket = F.when(gap == 0, "0 s").when(gap == 1, "1 s").when(gap <= 5, "2-5 s").when(gap <= 30, "6-30 s").otherwise("31-60 s")
-    return uploads.select(gap.alias("gap"), bucket.alias("bucket")).where("gap is not null").groupBy("bucket").agg(F.count("*").alias("n"))
+    return uploads.select(clip_bucket().alias("bucket")).where("bucket is not null").groupBy("bucket").agg(F.count("*").alias("n"))
+
+
+def date_method() -> Column:
+    """How a moved or collected item was dated, from the plan's reason; null for other actions."""
+    method = F.coalesce(F.nullif(F.regexp_extract(F.coalesce("reason", F.lit("")), r"^date via ([a-z_]+)", 1), F.lit("")), F.lit("other"))
+    return F.when(F.col("action").isin("move", "collect"), method)
 
 
 def dated_by(plan: DataFrame) -> DataFrame:
     """(method, n): how moved and collected items were dated."""
-    method = F.coalesce(F.nullif(F.regexp_extract(F.coalesce("reason", F.lit("")), r"^date via ([a-z_]+)", 1), F.lit("")), F.lit("other"))
-    return plan.where(F.col("action").isin("move", "collect")).groupBy(method.alias("method")).agg(F.count("*").alias("n"))
+    return plan.select(date_method().alias("method")).where("method is not null").groupBy("method").agg(F.count("*").alias("n"))
 
 
 def histogram(df: DataFrame, *keys: str) -> DataFrame:
@@ -109,15 +133,15 @@ def median_date(dates: DataFrame, key: str, date: Column, least: int = 5, most_d
 
 
 def page_sample(items: DataFrame, key: str, order: list[Column], pages: int, size: int = 20, seed: int = 0) -> DataFrame:
-    """A page of `size` items from each of `pages` equal slices of every key's items, chosen by a seeded hash."""
+    """A page of `size` items from each of `pages` equal slices of every key's items, chosen by a seeded hash, MD5, which any engine has."""
     from pyspark.sql import Window
 
     placed = Scan(items, [key], order).running("_page", F.lit(1)).done().withColumn("_page", F.floor((F.col("_page") - 1) / size))
     listed = placed.select(key, "_page").distinct().withColumn("_slice", F.ntile(pages).over(Window.partitionBy(key).orderBy("_page")))
-    chosen = listed.groupBy(key, "_slice").agg(F.min_by("_page", F.struct(F.xxhash64(F.lit(seed), key, "_page"), "_page")).alias("_page"))
+    chosen = listed.groupBy(key, "_slice").agg(F.min_by("_page", F.struct(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"), F.col("_page").cast("string"))), "_page")).alias("_page"))
     return placed.join(chosen, [key, "_page"]).drop("_page", "_slice")
 
 
 def seeded_sample(items: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
     """Exactly n rows (all, if fewer), the same for the same seed."""
-    return items.orderBy(F.xxhash64(F.lit(seed), key), key).limit(n)
+    return items.orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"))), key).limit(n)

@@ -114,6 +114,11 @@ def release_answered_holds(uploads: DataFrame, decisions: DataFrame) -> DataFram
     return held.join(decisions.select("ref", "decision"), "ref").where("decision <> 'review'").select("upload_id", "decision")
 
 
+def unused_targets(targets: DataFrame, plan: DataFrame) -> DataFrame:
+    """Targets (name, ...) that no row of the plan (target_name) goes to: their albums may be deleted."""
+    return targets.join(plan.select(F.col("target_name").alias("name")), "name", "left_anti")
+
+
 def undo_collected(plan: DataFrame, before: DataFrame) -> DataFrame:
     """Collected items to take out of their target again: done, and not there before."""
     done = plan.where("action = 'collect' and status = 'done'").select("item_id", "target_name")

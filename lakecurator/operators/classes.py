@@ -72,6 +72,34 @@ def hash_distances(sources: list[tuple], dests: list[int]) -> np.ndarray:
     return out
 
 
+def nearest_pictures(items: DataFrame) -> DataFrame:
+    """id, dist, nearest and candidates of each item: the nearest other one of its key, ties by smaller id.
+
+    items: key, id, hash, none of them null; ids are unique. Hashes are
+    compared, not items, so copies of one picture cost nothing but their row.
+    """
+    kind = items.schema["id"].dataType.simpleString()
+
+    def settle(key: tuple, rows: pa.Table) -> pa.Table:
+        hashes, members = _classes(rows["id"].to_pylist(), rows["hash"].to_pylist())
+        far, out, total = np.array(hashes, np.int64), [], rows.num_rows
+        leads = [m[0] for m in members]
+        for i in range(0, len(hashes) if total > 1 else 0, _BLOCK):
+            gaps = np.bitwise_count((far[i : i + _BLOCK, None] ^ far).view(np.uint64)).astype(np.int64)
+            for a, row in enumerate(gaps, i):
+                row[a] = 65
+                least = int(row.min())
+                other = min((leads[b] for b in np.flatnonzero(row == least)), default=None) if least < 65 else None
+                for n, id_ in enumerate(members[a]):
+                    twin = members[a][1 if n == 0 else 0] if len(members[a]) > 1 else None
+                    out.append((id_, *((0, twin) if twin is not None else (least, other)), total - 1))
+        columns = list(zip(*out)) or [()] * 4
+        types = [rows.schema.field("id").type, pa.int32(), rows.schema.field("id").type, pa.int64()]
+        return pa.table([pa.array(c, t) for c, t in zip(columns, types)], names=["id", "dist", "nearest", "candidates"])
+
+    return items.select("key", "id", "hash").groupBy("key").applyInArrow(settle, f"id {kind}, dist int, nearest {kind}, candidates long")
+
+
 def match_pictures(sources: DataFrame, dests: DataFrame, same_max: int) -> DataFrame:
     """ref, item_id and dist of the destination item taken for it, near_dist and near_item (the nearest left after all), unreadable, scored.
 

@@ -7,10 +7,12 @@ import json
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.names import glob_any, path_of
+from ..functions.names import glob_any, glob_pattern, path_of
 
 #: How strict a privacy setting is.
 PRIVACY_RANK = {"public": 0, "unlisted": 1, "private": 2}
+#: Policies up to which albums are tested by one expression.
+FEW_POLICIES = 32
 #: What warnings and findings say.
 UNUSED_SIZE = "policy %d: download_size applies only with downloads on; not checked"
 BLOCKED = ("a containing folder makes it ", "; the album's own '", "' setting can't take effect")
@@ -24,12 +26,66 @@ def in_scope(policy: dict, folder: Column, name: Column) -> Column:
     return glob_any(values, policy.get("scope", [])) & ~glob_any(values, policy.get("exclude", []))
 
 
-def desired(albums: DataFrame, policies: list[dict]) -> DataFrame:
+def literal_ends(pattern: str) -> tuple[str, str]:
+    """What a glob's matches begin and end with: its text before the first and after the last special character."""
+    special = [i for i, c in enumerate(pattern) if c in "*?["]
+    if not special:
+        return pattern, ""
+    last = pattern.rfind("]") if "[" in pattern else -1
+    return pattern[: special[0]], pattern[max(special[-1], last) + 1 :]
+
+
+def _hits(albums: DataFrame, policies: list[dict]) -> DataFrame:
+    """(album_id, policy) of policies that take an album in, by an index of globs.
+
+    A glob is filed under the longer of its literal ends. An album's path and
+    name are cut at the lengths that occur and meet by equality the globs filed
+    there, which alone are tried. Globs without a literal end are tried on all.
+    """
+    globs = []
+    for n, policy in enumerate(policies, 1):
+        for kind in ("scope", "exclude"):
+            for pattern in policy.get(kind) or []:
+                first, last = literal_ends(pattern.lower())
+                end = len(last) > len(first)
+                globs.append((n, kind == "exclude", end, last if end else first, glob_pattern(pattern.lower())))
+    filed = albums.sparkSession.createDataFrame(globs, "policy int, out boolean, end boolean, text string, pattern string")
+    sizes = [sorted({len(g[3]) for g in globs if g[2] == end}) for end in (False, True)]
+    values = F.array_distinct(F.array(*[F.lower(F.coalesce(c, F.lit(""))) for c in (path_of(F.col("folder"), F.col("name")), F.col("name"))]))
+    each = albums.select("album_id", F.explode(values).alias("value"))
+    piece = lambda end, text: F.struct(F.lit(end).alias("end"), text.alias("text"))
+    cut = [F.when(F.length("value") >= n, piece(False, F.substring("value", 1, n))) for n in sizes[0]] + [F.when(F.length("value") >= n, piece(True, F.right("value", F.lit(n)))) for n in sizes[1]]
+    met = each.select("album_id", "value", F.inline(F.array_compact(F.array(*cut)))).join(filed, ["end", "text"]).where(F.rlike("value", "pattern"))
+    hit = met.groupBy("album_id", "policy").agg(F.bool_or("out").alias("out"), F.bool_or(~F.col("out")).alias("in"))
+    return hit.where(F.col("in") & ~F.col("out")).select("album_id", "policy")
+
+
+def governed(albums: DataFrame, policies: list[dict], few: int = FEW_POLICIES) -> DataFrame:
+    """The albums that some policy takes in."""
+    if len(policies) > few:
+        return albums.join(_hits(albums, policies).select("album_id").distinct(), "album_id", "left_semi")
+    test = F.lit(False)
+    for policy in policies:
+        test = test | in_scope(policy, F.col("folder"), F.col("name"))
+    return albums.where(test)
+
+
+def _indexed(albums: DataFrame, policies: list[dict]) -> DataFrame:
+    """desired() by the index of globs."""
+    settings = [(n, k, json.dumps(v)) for n, policy in enumerate(policies, 1) for k, v in policy.items() if k not in ("scope", "exclude")]
+    wants = _hits(albums, policies).join(albums.sparkSession.createDataFrame(settings, "policy int, setting string, desired string"), "policy")
+    return wants.groupBy("album_id", "setting").agg(F.max_by("desired", "policy").alias("desired"), F.max("policy").alias("policy"))
+
+
+def desired(albums: DataFrame, policies: list[dict], few: int = FEW_POLICIES) -> DataFrame:
     """(album_id, setting, desired, policy): for each setting the last policy that matches; values are JSON text.
 
-    Policies are few and become one array expression for each album, so albums
-    are neither joined nor shuffled.
+    A few policies become one array expression for each album, so albums are
+    neither joined nor shuffled. That expression grows with policies and
+    settings, so more of them are looked up in an index; results are the same.
     """
+    if len(policies) > few:
+        return _indexed(albums, policies)
     wants = []
     settings = sorted({k for p in policies for k in p if k not in ("scope", "exclude")})
     for setting in settings:

@@ -19,8 +19,19 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def run_folder(spark: SparkSession) -> str:
+    """The part of the shared folder that holds the tables of this application alone."""
+    return f"{shared_folder(spark)}/tables-{spark.sparkContext.applicationId}"
+
+
+def clean_up(spark: SparkSession) -> bool:
+    """Delete the tables that this application has staged. Results that still read them must have been written before."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(run_folder(spark))
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def staged(df: DataFrame) -> DataFrame:
     """df, written once and read from then on: iterations neither replan nor rerun what came before."""
-    folder = f"{shared_folder(df.sparkSession)}/staged-{uuid.uuid4().hex}"
+    folder = f"{run_folder(df.sparkSession)}/staged-{uuid.uuid4().hex}"
     df.write.parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)

@@ -16,14 +16,15 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.files import opened
+
 Migration = Callable[["Store"], None]
 
 
 class Store:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
-        uri = "://" in folder or folder.startswith("file:")
-        self._system, self._path = fs.FileSystem.from_uri(self.folder) if uri else (fs.LocalFileSystem(), self.folder)
+        self._system, self._path = opened(self.folder)
 
     def _read(self, name: str) -> dict | None:
         path = f"{self._path}/{name}"

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import names, naming, shapes, times
-from .operators import accounting, changes, dedupe, matching, placing, policies, timelines
+from .operators import accounting, changes, classes, dedupe, matching, placing, policies, timelines
 from .registry import QUERIES, SQL, query, table  # noqa: F401  the registry is read from here too
 
 TODAY = datetime.date(2026, 10, 7)
@@ -72,10 +72,8 @@ WITH p AS (SELECT a.vec_id, b.vec_id AS other, len(list_filter(list_zip(a.embedd
 SELECT vec_id, CAST(min(dist) AS INTEGER) AS dist, arg_min(other, dist * 10000000 + other) AS nearest, CAST(count(*) AS BIGINT) AS candidates FROM p GROUP BY vec_id
 """)
 def nearest_hash(spark, sf_dir):
-    hashed = table(spark, sf_dir, "embeddings").select("vec_id", "label", shapes.sign_bits(F.col("embedding")).alias("hash"))
-    other = hashed.select(F.col("vec_id").alias("other"), "label", F.col("hash").alias("hash2"))
-    met = hashed.join(other, "label").where("vec_id <> other").withColumn("dist", shapes.hamming(F.col("hash"), F.col("hash2")))
-    return met.groupBy("vec_id").agg(F.min("dist").cast("int").alias("dist"), F.min_by("other", F.struct("dist", "other")).alias("nearest"), F.count("*").alias("candidates"))
+    hashed = table(spark, sf_dir, "embeddings").select(F.col("label").alias("key"), F.col("vec_id").alias("id"), shapes.sign_bits(F.col("embedding")).alias("hash"))
+    return classes.nearest_pictures(hashed).withColumnRenamed("id", "vec_id")
 
 
 def _timeline(spark, sf_dir, kind, side):
@@ -369,16 +367,33 @@ def dates_in_file_names(spark, sf_dir):
 
 
 @query("""
-SELECT o_orderkey, CAST(year(d) AS INTEGER) AS year, CAST(month(d) AS INTEGER) AS month, CASE WHEN o_orderkey % 3 <> 1 THEN CAST(day(d) AS INTEGER) END AS day, CASE WHEN o_orderkey % 3 = 1 THEN 'month' ELSE 'day' END AS precision,
-  CASE o_orderkey % 3 WHEN 0 THEN 'Trip ' || o_orderkey % 5 WHEN 1 THEN 'Beach' ELSE 'Snow' END AS subject, 'high' AS confidence
-FROM (SELECT o_orderkey, o_orderdate AS d FROM orders)
+WITH f AS (SELECT o_orderkey, o_orderdate AS d, o_orderkey % 11 AS k FROM orders),
+n AS (SELECT *, CASE k WHEN 2 THEN 'Snow' WHEN 9 THEN '1992-1995 album' WHEN 10 THEN 'Stay 13/45' ELSE 'Trip' END AS subject FROM f)
+SELECT o_orderkey, CASE WHEN k <> 8 THEN CASE k WHEN 9 THEN 1992 WHEN 10 THEN 2001 ELSE CAST(year(d) AS INTEGER) END END AS year,
+  CASE WHEN k IN (0, 1, 2, 3, 6, 7) THEN CAST(month(d) AS INTEGER) END AS month, CASE WHEN k IN (0, 2, 3, 7) THEN CAST(day(d) AS INTEGER) END AS day,
+  CASE WHEN k IN (0, 2, 3, 7) THEN 'day' WHEN k IN (1, 6) THEN 'month' WHEN k IN (4, 5, 10) THEN 'year' WHEN k = 9 THEN 'range' ELSE 'none' END AS precision, CASE k WHEN 8 THEN 'Trip without a date' ELSE subject END AS subject,
+  CASE WHEN k IN (8, 9) THEN 'none' WHEN k IN (4, 5, 10) OR (k = 7 AND day(d) <= 12 AND day(d) <> month(d)) THEN 'medium' ELSE 'high' END AS confidence FROM n
 """)
 def dates_in_album_names(spark, sf_dir):
-    k = F.col("o_orderkey") % 3
-    d = lambda form: F.date_format("o_orderdate", form)
-    name = F.when(k == 0, F.concat(d("yyyy-MM-dd"), F.lit(" - Trip "), (F.col("o_orderkey") % 5).cast("string"))).when(k == 1, F.concat(d("MMMM yyyy"), F.lit(" (Beach)"))).otherwise(F.concat(F.lit("Snow taken on "), d("d MMM yyyy")))
-    named = table(spark, sf_dir, "orders").select("o_orderkey", F.when(k == 1, F.concat(F.lit("Beach "), d("MMMM, yyyy"))).otherwise(name).alias("name"))
-    parsed = named.select("o_orderkey", naming.parse(F.col("name"), TODAY).alias("p"))
+    """Eleven shapes of names: days, months, years of four and two figures, open ones, a range, no date, and one that can't be."""
+    k, d = F.col("o_orderkey") % 11, lambda form: F.date_format("o_orderdate", form)
+    shapes_ = [
+        F.concat(d("yyyy-MM-dd"), F.lit(" - Trip")),
+        F.concat(F.lit("Trip "), d("MMMM, yyyy")),
+        F.concat(F.lit("Snow taken on "), d("d MMM yyyy")),
+        F.concat(d("yyyyMMdd"), F.lit(" Trip")),
+        F.concat(F.lit("Trip ("), d("yyyy"), F.lit(")")),
+        F.concat(F.lit("Trip '"), d("yy")),
+        F.concat(d("yyyy/MM"), F.lit(": Trip")),
+        F.concat(d("MM-dd-yyyy"), F.lit(" Trip in")),
+        F.lit("Trip without a date"),
+        F.lit("1992-1995 album"),
+        F.lit("Stay 13/45/2001"),
+    ]
+    name = F.lit(None).cast("string")
+    for i, made in enumerate(shapes_):
+        name = F.when(k == i, made).otherwise(name)
+    parsed = table(spark, sf_dir, "orders").select("o_orderkey", name.alias("name")).select("o_orderkey", naming.parse(F.col("name"), TODAY).alias("p"))
     return parsed.select("o_orderkey", "p.year", "p.month", "p.day", "p.precision", "p.subject", "p.confidence")
 
 
@@ -389,8 +404,8 @@ def largest_first(spark, sf_dir):
 
 @query("SELECT c_custkey AS album_id FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P')")
 def unused_targets(spark, sf_dir):
-    plan = table(spark, sf_dir, "orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("c_custkey"))
-    return table(spark, sf_dir, "customer").join(plan, "c_custkey", "left_anti").select(F.col("c_custkey").alias("album_id"))
+    plan = table(spark, sf_dir, "orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("target_name"))
+    return changes.unused_targets(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("name"), F.col("c_custkey").alias("album_id")), plan).select("album_id")
 
 
 @query("""
@@ -427,13 +442,18 @@ def content_decisions(spark, sf_dir):
     return found.select(F.col("ref").cast("string").alias("ref"), "decision", "method", "dest_item_id", "dest_album_id", "dist")
 
 
-@query()
+@query("SELECT c_custkey AS album_id FROM customer ORDER BY md5('7:' || c_custkey), c_custkey LIMIT 50")
 def seeded_album_sample(spark, sf_dir):
     """An exact number of albums for a seed: a sampling operator, so its limit is its purpose."""
     return accounting.seeded_sample(_albums(spark, sf_dir), "album_id", 50, seed=7).select("album_id")
 
 
-@query()
+@query("""
+WITH p AS (SELECT o_custkey, o_orderkey, (row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) - 1) // 2 AS page FROM orders),
+s AS (SELECT o_custkey, page, ntile(3) OVER (PARTITION BY o_custkey ORDER BY page) AS slice FROM (SELECT DISTINCT o_custkey, page FROM p)),
+c AS (SELECT o_custkey, page FROM s QUALIFY row_number() OVER (PARTITION BY o_custkey, slice ORDER BY md5('7:' || o_custkey || ':' || page), page) = 1)
+SELECT o_custkey, o_orderkey FROM p JOIN c USING (o_custkey, page)
+""")
 def stratified_pages(spark, sf_dir):
     """Pages of a customer's orders, one from each of three slices."""
     return accounting.page_sample(table(spark, sf_dir, "orders"), "o_custkey", [F.asc("o_orderdate"), F.asc("o_orderkey")], 3, size=2, seed=7).select("o_custkey", "o_orderkey")

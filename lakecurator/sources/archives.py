@@ -14,6 +14,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .files import opened
 from .media import Edges, is_media, is_video, probe
 
 #: What archives are called.
@@ -30,13 +31,9 @@ def is_archive(name: str) -> bool:
     return name.lower().endswith(SUFFIXES)
 
 
-def _opened(uri: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (fs.LocalFileSystem(), uri)
-
-
 def list_archives(spark: SparkSession, folder: str) -> DataFrame:
     """(uri, archive, size) of the archives directly in a folder; names are listed on the driver, contents never."""
-    system, path = _opened(folder)
+    system, path = opened(folder)
     prefix = folder[: len(folder) - len(path)] if folder.endswith(path) else ""
     found = sorted((f"{prefix}{x.path}", x.base_name, x.size) for x in system.get_file_info(fs.FileSelector(path)) if x.is_file and is_archive(x.base_name))
     return spark.createDataFrame(found, "uri string, archive string, size long")
@@ -44,7 +41,7 @@ def list_archives(spark: SparkSession, folder: str) -> DataFrame:
 
 def _members(uri: str) -> Iterator[tuple[str, int, int, object]]:
     """(path, size, mtime, open) of regular files in archive order; zip times are read as UTC."""
-    system, path = _opened(uri)
+    system, path = opened(uri)
     if path.lower().endswith(".zip"):
         with system.open_input_file(path) as raw, zipfile.ZipFile(raw) as archive:
             for info in archive.infolist():

@@ -4,9 +4,12 @@ import itertools
 import os
 import random
 
+import numpy as np
 import pytest
-from lakecurator.operators import accounting, changes, dedupe, elimination, matching, placing, policies, scans, sidecars, timelines, workflows
+from lakecurator.functions import naming, plugins, shapes
+from lakecurator.operators import accounting, changes, classes, dedupe, elimination, matching, pictures, placing, policies, scans, sidecars, steps, timelines, workflows
 from lakecurator.plans.importing import ImportSettings, plan_import
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 SOURCE = "ref string, name string, kind string, md5 string, duration_s double, width int, height int"
@@ -460,6 +463,78 @@ def test_linked_runs_of_a_long_history(spark, monkeypatch, key_rows):
     assert {(r.k, r.before) for r in found} == {("a", "0"), ("b", "151")}
 
 
+def test_many_policies_by_an_index(spark):
+    rng = random.Random(12)
+    word = lambda n: "".join(rng.choice("aBc[") for _ in range(n)).replace("[", rng.choice("d[."))
+    glob = lambda: rng.choice([word(2) + "*", "*" + word(2), word(1) + "?" + word(1), "*" + word(1) + "*", "[ab]*" + word(1), "*", word(3), "a*[!b]", "", word(1) + "/*"])
+    wanted = [{"scope": [glob() for _ in range(rng.choice([1, 2]))], **({"exclude": [glob()]} if rng.random() < 0.4 else {}), rng.choice("xyz"): n} for n in range(60)]
+    albums = spark.createDataFrame([(i, rng.choice([word(1), None, ""]), rng.choice([word(3), None])) for i in range(80)], "album_id int, folder string, name string")
+    both = [{tuple(r) for r in policies.desired(albums, wanted, few).select("album_id", "setting", "desired", "policy").collect()} for few in (1000, 0)]
+    assert both[0] == both[1] and len(both[0]) > 100
+
+
+def test_five_thousand_policies(spark):
+    wanted = [{"scope": [f"album {n} *"], "privacy": "private", "downloads": n % 2 == 0} for n in range(5_000)]
+    albums = spark.range(20_000).select(F.col("id").alias("album_id"), F.lit("f").alias("folder"), F.format_string("Album %d x", F.col("id") % 10_000).alias("name"))
+    found = policies.desired(albums, wanted)
+    assert found.agg(F.count("*"), F.min(F.col("policy") - F.col("album_id") % 10_000), F.max(F.col("policy") - F.col("album_id") % 10_000)).first() == (20_000, 1, 1)
+
+
+def test_date_plugins(spark):
+    added = plugins.DatePlugins(spark)
+    for name, body in (("camera", "filename"), ("upper", "filename"), ("Bad Name", "filename"), ("number", "1"), ("broken", "nothing_here"), ("cut_off", "substring("), ("filename", "filename")):
+        with pytest.raises(plugins.PluginError):
+            added.register(name, body)
+    added.register_all({"day_of_scan": "try_to_date(filename, 'yyyyMMdd')", "wrong": "no_column"})
+    assert set(added.refused) == {"wrong"} and set(added.sources()) == {"day_of_scan"}
+    added.register("day_of_scan", "coalesce(try_to_date(filename, 'yyyyMMdd'), try_to_date(album_name, 'yyyyMMdd'))")
+    df = spark.createDataFrame([("20240102", None), ("x", "20230405"), ("y", None)], "f string, a string")
+    value = naming.date_for(["day_of_scan"], {"filename": F.col("f"), "album_name": F.col("a")}, "UTC", datetime.date(2026, 1, 1), added.sources())
+    assert [tuple(r) for r in df.select(value["value"], value["method"]).collect()] == [("2024-01-02", "day_of_scan"), ("2023-04-05", "day_of_scan"), (None, "none")]
+    assert spark.sql("SELECT day_of_scan('20240102', NULL, NULL, NULL)").first()[0] == "2024-01-02"
+
+
+def pixels(data: bytes):
+    """The two renderings of a made picture: its bytes are the gray values themselves."""
+    if len(data) != 144:
+        raise ValueError("not a picture")
+    return list(data[:72]), list(data[72:])
+
+
+def turned_hashes(wide, tall):
+    """By turning matrices: numpy turns left, as the library does."""
+    wide, tall = np.array(wide).reshape(8, 9), np.array(tall).reshape(9, 8)
+    grids = [wide, np.rot90(tall), np.rot90(wide, 2), np.rot90(tall, 3)]
+    whole = [int("".join("1" if a > b else "0" for row in g for a, b in zip(row, row[1:])), 2) for g in grids]
+    return [h - (h >> 63 << 64) for h in whole]
+
+
+def test_rotations_equal_turned_matrices(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, rng.integers(0, 4, 72).tolist(), rng.integers(0, 256, 72).tolist()) for i in range(30)]
+    found = spark.createDataFrame(rows, "i int, w array<int>, t array<int>").select("i", shapes.rotation_hashes(F.col("w"), F.col("t")).alias("h"))
+    assert rows_of(found, "i", "h") == {i: (turned_hashes(w, t),) for i, w, t in rows}
+
+
+def test_hashes_are_made_once(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    files = {f"p{i}": rng.integers(0, 256, 144).astype(np.uint8).tobytes() for i in range(12)} | {"bad": b"xx", "none": None}
+    asked, folder = [], str(tmp_path / "hashes")
+
+    def read(missing):
+        asked.append(sorted(r.key for r in missing.collect()))
+        return spark.createDataFrame([(k, files[k]) for k in asked[-1]], "key string, content binary")
+
+    wanted = lambda names: spark.createDataFrame([(n,) for n in names], "key string")
+    first = ["p1", "p2", "p2", "bad", None]
+    found = rows_of(pictures.hashes_aside(wanted(first), folder, read, pixels), "key", "hashes", "error")
+    assert found == {k: (turned_hashes(files[k][:72] and list(files[k][:72]), list(files[k][72:])), None) for k in ("p1", "p2")} | {"bad": (None, "ValueError: not a picture")}
+    again = pictures.hashes_aside(wanted(first), folder, read, pixels)
+    assert rows_of(again, "key", "hashes", "error") == found and asked == [["bad", "p1", "p2"]]
+    assert len(rows_of(pictures.hashes_aside(wanted([*files]), folder, read, pixels), "key", "error")) == 14
+    assert asked[1] == sorted(set(files) - {"p1", "p2", "bad"}) and pictures.cached_hashes(spark, folder).count() == 14
+
+
 def test_items_with_orphans(spark):
     df = spark.createDataFrame([("a", ".jpg", False), ("b", ".mp4", True), ("c", ".mov", False)], "path string, ext string, orphan boolean")
     assert rows_of(sidecars.source_items(df), "path", "kind") == {"a": ("photo",), "c": ("video",)}
@@ -502,3 +577,81 @@ def test_import_plan(spark):
     previous = rows.select("source_ref", "role", "target_name", "upload_name")
     again, _ = plan_import(spark.createDataFrame(items, IMPORT_ITEM), spark.createDataFrame(decisions, "ref string, decision string, dest_item_id string"), spark.createDataFrame(destination, "item_id string, album string, album_id string, name string"), previous, settings)
     assert again.count() == 0
+
+
+def test_takeout_plan_as_one_step(spark):
+    t = 1704067200
+    items = [
+        ("s1", "P.HEIC", "photo", t, None, 4032, 3024, None, False, ("m1", "P.MP4", "2024-01-01T00:00:01+00:00", 1440, 1080, 2.0)),
+        ("s2", "Q.jpg", "photo", t, None, 10, 10, None, False, None),
+        ("v1", "V.mp4", "video", t, None, 1, 1, 60.0, False, None),
+    ]
+    settings = ImportSettings({"photo": "{yyyy}-{mm}", "video": "{yyyy}-{mm} V", "undated_photo": "U", "undated_video": "UV"}, soft_cap=10)
+    frame = lambda rows, ddl: spark.createDataFrame(rows, ddl)
+    decisions = frame([("s1", "exact", "d1"), ("s2", "new", None), ("v1", "new", None)], "ref string, decision string, dest_item_id string")
+    destination = frame([("d1", "Old", "al", "P.JPG")], "item_id string, album string, album_id string, name string")
+    uploads = frame([(1, "s2", "still", "needs_review", None, "2024-01", "Q.jpg"), (2, "x", "still", "done", None, "2024-01", "Z.jpg")], "upload_id int, source_ref string, role string, status string, pair_ref string, target_name string, upload_name string")
+    albums = frame([("2024-01 V", "a7"), ("2024-01 V", "a9")], "name string, album_id string")
+    plan = lambda targets, decided=decisions: steps.takeout_plan(frame(items, IMPORT_ITEM), decided, destination, uploads, frame(targets, "name string, album_id string"), albums, settings)
+    with pytest.raises(steps.Refused, match="1 items"):
+        plan([], decisions.where("ref <> 'v1'"))
+    made = plan([("2024-01", None)])
+    assert [r.upload_id for r in made["released"].collect()] == [1]
+    assert rows_of(made["uploads"], "source_ref", "target_name", "status", "album_id") == {"s2": ("2024-01", "planned", None), "v1": ("2024-01 V", "planned", None), "m1": ("Old", "planned", "al")}
+    assert rows_of(made["targets"], "name", "kind", "album_id", "planned") == {"2024-01 V": ("video", "a7", 0), "Old": ("video", "al", 0)}
+    held = plan([("Old", "another"), ("2024-01", None)])
+    assert rows_of(held["uploads"], "source_ref", "status")["m1"] == ("held",) and "Old" not in rows_of(held["targets"], "name", "kind")
+
+
+def test_audit_refuses_what_it_must(spark):
+    albums = spark.createDataFrame([(1, "f", "n", 3)], "album_id int, folder string, name string, item_count long")
+    actual = spark.createDataFrame([], "album_id int, setting string, value string")
+    with pytest.raises(steps.Refused, match="no policies"):
+        steps.albums_audit(albums, actual, [], {}, 1, 2)
+    with pytest.raises(steps.Refused, match="colour"):
+        steps.albums_audit(albums, actual, [{"scope": ["*"], "colour": "red"}], {"privacy": ["public"]}, 1, 2)
+
+
+def test_ten_thousand_items_of_one_name(spark):
+    """Fifty pictures on either side: 2,500 distances, and the pass by rank."""
+    rng = np.random.default_rng(1)
+    pictures = [int(x) - 2**63 for x in rng.integers(0, 2**63, 50, dtype=np.uint64) * 2]
+    n = 10_000
+    known = F.array(*[F.lit(x) for x in pictures])
+    side = lambda name, seed: spark.range(n).select(F.lit("k").alias("key"), F.format_string(f"{name}%05d", "id").alias(name), F.get(known, F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(50)).cast("int")).alias("hash"))
+    left, right = side("ref", 1).select("key", "ref", F.array("hash").alias("hashes")), side("item_id", 2)
+    found = classes.match_pictures(left, right, 6).cache()
+    assert found.count() == n
+    ranked = lambda df, id_, value: df.select(id_, value.alias("h"), F.row_number().over(Window.partitionBy(value).orderBy(id_)).alias("r"))
+    expected = ranked(left, "ref", F.col("hashes")[0]).join(ranked(right, "item_id", F.col("hash")), ["h", "r"])
+    taken = found.where("item_id is not null")
+    assert taken.where("dist <> 0").isEmpty() and taken.select("ref", "item_id").exceptAll(expected.select("ref", "item_id")).isEmpty() and taken.count() == expected.count()
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_classes_equal_pairs(spark, seed):
+    """Pictures and videos by classes against the greedy pass over a table of pairs."""
+    rng = random.Random(seed)
+    hashes = [rng.choice([0, 1, 3, 7, 255, 2**40, -1, -2**63, 2**62 + 5]) for _ in range(9)]
+    left = [(rng.choice("kl"), f"r{i:02}", rng.choice([[rng.choice(hashes), rng.choice(hashes)], [rng.choice(hashes)], [rng.choice(hashes), None], None])) for i in range(40)]
+    right = [(rng.choice("kl"), f"i{i:02}", rng.choice([*hashes, None])) for i in range(30)]
+    a, b = spark.createDataFrame(left, "key string, ref string, hashes array<long>"), spark.createDataFrame(right, "key string, item_id string, hash long")
+    met = a.join(b, "key").select("ref", "item_id", shapes.rotation_distance(F.col("hashes"), F.col("hash")).alias("dist")).collect()
+    taken = {a: (b, d) for d, a, b in greedy([(r.dist, r.ref, r.item_id) for r in met if r.dist is not None and r.dist <= 6])}
+    gone, expected = {b for b, _ in taken.values()}, {}
+    for ref in {r.ref for r in met}:
+        own = [r for r in met if r.ref == ref]
+        near = min(((r.dist, r.item_id) for r in own if r.dist is not None and r.item_id not in gone), default=(None, None))
+        item, dist = taken.get(ref, (None, None))
+        expected[ref] = (item, dist, *((None, None) if item else near), any(r.dist is None for r in own), any(r.dist is not None for r in own))
+    found = classes.match_pictures(a, b, 6)
+    assert rows_of(found, "ref", "item_id", "dist", "near_dist", "near_item", "unreadable", "scored") == expected
+
+    shape = lambda: (rng.choice([10.0, 10.2, 10.4, 11.0, 60.0, 0.0, None]), rng.choice([1920, 1080, None]), rng.choice([1080, 1920, 1440, 0]))
+    left, right = [("k", f"r{i:02}", *shape()) for i in range(30)], [("k", f"i{i:02}", *shape()) for i in range(25)]
+    ddl = "key string, {} string, duration_s double, width int, height int"
+    a, b = spark.createDataFrame(left, ddl.format("ref")), spark.createDataFrame(right, ddl.format("item_id"))
+    side = lambda p: {"duration": F.col(f"{p}.duration_s"), "width": F.col(f"{p}.width"), "height": F.col(f"{p}.height")}
+    met = a.alias("a").join(b.alias("b"), "key").select("ref", "item_id", shapes.video_gap(side("a"), side("b"))["gap"].alias("gap")).where("gap is not null").collect()
+    expected = {a: (b, d) for d, a, b in greedy([(r.gap, r.ref, r.item_id) for r in met])}
+    assert rows_of(classes.match_videos(a, b, 0.02), "ref", "item_id", "gap") == expected
