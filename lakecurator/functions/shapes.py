@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 
 def aspect(width: Column, height: Column) -> Column:
-    """Long side by short side, so that rotation doesn't matter."""
-    return F.greatest(width, height) / F.least(width, height)
+    """Long side by short side, so that rotation doesn't matter; null where a side is zero."""
+    return F.try_divide(F.greatest(width, height), F.least(width, height))
 
 
 def hamming(a: Column, b: Column) -> Column:

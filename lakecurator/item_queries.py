@@ -221,7 +221,7 @@ def album_proposals(spark, sf_dir):
     return naming.propose(albums, templates, TODAY).select("album_id", "new", "date", "source", "confidence", "auto")
 
 
-@query("""
+@query(r"""
 WITH p AS (SELECT page_id, substr(md5(html), 1, 5) || CASE page_id % 4 WHEN 0 THEN '.JPG' WHEN 1 THEN '.tar.heic' WHEN 2 THEN '' ELSE '.png' END AS name, page_id % 9 AS k, page_id % 5 AS t FROM pages),
 q AS (SELECT *, CASE k WHEN 1 THEN '(2)' WHEN 3 THEN '(11)' END AS counter, CASE t WHEN 0 THEN name WHEN 1 THEN 'Other Name.jpeg' WHEN 2 THEN name ELSE name END AS title FROM p)
 SELECT page_id, CASE WHEN k >= 5 THEN NULL WHEN counter IS NULL THEN name ELSE regexp_replace(title, '(\.[^.]*)?$', '') || counter || regexp_extract(title, '(\.[^.]*)?$') END AS expected, CASE WHEN k < 5 THEN name END AS prefix FROM q
