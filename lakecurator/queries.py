@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .functions import names, naming, shapes, times
 from .operators import accounting, changes, classes, dedupe, matching, placing, policies, timelines
+from .plans.staging import staged
 from .registry import QUERIES, SQL, query, table  # noqa: F401  the registry is read from here too
 
 TODAY = datetime.date(2026, 10, 7)
@@ -393,7 +394,8 @@ def dates_in_album_names(spark, sf_dir):
     name = F.lit(None).cast("string")
     for i, made in enumerate(shapes_):
         name = F.when(k == i, made).otherwise(name)
-    parsed = table(spark, sf_dir, "orders").select("o_orderkey", name.alias("name")).select("o_orderkey", naming.parse(F.col("name"), TODAY).alias("p"))
+    named = staged(table(spark, sf_dir, "orders").select("o_orderkey", name.alias("name")))  # else the optimizer puts these branches into every use of the name
+    parsed = named.select("o_orderkey", naming.parse(F.col("name"), TODAY).alias("p"))
     return parsed.select("o_orderkey", "p.year", "p.month", "p.day", "p.precision", "p.subject", "p.confidence")
 
 
