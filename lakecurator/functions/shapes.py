@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -34,27 +37,28 @@ def sign_bits(values: Column, n: int = 64) -> Column:
     return F.aggregate(F.slice(values, 1, n), F.lit(0).cast("long"), lambda acc, v: F.shiftleft(acc, 1).bitwiseOR(F.when(v > 0, 1).otherwise(0).cast("long")))
 
 
-def difference_hash(gray: Column) -> Column:
-    """The 64-bit difference hash of 72 gray values, nine to a row: left brighter than right."""
-    places = F.array(*[F.lit(9 * row + column) for row in range(8) for column in range(8)])
-    brighter = F.transform(F.slice(gray, 1, 71), lambda v, i: v > F.get(gray, i + 1))
-    return F.aggregate(places, F.lit(0).cast("long"), lambda acc, i: F.shiftleft(acc, 1).bitwiseOR(F.coalesce(F.get(brighter, i), F.lit(False)).cast("long")))
+def _compared(gray: Column, place: Callable[[int, int], int]) -> Column:
+    """64 bits, of which each tells whether a value of 8 rows of 9 is over the next; place: where in gray a row and column are.
 
+    Written out, not as a lambda: what a lambda refers to outside is worked out again for each element.
+    """
+    over = [F.coalesce(F.get(gray, F.lit(place(r, c))) > F.get(gray, F.lit(place(r, c + 1))), F.lit(False)).cast("long") for r in range(8) for c in range(8)]
+    return reduce(lambda bits, bit: bits.bitwiseOR(bit), [F.shiftleft(bit, 63 - i) for i, bit in enumerate(over)])
 
-def turned(wide: Column, tall: Column, quarters: int) -> Column:
-    """The 8 rows of 9 gray values of a picture turned left by so many quarters.
 
-    wide: 8 rows of 9 values of the picture as it is; tall: 9 rows of 8, which
-    become 8 rows of 9 by a quarter turn.
-    """
-    places = {0: lambda r, c: 9 * r + c, 1: lambda r, c: 8 * c + 7 - r, 2: lambda r, c: 9 * (7 - r) + 8 - c, 3: lambda r, c: 8 * (8 - c) + r}[quarters % 4]
-    order = F.array(*[F.lit(places(r, c)) for r in range(8) for c in range(9)])
-    return F.transform(order, lambda i: F.get(tall if quarters % 2 else wide, i))
+def difference_hash(gray: Column) -> Column:
+    """The 64-bit difference hash of 72 gray values, nine to a row: left brighter than right."""
+    return _compared(gray, lambda r, c: 9 * r + c)
 
 
 def rotation_hashes(wide: Column, tall: Column) -> Column:
-    """The difference hashes of a picture and of its turns by a quarter, a half and three quarters to the left."""
-    return F.array(*[difference_hash(turned(wide, tall, q)) for q in range(4)])
+    """The difference hashes of a picture and of its turns by a quarter, a half and three quarters to the left.
+
+    wide: 8 rows of 9 gray values of the picture as it is; tall: 9 rows of 8,
+    which a quarter turn makes 8 rows of 9.
+    """
+    quarter, half, three = (lambda r, c: 8 * c + 7 - r), (lambda r, c: 9 * (7 - r) + 8 - c), (lambda r, c: 8 * (8 - c) + r)
+    return F.array(difference_hash(wide), _compared(tall, quarter), _compared(wide, half), _compared(tall, three))
 
 
 def video_gap(source: dict[str, Column], dest: dict[str, Column], tolerance: float = 0.02) -> Column:
