@@ -36,6 +36,8 @@ SAMPLE = 8192
 PIECE, BUCKET, BLOCK = 1024, 128, 512
 #: Levels of the upper tree at most; pieces of a block in the first wave.
 LEVELS, WAVE = 9, 8
+#: Pieces up to which a list of their numbers, 16 bytes each, is broadcast.
+BROADCAST_PIECES = 1 << 18
 #: Bytes of an Arrow batch.
 BATCH_BYTES = 64 << 20
 RESULT = "anchor_id long, positive_id long, rank int, negative_id long, positive_score long, negative_score long"
@@ -186,7 +188,9 @@ class Index:
         norm = F.aggregate("v", F.lit(0).cast("long"), lambda acc, x: acc + x.cast("long") * x)
         width, most, n = rows.agg(F.max(F.size("v")), F.max(norm), F.count("*")).first()
         space = self.space = Space(max(1, width or 0), most or 0)
-        drawn = rows.orderBy(F.xxhash64("vec_id", "v"), "vec_id", "v").limit(sample).select("v").collect()
+        mark = F.xxhash64("vec_id", "v")
+        share = (2 * sample + 64) / max(1, n)  # of the hashes; else each task would send the driver a sample of its own
+        drawn = (rows if share >= 1 else rows.where(mark < int(2**64 * share) - 2**63)).orderBy(mark, "vec_id", "v").limit(sample).select("v").collect()
         levels = min(LEVELS, max(0, int(np.ceil(np.log2(max(1, n / (2 * piece)))))))
         tree = self.tree = UpperTree(space, np.array([r.v + [0] * (space.width - len(r.v)) for r in drawn], np.int64).reshape(len(drawn), space.width), levels)
 
@@ -221,8 +225,8 @@ class Index:
         return out
 
 
-def _targets(index: Index, wave: tuple[int, int]):
-    """A mapInArrow function: the pieces of a wave that a block must look into, with the block's queries.
+def _targets(index: Index, wave: tuple[int, int], queries: bool = True):
+    """A mapInArrow function: the pieces of a wave that a block must look into, with the block's queries unless those are left out.
 
     The list of a block goes by how near a leaf can be to one of its queries.
     Leaves outside all annuli aren't in it; leaves that what was found so far
@@ -244,7 +248,9 @@ def _targets(index: Index, wave: tuple[int, int]):
                 first = np.where(met, near, np.inf).min(axis=0)
                 listed = [(leaf, i, p) for _, leaf, i in sorted((first[i], leaf, i) for i, leaf in enumerate(leaves) if met[:, i].any()) for p in range(pieces[leaf])][wave[0] : wave[1]]
                 sent = [(leaf, p) for leaf, i, p in listed if still[:, i].any()]
-                if sent:
+                if sent and not queries:
+                    yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in sent], pa.int32()) for i in (0, 1)], ["leaf", "piece"])
+                elif sent:
                     ready = _saved(**q)
                     for leaf, p in sent:
                         yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([leaf], pa.int32()), pa.array([p], pa.int32()), pa.array([ready], pa.binary())], ["block", "leaf", "piece", "queries"])
@@ -318,7 +324,7 @@ def search(index: Index, queries: DataFrame, k: int, same: bool) -> DataFrame:
                 found = [np.full(len(of), block), of, q["ids"][of], q["keys"][of], q["given_id"][of], q["given_score"][of], ids, scores]
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], ["block", "q", *names])
 
-    found = None
+    found, few = None, sum(index.pieces.values()) <= BROADCAST_PIECES
     best = Window.partitionBy("block", "q").orderBy(F.desc("score"), "vec_id")
     for wave in index.waves():
         asked = blocks
@@ -327,8 +333,12 @@ def search(index: Index, queries: DataFrame, k: int, same: bool) -> DataFrame:
             asked = asked.join(full.groupBy("block").agg(F.collect_list(F.struct("q", "score")).alias("kth")), "block", "left")  # a number for each query of a block
         else:
             asked = asked.withColumn("kth", F.lit(None).cast("array<struct<q:bigint,score:bigint>>"))
-        sent = asked.select("block", "queries", "kth").mapInArrow(_targets(index, wave), "block long, leaf int, piece int, queries binary")
-        new = sent.join(index.table, ["leaf", "piece"]).select("block", "queries", "rows").mapInArrow(look, ", ".join(f"{c} long" for c in ("block", "q", *names)))
+        asked = asked.select("block", "queries", "kth")
+        sent = asked.mapInArrow(_targets(index, wave), "block long, leaf int, piece int, queries binary")
+        wanted = asked.mapInArrow(_targets(index, wave, queries=False), "leaf int, piece int").distinct()
+        pieces = index.table.join(F.broadcast(wanted) if few else wanted, ["leaf", "piece"], "left_semi")  # only these are shuffled
+        # a block's queries are sent with each of its pieces, which sizes that are estimated don't show: never to be broadcast
+        new = sent.join(pieces.hint("merge"), ["leaf", "piece"]).select("block", "queries", "rows").mapInArrow(look, ", ".join(f"{c} long" for c in ("block", "q", *names)))
         new = new if found is None else found.drop("rank").unionByName(new)
         found = cut(new.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k))
     return found.select(*names, "rank")

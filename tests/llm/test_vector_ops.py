@@ -1,6 +1,7 @@
 """Vector codes and hard negatives against brute force."""
 
 import math
+import re
 
 import numpy as np
 import pytest
@@ -178,3 +179,19 @@ def test_tree_bounds_hold():
 def test_products_are_exact_beyond_doubles():
     a = np.array([[LIMIT - 1] * 64, [3] * 64], np.int64)
     assert hard_negatives.products(a, a)[0, 0] == 64 * (LIMIT - 1) ** 2
+
+
+def test_queries_of_blocks_are_never_broadcast(spark, monkeypatch):
+    """Their estimated size is that of the blocks alone, but each is sent with every piece."""
+    plans, cut = [], hard_negatives.cut
+
+    def seen(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return cut(df)
+
+    monkeypatch.setattr(hard_negatives, "cut", seen)
+    rows = vectors(120, 8)
+    found = hard_negatives.hard_negatives(spark.createDataFrame(rows, SCHEMA), every=10, piece=16, sample=20)
+    assert found.count()
+    pairs = [line for plan in plans for line in plan.splitlines() if re.search(r"Join \[leaf#\d+, piece#\d+\].*Inner", line)]
+    assert pairs and not [line for line in pairs if "Broadcast" in line]
