@@ -7,6 +7,7 @@ import duckdb
 import pytest
 
 from lakecurator import queries as library
+from lakecurator.operators import scans
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -38,6 +39,12 @@ def test_query_equals_sql(spark, duck, name):
     assert rows(found) == rows(expected)
 
 
+@pytest.mark.parametrize("name", ["import_plan"])
+def test_query_equals_sql_where_keys_fill_ranges(spark, duck, monkeypatch, name):
+    monkeypatch.setattr(scans, "KEY_ROWS", 0)
+    test_query_equals_sql(spark, duck, name)
+
+
 def test_entry_and_registry(spark):
     import __spark_entry__ as entry
 
