@@ -39,7 +39,7 @@ def test_query_equals_sql(spark, duck, name):
     assert rows(found) == rows(expected)
 
 
-@pytest.mark.parametrize("name", ["import_plan", "organize_plan", "album_parts"])
+@pytest.mark.parametrize("name", ["import_plan", "organize_plan", "album_parts", "continued_parts"])
 def test_query_equals_sql_where_keys_fill_ranges(spark, duck, monkeypatch, name):
     monkeypatch.setattr(scans, "KEY_ROWS", 0)
     test_query_equals_sql(spark, duck, name)
