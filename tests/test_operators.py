@@ -473,6 +473,17 @@ def test_many_policies_by_an_index(spark):
     assert both[0] == both[1] and len(both[0]) > 100
 
 
+@pytest.mark.parametrize("bound,join", [(policies.BROADCAST_ROWS, "BroadcastHashJoin"), (0, "SortMergeJoin")])
+def test_albums_are_never_broadcast_to_policies(spark, monkeypatch, bound, join):
+    monkeypatch.setattr(policies, "BROADCAST_ROWS", bound)
+    wanted = [{"scope": [f"album {n} *"], "privacy": n} for n in range(50)]
+    albums = spark.range(100).select(F.col("id").alias("album_id"), F.lit("f").alias("folder"), F.format_string("Album %d x", "id").alias("name"))
+    found = policies.desired(albums, wanted)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count(f"{join} [") == 2 and "BuildLeft" not in plan
+    assert {tuple(r) for r in found.collect()} == {(n, "privacy", str(n), n + 1) for n in range(50)}
+
+
 def test_five_thousand_policies(spark):
     wanted = [{"scope": [f"album {n} *"], "privacy": "private", "downloads": n % 2 == 0} for n in range(5_000)]
     albums = spark.range(20_000).select(F.col("id").alias("album_id"), F.lit("f").alias("folder"), F.format_string("Album %d x", F.col("id") % 10_000).alias("name"))
